@@ -359,3 +359,154 @@ def q_support_friction(spark, sf_dir):
 def q_insights(spark, sf_dir):
     c = cleaned(spark, sf_dir)
     return insights.insights(kpis.kpis(c), charts.support_churn(c))
+
+
+# --------------------------------------------------------------------------
+# Churn model
+# --------------------------------------------------------------------------
+
+from churnscope.functions.labels import LEDGER_LABELS, PLAIN_LABELS, PROTOCOLS, RISK_COLORS  # noqa: E402
+from churnscope.operators import ml  # noqa: E402
+from churnscope.sources import models  # noqa: E402
+
+
+def churn_model(spark: SparkSession, sf_dir: str) -> ml.ChurnModel:
+    """The model trained on this dataset, trained once per application and reused."""
+    key = f"churn:{sf_dir}"
+    model = models.recall(spark, key)
+    if model is None:
+        model, metrics = ml.train_churn(cleaned(spark, sf_dir))
+        model.metrics_row = metrics.first().asDict()
+        models.remember(spark, key, model)
+    return model
+
+
+@register("target_encode", O.with_base("SELECT CustomerID, Status, target FROM flagged"))
+def q_target_encode(spark, sf_dir):
+    return ml.with_target(cleaned(spark, sf_dir)).select("CustomerID", "Status", "target")
+
+
+PLAN_CODE_SQL = "CAST(DENSE_RANK() OVER (ORDER BY COALESCE(PlanType, 'nan')) - 1 AS BIGINT)"
+
+
+@register("plan_encode", O.with_base(
+    f"SELECT CustomerID, PlanType, {PLAN_CODE_SQL} AS plan_code FROM clean"))
+def q_plan_encode(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return ml.plan_codes(c, ml.fit_plan_encoder(c))
+
+
+@register("features", O.with_base(
+    "SELECT CustomerID, CAST(TenureMonths AS DOUBLE) AS TenureMonths, "
+    "CAST(UsageFrequency AS DOUBLE) AS UsageFrequency, CAST(SupportTickets AS DOUBLE) AS SupportTickets, "
+    "CAST(LastLoginDaysAgo AS DOUBLE) AS LastLoginDaysAgo, MonthlyRevenue, "
+    f"CAST({PLAN_CODE_SQL} AS DOUBLE) AS PlanCode, target FROM flagged"))
+def q_features(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return ml.feature_frame(c, ml.fit_plan_encoder(c))
+
+
+SPLIT_SQL = ("('0x' || substr(md5(COALESCE(CustomerID, '') || '#42'), 1, 8))::BIGINT / 4294967296.0 "
+             ">= 0.75")
+
+
+@register("split", O.with_base(f"SELECT CustomerID, target, {SPLIT_SQL} AS is_test FROM flagged"))
+def q_split(spark, sf_dir):
+    return ml.split(ml.with_target(cleaned(spark, sf_dir))).select("CustomerID", "target", "is_test")
+
+
+# The support-friction rule of thumb ("more than 4 tickets churn") scored as
+# a classifier on the hold-out rows: the metrics operator fed a predictor the
+# oracle can reproduce exactly.
+RULE_TICKETS_ABOVE = 4
+
+
+@register("binary_metrics", O.with_base(
+    "SELECT CASE WHEN n > 0 THEN (tp + tn) / n * 100.0 ELSE 0.0 END AS Accuracy, "
+    "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) * 100.0 ELSE 0.0 END AS Precision, "
+    "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) * 100.0 ELSE 0.0 END AS Recall, "
+    "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) * 100.0 ELSE 0.0 END AS \"F1-Score\", "
+    "tp, fp, fn, tn FROM (SELECT *, tp + fp + fn + tn AS n FROM ("
+    "SELECT CAST(SUM(CASE WHEN y AND p THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+    "CAST(SUM(CASE WHEN NOT y AND p THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+    "CAST(SUM(CASE WHEN y AND NOT p THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+    "CAST(SUM(CASE WHEN NOT y AND NOT p THEN 1 ELSE 0 END) AS BIGINT) AS tn "
+    f"FROM (SELECT target = 1.0 AS y, SupportTickets > {RULE_TICKETS_ABOVE} AS p FROM flagged "
+    f"WHERE {SPLIT_SQL}) s) c) m"))
+def q_binary_metrics(spark, sf_dir):
+    parts = ml.split(ml.with_target(cleaned(spark, sf_dir)))
+    pred = (parts.where("is_test")
+                 .withColumn("prediction",
+                             F.when(F.col("SupportTickets") > RULE_TICKETS_ABOVE, 1.0).otherwise(0.0)))
+    return ml.binary_metrics(pred)
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _band_sql(p: str, values) -> str:
+    return (f"CASE WHEN {p} >= 0.7 THEN {_sql_text(values[0])} WHEN {p} >= 0.4 THEN {_sql_text(values[1])} "
+            f"ELSE {_sql_text(values[2])} END")
+
+
+RATE_CTE = SUPPORT_CTE.strip() + """,
+rates AS (SELECT tickets, CASE WHEN Total > 0 THEN Churned / Total ELSE 0.0 END AS p FROM support)
+"""
+
+
+# Risk bands applied to an empirical churn probability (the churn share of
+# each ticket-count group), which both engines compute identically.
+@register("risk_band", O.with_base(
+    f"SELECT tickets, p, {_band_sql('p', LEDGER_LABELS)} AS RiskCategory, "
+    f"{_band_sql('p', PLAIN_LABELS)} AS risk_text, {_band_sql('p', RISK_COLORS)} AS risk_color "
+    "FROM rates ORDER BY tickets", RATE_CTE))
+def q_risk_band(spark, sf_dir):
+    from churnscope.functions import risk_band, risk_color
+    s = charts.support_churn(cleaned(spark, sf_dir))
+    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
+    return s.select("tickets", p.alias("p")).select(
+        "tickets", "p", risk_band("p").alias("RiskCategory"),
+        risk_band("p", emoji=False).alias("risk_text"), risk_color("p").alias("risk_color"))
+
+
+@register("retention_action", O.with_base(
+    f"SELECT tickets, p, {_band_sql('p', PROTOCOLS)} AS protocol FROM rates ORDER BY tickets", RATE_CTE))
+def q_retention_action(spark, sf_dir):
+    from churnscope.functions import retention_action
+    s = charts.support_churn(cleaned(spark, sf_dir))
+    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
+    return s.select("tickets", p.alias("p")).select("tickets", "p",
+                                                    retention_action("p").alias("protocol"))
+
+
+@register("train_churn", None)
+def q_train_churn(spark, sf_dir):
+    model, metrics = ml.train_churn(cleaned(spark, sf_dir))
+    models.remember(spark, f"churn:{sf_dir}", model)
+    return metrics
+
+
+@register("importances", None)
+def q_importances(spark, sf_dir):
+    return churn_model(spark, sf_dir).importances(spark)
+
+
+@register("risk_ledger", None)
+def q_risk_ledger(spark, sf_dir):
+    return ml.risk_ledger(cleaned(spark, sf_dir), churn_model(spark, sf_dir))
+
+
+# What if every active customer had no open tickets and logged in today?
+WHAT_IF_OVERRIDES = {"tickets": 0, "last_login": 0}
+
+
+@register("what_if", None)
+def q_what_if(spark, sf_dir):
+    return ml.what_if(cleaned(spark, sf_dir), churn_model(spark, sf_dir), WHAT_IF_OVERRIDES)
+
+
+@register("score_scenarios", None)
+def q_score_scenarios(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return ml.score_scenarios(ml.as_scenarios(c), churn_model(spark, sf_dir), keep=("CustomerID",))
