@@ -214,25 +214,34 @@ def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
                 balanced: bool = False, **forest_kw) -> tuple[ChurnModel, DataFrame]:
     """Fit encoder (all rows) and forest (train rows); evaluate on the test rows.
 
-    Returns the model and its one-row metrics frame.  The assembled training
-    input is persisted (memory, spilling to disk) for the forest's passes and
-    released after the fit; a lost executor recomputes its blocks from the
+    Returns the model and its one-row metrics frame.  The narrow model input
+    (seven columns plus the split flag) is persisted once, memory first and
+    spilling to disk, and serves the encoder fit, the forest's passes and the
+    hold-out scoring; it is released before returning, so the one-row metrics
+    are computed eagerly.  A lost executor recomputes its blocks from the
     short parquet lineage.
     """
-    flagged = with_target(df)
-    encoder = fit_plan_encoder(flagged)
-    parts = split(flagged, test, seed, balanced)
-    feats = PipelineModel(_feature_stages(encoder)).transform(parts)
-    train = (feats.where(~F.col("is_test")).select("features", "target")
-                  .persist(StorageLevel.MEMORY_AND_DISK))
+    spark = df.sparkSession
+    inputs = ["Status", *FEATURES]
+    parts = (split(with_target(df.select("CustomerID", *inputs)), test, seed, balanced)
+             .select("target", "is_test", *FEATURES)
+             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
+        encoder = fit_plan_encoder(parts)
+        feats = PipelineModel(_feature_stages(encoder)).transform(parts)
         rf = RandomForestClassifier(featuresCol="features", labelCol="target", **forest_params(**forest_kw))
-        forest = rf.fit(train)
+        forest = rf.fit(feats.where(~F.col("is_test")).select("features", "target"))
+        row = binary_metrics(forest.transform(feats.where(F.col("is_test")))).first()
     finally:
-        train.unpersist()
-    model = ChurnModel(encoder, forest)
-    test_pred = forest.transform(feats.where(F.col("is_test")))
-    return model, binary_metrics(test_pred)
+        parts.unpersist()
+    model = ChurnModel(encoder, forest, row.asDict())
+    metrics = spark.createDataFrame([row], binary_metrics_schema())
+    return model, metrics
+
+
+def binary_metrics_schema() -> str:
+    return ("Accuracy double, Precision double, Recall double, `F1-Score` double, "
+            "tp bigint, fp bigint, fn bigint, tn bigint")
 
 
 # ---------------------------------------------------------------------------

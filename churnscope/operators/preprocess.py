@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.functions import (churn_target, clean_int, clean_money, is_active, is_churned,
-                                  is_invalid_number, month_bucket)
+from churnscope.functions import churn_target, is_active, is_churned, month_bucket
+from churnscope.functions.cleaning import LONG_LIMIT, clean_columns, int_text, money_text, parse_text
 from churnscope.roles import INT_ROLES, MONEY_ROLES, ROLES
 
 
@@ -54,10 +54,7 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str] | None = None,
 
 def clean_roles(df: DataFrame) -> DataFrame:
     """Coerce money and integer roles of a role-named frame (one projection)."""
-    return df.withColumns({
-        **{r: clean_money(r) for r in MONEY_ROLES},
-        **{r: clean_int(r) for r in INT_ROLES},
-    })
+    return clean_columns(df, money=MONEY_ROLES, ints=INT_ROLES)
 
 
 def preprocess(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
@@ -87,10 +84,17 @@ def quality_report(raw: DataFrame, mapping: Mapping[str, str] | None = None) ->
     """
     df = map_columns(raw, mapping, keep_other=False)
     roles = list(MONEY_ROLES) + list(INT_ROLES)
+    # Stage text and parse in their own projections (one regex pass per value).
+    df = df.withColumns({f"{r}__txt": (money_text(r) if r in MONEY_ROLES else int_text(r))
+                         for r in roles})
+    df = df.withColumns({f"{r}__num": parse_text(F.col(f"{r}__txt")) for r in roles})
     aggs = [F.count(F.lit(1)).alias("rows")]
     for r in roles:
+        parsed = F.col(f"{r}__num")
+        if r in INT_ROLES:
+            parsed = F.when(F.abs(parsed) < F.lit(LONG_LIMIT), parsed)
         aggs.append(F.count_if(F.col(r).isNull()).alias(f"{r}__null"))
-        aggs.append(F.count_if(is_invalid_number(r, money=r in MONEY_ROLES)).alias(f"{r}__bad"))
+        aggs.append(F.count_if(F.col(r).isNotNull() & parsed.isNull()).alias(f"{r}__bad"))
     wide = df.agg(*aggs)
     stack = ", ".join(f"'{r}', `{r}__null`, `{r}__bad`" for r in roles)
     return wide.selectExpr(

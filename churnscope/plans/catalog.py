@@ -375,8 +375,7 @@ def churn_model(spark: SparkSession, sf_dir: str) -> ml.ChurnModel:
     key = f"churn:{sf_dir}"
     model = models.recall(spark, key)
     if model is None:
-        model, metrics = ml.train_churn(cleaned(spark, sf_dir))
-        model.metrics_row = metrics.first().asDict()
+        model, _ = ml.train_churn(cleaned(spark, sf_dir))
         models.remember(spark, key, model)
     return model
 

@@ -8,11 +8,13 @@ same cells.  All eleven role columns are strings and dirty on purpose
 mixed-case statuses, unparseable dates).
 
 Plan shape: ``lineitem`` is reduced to one row per order with a partial
-(map-side) aggregate, shuffled once on the order key, and joined to
-``orders``; the aggregate's hash partitioning already satisfies the join, so
-only ``orders`` is exchanged on the other side.  ``orders`` is unique on its
-key, so the join cannot fan out, and a hot order key is absorbed by the
-partial aggregate before any shuffle.
+(map-side) aggregate and shuffled once on the order key; ``orders`` is
+hash-partitioned on the same key.  Both sides then share one partitioning, so
+a shuffle join needs no further exchange, and when AQE finds the aggregate
+small enough to broadcast, the per-row work after the join (the cleaning every
+operator runs) is still spread over all partitions rather than over the scan's
+file splits.  ``orders`` is unique on its key, so the join cannot fan out, and
+a hot order key is absorbed by the partial aggregate before any shuffle.
 """
 
 from __future__ import annotations
@@ -60,6 +62,6 @@ def subscriptions_sql(orders: str = "orders", lineitem: str = "lineitem") -> str
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (uncleaned) subscription table derived from ``orders`` and ``lineitem``."""
-    orders = read_table(spark, sf_dir, "orders")
+    orders = read_table(spark, sf_dir, "orders").repartition("o_orderkey")
     lineitem = read_table(spark, sf_dir, "lineitem")
     return spark.sql(SUBSCRIPTIONS_SQL, orders=orders, lineitem=lineitem)
