@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from churnscope.functions import is_active, is_churned
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """KPI row over a cleaned, role-named frame.
+def kpis(df: DataFrame, by: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """KPI row over a cleaned, role-named frame (one row per ``by`` group if given).
 
     All measures come from a single ``agg`` (partial aggregate in every task,
     one final merge of a few numbers), so the table is scanned once whatever
@@ -22,7 +22,9 @@ def kpis(df: DataFrame) -> DataFrame:
     active = is_active("Status")
     churned = is_churned("Status")
     rev = F.col("MonthlyRevenue")
-    base = df.agg(
+    keys = list(by or ())
+    grouped = df.groupBy(*keys) if keys else df
+    base = grouped.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.count_if(active).alias("active_count"),
         F.count_if(churned).alias("churn_count"),
@@ -39,6 +41,7 @@ def kpis(df: DataFrame) -> DataFrame:
     return (base
             .withColumns({"avg_ltv": avg_ltv, "avg_cac": avg_cac})
             .select(
+                *keys,
                 "latest_mrr",
                 (mrr * F.lit(12)).alias("latest_arr"),
                 "arpu",

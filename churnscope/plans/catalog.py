@@ -108,6 +108,36 @@ def q_preprocess(spark, sf_dir):
     return cleaned(spark, sf_dir)
 
 
+def _na_sql(c: str) -> str:
+    from churnscope.functions.cleaning import NA_TOKENS
+    toks = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+    return f"CASE WHEN {c} IN ({toks}) THEN NULL ELSE {c} END AS {c}"
+
+
+# pandas-style typing of this table: Tenure (fractions, gaps) and Tickets
+# (gaps) become double and are mean-filled, Usage and LastLogin stay integer,
+# the rest is text.
+IMPUTE_SQL = O.with_base(
+    "SELECT CustomerID, SignupDate, PlanType, MonthlyRevenue, Status, "
+    "ROUND(COALESCE(TenureMonths, AVG(TenureMonths) OVER ()), 6) AS TenureMonths, "
+    "UsageFrequency, ROUND(COALESCE(SupportTickets, AVG(SupportTickets) OVER ()), 6) AS SupportTickets, "
+    "LastLoginDaysAgo, LTV, CAC FROM typed",
+    "na AS (SELECT " + ", ".join(_na_sql(c) for c in SUBSCRIPTION_COLUMNS) + " FROM subscriptions),\n"
+    "typed AS (SELECT CustomerID, SignupDate, PlanType, MonthlyRevenue, Status, "
+    "TRY_CAST(TenureMonths AS DOUBLE) AS TenureMonths, CAST(UsageFrequency AS BIGINT) AS UsageFrequency, "
+    "TRY_CAST(SupportTickets AS DOUBLE) AS SupportTickets, "
+    "CAST(LastLoginDaysAgo AS BIGINT) AS LastLoginDaysAgo, LTV, CAC FROM na)")
+
+
+@register("impute_mean", IMPUTE_SQL)
+def q_impute_mean(spark, sf_dir):
+    from churnscope.sources.files import impute_mean, infer_types
+    from churnscope.functions.cleaning import na_to_null
+    r = raw(spark, sf_dir)
+    typed = infer_types(r.select(*[na_to_null(c).alias(c) for c in r.columns]))
+    return rounded(impute_mean(typed), micro=("TenureMonths", "SupportTickets"))
+
+
 _QUALITY_ROLES = ("MonthlyRevenue", "LTV", "CAC", "TenureMonths", "SupportTickets",
                   "UsageFrequency", "LastLoginDaysAgo")
 
