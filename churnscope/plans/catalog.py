@@ -539,3 +539,28 @@ def q_what_if(spark, sf_dir):
 def q_score_scenarios(spark, sf_dir):
     c = cleaned(spark, sf_dir)
     return ml.score_scenarios(ml.as_scenarios(c), churn_model(spark, sf_dir), keep=("CustomerID",))
+
+
+# --------------------------------------------------------------------------
+# Display values
+# --------------------------------------------------------------------------
+
+@register("active_ratio", O.with_base(
+    "SELECT active_count, total_customers, "
+    "CASE WHEN total_customers > 0 THEN active_count / total_customers ELSE 0.0 END AS active_ratio "
+    "FROM kpi_base", KPI_CTE))
+def q_active_ratio(spark, sf_dir):
+    k = kpi_row(spark, sf_dir)
+    return k.select("active_count", "total_customers",
+                    F.when(F.col("total_customers") > 0, F.col("active_count") / F.col("total_customers"))
+                     .otherwise(F.lit(0.0)).alias("active_ratio"))
+
+
+@register("percent_text", O.with_base(
+    "SELECT tickets, p, printf('%.1f%%', round_even(p * 100.0, 1)) AS p_text FROM rates ORDER BY tickets",
+    RATE_CTE))
+def q_percent_text(spark, sf_dir):
+    from churnscope.functions import percent_text
+    s = charts.support_churn(cleaned(spark, sf_dir))
+    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
+    return s.select("tickets", p.alias("p")).select("tickets", "p", percent_text("p").alias("p_text"))
