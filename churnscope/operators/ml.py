@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from churnscope.functions import churn_target, risk_band, risk_color, retention_action
 from churnscope.operators.filters import active_filter, id_search
 from churnscope.roles import FEATURES
+from churnscope.session import checkpoint_dir
 
 # Text of a missing plan, split seed/share, forest settings.
 MISSING_PLAN = "nan"
@@ -222,6 +223,7 @@ def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
     short parquet lineage.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)  # node-id cache checkpoints go to the shared folder
     inputs = ["Status", *FEATURES]
     parts = (split(with_target(df.select("CustomerID", *inputs)), test, seed, balanced)
              .select("target", "is_test", *FEATURES)

@@ -8,13 +8,19 @@ same cells.  All eleven role columns are strings and dirty on purpose
 mixed-case statuses, unparseable dates).
 
 Plan shape: ``lineitem`` is reduced to one row per order with a partial
-(map-side) aggregate and shuffled once on the order key; ``orders`` is
-hash-partitioned on the same key.  Both sides then share one partitioning, so
-a shuffle join needs no further exchange, and when AQE finds the aggregate
-small enough to broadcast, the per-row work after the join (the cleaning every
-operator runs) is still spread over all partitions rather than over the scan's
-file splits.  ``orders`` is unique on its key, so the join cannot fan out, and
-a hot order key is absorbed by the partial aggregate before any shuffle.
+(map-side) aggregate and shuffled once on the order key.  ``orders`` is unique
+on its key, so the join cannot fan out, and a hot order key is absorbed by
+the partial aggregate before any shuffle.  Operators that need no
+``lineitem`` column (KPIs, cohorts, charts) get the join removed by Catalyst
+(left join to a side that is unique on the key), so they scan ``orders`` only.
+
+When the ``orders`` scan yields fewer splits than the cluster has task slots
+(few small files), it is hash-partitioned on the order key at the session's
+shuffle width: cheap at that size, co-partitioned with the lineitem aggregate
+for a shuffle join, and it spreads the CPU-heavy per-row cleaning over every
+slot.  An explicit width keeps AQE from merging these byte-small partitions.
+A wide scan (a large table) keeps its splits, so no extra shuffle is added
+where the join is removed.
 """
 
 from __future__ import annotations
@@ -62,10 +68,10 @@ def subscriptions_sql(orders: str = "orders", lineitem: str = "lineitem") -> str
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (uncleaned) subscription table derived from ``orders`` and ``lineitem``."""
-    # An explicit count (the cluster's shuffle width) keeps AQE from merging
-    # these partitions by byte size: the rows are narrow here but every one
-    # of them goes through the CPU-heavy cleaning after the join.
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    orders = read_table(spark, sf_dir, "orders").repartition(width, "o_orderkey")
+    orders = read_table(spark, sf_dir, "orders")
+    slots = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < slots:
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        orders = orders.repartition(max(width, slots), "o_orderkey")
     lineitem = read_table(spark, sf_dir, "lineitem")
     return spark.sql(SUBSCRIPTIONS_SQL, orders=orders, lineitem=lineitem)
