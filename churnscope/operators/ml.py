@@ -45,6 +45,9 @@ TEST_SHARE = 0.25
 NUM_TREES = 100
 MAX_DEPTH = 6
 FOREST_SEED = 42
+# Plan labels are collected to the driver and shipped with every scoring task,
+# so their number is checked before fitting (plan tiers, not customer ids).
+MAX_PLAN_LABELS = 100_000
 
 _PLAN_TEXT, _PLAN_CODE, _PLAN_ORD = "plan_text", "plan_code", "plan_ordinal"
 METRIC_NAMES = ("Accuracy", "Precision", "Recall", "F1-Score")
@@ -65,12 +68,19 @@ def plan_text(c: str = "PlanType") -> Column:
 def fit_plan_encoder(df: DataFrame) -> StringIndexerModel:
     """Ordinal plan codes in ascending text order, fitted on all rows.
 
-    The fit is one aggregation over the distinct plan texts; the label list
-    (one entry per plan) is the only thing collected.
+    The distinct plan texts are found with one distributed aggregation and
+    their number is bounded before anything reaches the driver; the indexer
+    is then fitted on that small distinct set (text order does not depend on
+    frequencies, so the labels are the same).
     """
+    distinct = df.select(plan_text().alias(_PLAN_TEXT)).distinct()
+    n = distinct.limit(MAX_PLAN_LABELS + 1).count()
+    if n > MAX_PLAN_LABELS:
+        raise ValueError(f"PlanType has more than {MAX_PLAN_LABELS} distinct values; "
+                         "is it mapped to an identifier column?")
     indexer = StringIndexer(inputCol=_PLAN_TEXT, outputCol=_PLAN_CODE,
                             stringOrderType="alphabetAsc", handleInvalid="error")
-    return indexer.fit(df.select(plan_text().alias(_PLAN_TEXT)))
+    return indexer.fit(distinct)
 
 
 def plan_codes(df: DataFrame, encoder: StringIndexerModel) -> DataFrame:

@@ -64,7 +64,7 @@ clean AS (
   FROM subscriptions),
 flagged AS (
   SELECT *, {ACTIVE} AS is_active, {CHURNED} AS is_churned,
-         CASE WHEN {CHURNED} THEN 1.0 ELSE 0.0 END AS target
+         CAST(CASE WHEN {CHURNED} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS target
   FROM clean)
 """
 

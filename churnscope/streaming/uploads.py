@@ -4,7 +4,8 @@ Each file dropped into the upload folder is one dataset, the way each upload
 replaces the previous table in an interactive session.  The stream picks new
 files up incrementally (Structured Streaming file source, exactly-once via its
 checkpoint), and for every micro-batch computes the KPI row of each upload with
-the batch operators, appending the rows to a Parquet table.  The work per
+the batch operators, writing them to a Parquet table partitioned by batch id
+(a retried batch overwrites its own partition, so the sink stays exact).  The work per
 batch is a ``groupBy(upload)`` aggregate; no state is kept between batches,
 because a file is read in exactly one micro-batch.
 """
@@ -50,7 +51,10 @@ def kpis_per_upload(spark: SparkSession, folder: str, output: str, checkpoint: s
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         clean = preprocess(batch, mapping)
         rows = kpis(clean, by=["upload"]).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        rows.write.mode("append").parquet(output)
+        # Idempotent sink: a re-run of a batch (after a failure) replaces its
+        # own partition instead of appending a second copy.
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(output))
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
