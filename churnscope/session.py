@@ -56,12 +56,16 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, saved models and materialised tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (a local test session) do we fall back to a fresh temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode
+    session (tests) without it falls back to a fresh temporary folder; on a
+    cluster a machine-local folder would not be visible to other executors,
+    so there an unset setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="churnscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

@@ -12,6 +12,7 @@ because a file is read in exactly one micro-batch.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from churnscope.functions.cleaning import NA_TOKENS
 from churnscope.operators.kpis import kpis
 from churnscope.operators.preprocess import preprocess
 from churnscope.roles import ROLES
+from churnscope.session import checkpoint_dir
 
 
 def upload_schema(columns=ROLES) -> StructType:
@@ -42,10 +44,16 @@ def upload_stream(spark: SparkSession, folder: str, schema: StructType | None =
     return raw.select(*cols, F.col("_metadata.file_path").alias("upload"))
 
 
-def kpis_per_upload(spark: SparkSession, folder: str, output: str, checkpoint: str,
+def kpis_per_upload(spark: SparkSession, folder: str, output: str, checkpoint: str | None = None,
                     mapping: Mapping[str, str] | None = None, schema: StructType | None = None,
-                    available_now: bool = True) -> StreamingQuery:
-    """Start the stream; one KPI row per uploaded file is appended to ``output``."""
+                    available_now: bool = True, name: str = "kpis_per_upload") -> StreamingQuery:
+    """Start the stream; one KPI row per uploaded file is written to ``output``.
+
+    The stream's progress is checkpointed in ``checkpoint`` (default: a
+    folder named after the stream under the shared ``spark.checkpoint.dir``).
+    """
+    if checkpoint is None:
+        checkpoint = os.path.join(checkpoint_dir(spark), "streams", name)
     stream = upload_stream(spark, folder, schema)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
