@@ -47,7 +47,9 @@ def test_plan_codes_alphabetical_null_is_nan(spark):
 def test_metrics_from_confusion(spark):
     pred = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (0.0, 0.0)],
                                  "target double, prediction double")
-    r = ml.binary_metrics(pred).first()
+    m = ml.binary_metrics(pred)
+    assert m.columns[:4] == list(ml.METRIC_NAMES)
+    r = m.first()
     assert r.Accuracy == pytest.approx(60.0) and r.Precision == pytest.approx(50.0)
     assert r.Recall == pytest.approx(50.0) and r["F1-Score"] == pytest.approx(50.0)
     none = spark.createDataFrame([(0.0, 0.0)], "target double, prediction double")
@@ -65,7 +67,9 @@ def test_importances_sum_to_one(spark, trained):
 
 def test_ledger_sorted_active_and_banded(spark, trained):
     c, model, _ = trained
-    led = ml.risk_ledger(c, model).collect()
+    ledger = ml.risk_ledger(c, model)
+    assert ledger.columns == list(ml.LEDGER_COLUMNS)
+    led = ledger.collect()
     assert len(led) == c.where("lower(Status) = 'active'").count()
     probs = [r.ChurnRiskProbability for r in led]
     assert probs == sorted(probs, reverse=True)
