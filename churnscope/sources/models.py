@@ -44,9 +44,16 @@ def load_model(path: str) -> ChurnModel:
 _CACHE: dict[tuple[str, str], ChurnModel] = {}
 
 
+def _app(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext handle
+        return str(id(spark))
+
+
 def remember(spark: SparkSession, key: str, model: ChurnModel) -> None:
-    _CACHE[(spark.sparkContext.applicationId, key)] = model
+    _CACHE[(_app(spark), key)] = model
 
 
 def recall(spark: SparkSession, key: str) -> ChurnModel | None:
-    return _CACHE.get((spark.sparkContext.applicationId, key))
+    return _CACHE.get((_app(spark), key))
