@@ -72,3 +72,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(os.path.join(path, "rdd"))
     return path
+
+
+def cluster_conf(shuffle_bytes: float, total_cores: int, target_partition_bytes: int = 256 << 20,
+                 scan_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Partition sizing for a cluster run, from the expected shuffle volume.
+
+    The shuffle width starts at ``shuffle_bytes / target`` (at least three
+    waves of the cluster's cores, so a straggler wave is short) and AQE
+    coalesces partitions that turn out smaller than the target at run time.
+    Each task therefore holds about ``target_partition_bytes`` of shuffle
+    data, which fits executor memory and spills cleanly when it does not.
+
+    Example: 100 TB of TPC-H-like input derives one subscription per order;
+    the order-keyed shuffle moves roughly 50 bytes per order plus 24 per
+    lineitem aggregate row, about 11 TB at scale factor 100,000, so with
+    16,000 cores: ``cluster_conf(11e12, 16000)`` gives 48,000 initial
+    partitions of about 230 MB.
+    """
+    width = max(3 * total_cores, int(shuffle_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(width),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(width),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_partition_bytes),
+    }

@@ -98,3 +98,11 @@ def test_stream_kpis_per_upload(spark, tmp_dir):
     rows = spark.read.parquet(out).collect()
     assert sorted(r.total_customers for r in rows) == [100, 200]
     assert sum(r.active_count for r in rows) == g.where("Status = 'Active'").count()
+
+
+def test_cluster_conf_sizing():
+    from churnscope.session import cluster_conf
+    c = cluster_conf(11e12, 16000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 48000
+    small = cluster_conf(1e9, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24  # three waves of 8 cores
