@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,19 +68,20 @@ def plan_text(c: str = "PlanType") -> Column:
 def fit_plan_encoder(df: DataFrame) -> StringIndexerModel:
     """Ordinal plan codes in ascending text order, fitted on all rows.
 
-    The distinct plan texts are found with one distributed aggregation and
-    their number is bounded before anything reaches the driver; the indexer
-    is then fitted on that small distinct set (text order does not depend on
-    frequencies, so the labels are the same).
+    The distinct plan texts are found with one distributed aggregation; at
+    most ``MAX_PLAN_LABELS + 1`` of them are brought to the driver, so an
+    identifier column mapped as the plan by mistake fails fast instead of
+    flooding the driver.  Ascending text order does not depend on
+    frequencies, so the labels equal those of ``StringIndexer(alphabetAsc)``.
     """
-    distinct = df.select(plan_text().alias(_PLAN_TEXT)).distinct()
-    n = distinct.limit(MAX_PLAN_LABELS + 1).count()
-    if n > MAX_PLAN_LABELS:
+    rows = (df.select(plan_text().alias(_PLAN_TEXT)).distinct()
+              .limit(MAX_PLAN_LABELS + 1).collect())
+    if len(rows) > MAX_PLAN_LABELS:
         raise ValueError(f"PlanType has more than {MAX_PLAN_LABELS} distinct values; "
                          "is it mapped to an identifier column?")
-    indexer = StringIndexer(inputCol=_PLAN_TEXT, outputCol=_PLAN_CODE,
-                            stringOrderType="alphabetAsc", handleInvalid="error")
-    return indexer.fit(distinct)
+    labels = sorted(r[0] for r in rows)
+    return StringIndexerModel.from_labels(labels, inputCol=_PLAN_TEXT, outputCol=_PLAN_CODE,
+                                          handleInvalid="error")
 
 
 def plan_codes(df: DataFrame, encoder: StringIndexerModel) -> DataFrame:
