@@ -215,11 +215,16 @@ def churn_probability(prob_col: str = "probability") -> Column:
     return F.coalesce(F.try_element_at(vector_to_array(F.col(prob_col)), F.lit(2)), F.lit(0.0))
 
 
-def forest_params(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = FOREST_SEED):
-    return dict(numTrees=num_trees, maxDepth=max_depth, seed=seed, impurity="gini",
-                featureSubsetStrategy=str(max(1, int(math.sqrt(len(FEATURES))))),
-                bootstrap=True, subsamplingRate=1.0, minInstancesPerNode=1,
-                maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
+def forest_params(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = FOREST_SEED,
+                  **extra):
+    """Forest settings; ``extra`` passes any other ``RandomForestClassifier``
+    parameter through (e.g. ``maxBins=128`` for finer continuous splits)."""
+    params = dict(numTrees=num_trees, maxDepth=max_depth, seed=seed, impurity="gini",
+                  featureSubsetStrategy=str(max(1, int(math.sqrt(len(FEATURES))))),
+                  bootstrap=True, subsamplingRate=1.0, minInstancesPerNode=1,
+                  maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
+    params.update(extra)
+    return params
 
 
 def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
