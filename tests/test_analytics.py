@@ -195,3 +195,12 @@ def test_invariance_to_partitioning(spark):
                         sorted(tuple(r) for r in charts.support_churn(df).collect()),
                         tuple(C.rounded(kpis.kpis(df), C.KPI_MONEY, C.KPI_MICRO).first())))
     assert results[0] == results[1] == results[2]
+
+
+def test_plan_revenue_sums_to_total(spark):
+    from pyspark.sql import functions as F
+    c = C.cleaned(spark, SF_SMALL)
+    dist = charts.plan_distribution(c).collect()
+    total = c.where(F.col("PlanType").isNotNull()).agg(F.sum("MonthlyRevenue")).first()[0]
+    assert sum(r.revenue for r in dist) == pytest.approx(total, rel=1e-12)
+    assert sum(r.users for r in dist) == c.where(F.col("PlanType").isNotNull()).count()
