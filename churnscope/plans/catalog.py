@@ -16,10 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.functions import month_bucket
-from churnscope.operators import charts, cohorts, filters, insights, kpis, preprocess, profile
+from churnscope.functions import (month_bucket, percent_text, retention_action, risk_band,
+                                  risk_color)
+from churnscope.functions.cleaning import NA_TOKENS, na_to_null
+from churnscope.functions.labels import LEDGER_LABELS, PLAIN_LABELS, PROTOCOLS, RISK_COLORS
+from churnscope.operators import (charts, cohorts, filters, insights, kpis, ml, preprocess,
+                                  profile)
 from churnscope.plans import oracle as O
 from churnscope.roles import ROLES
+from churnscope.sources import models
+from churnscope.sources.files import impute_mean, infer_types
 from churnscope.sources.subscriptions import subscriptions
 
 
@@ -109,7 +115,6 @@ def q_preprocess(spark, sf_dir):
 
 
 def _na_sql(c: str) -> str:
-    from churnscope.functions.cleaning import NA_TOKENS
     toks = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
     return f"CASE WHEN {c} IN ({toks}) THEN NULL ELSE {c} END AS {c}"
 
@@ -131,11 +136,9 @@ IMPUTE_SQL = O.with_base(
 
 @register("impute_mean", IMPUTE_SQL)
 def q_impute_mean(spark, sf_dir):
-    from churnscope.sources.files import impute_mean, infer_types
-    from churnscope.functions.cleaning import na_to_null
     r = raw(spark, sf_dir)
-    typed = infer_types(r.select(*[na_to_null(c).alias(c) for c in r.columns]))
-    return rounded(impute_mean(typed), micro=("TenureMonths", "SupportTickets"))
+    typed, means = infer_types(r.select(*[na_to_null(c).alias(c) for c in r.columns]), with_means=True)
+    return rounded(impute_mean(typed, means=means), micro=("TenureMonths", "SupportTickets"))
 
 
 _QUALITY_ROLES = ("MonthlyRevenue", "LTV", "CAC", "TenureMonths", "SupportTickets",
@@ -395,11 +398,6 @@ def q_insights(spark, sf_dir):
 # Churn model
 # --------------------------------------------------------------------------
 
-from churnscope.functions.labels import LEDGER_LABELS, PLAIN_LABELS, PROTOCOLS, RISK_COLORS  # noqa: E402
-from churnscope.operators import ml  # noqa: E402
-from churnscope.sources import models  # noqa: E402
-
-
 def churn_model(spark: SparkSession, sf_dir: str) -> ml.ChurnModel:
     """The model trained on this dataset, trained once per application and reused."""
     key = f"churn:{sf_dir}"
@@ -491,7 +489,6 @@ rates AS (SELECT tickets, CASE WHEN Total > 0 THEN Churned / Total ELSE 0.0 END
     f"{_band_sql('p', PLAIN_LABELS)} AS risk_text, {_band_sql('p', RISK_COLORS)} AS risk_color "
     "FROM rates ORDER BY tickets", RATE_CTE))
 def q_risk_band(spark, sf_dir):
-    from churnscope.functions import risk_band, risk_color
     s = charts.support_churn(cleaned(spark, sf_dir))
     p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
     return s.select("tickets", p.alias("p")).select(
@@ -502,7 +499,6 @@ def q_risk_band(spark, sf_dir):
 @register("retention_action", O.with_base(
     f"SELECT tickets, p, {_band_sql('p', PROTOCOLS)} AS protocol FROM rates ORDER BY tickets", RATE_CTE))
 def q_retention_action(spark, sf_dir):
-    from churnscope.functions import retention_action
     s = charts.support_churn(cleaned(spark, sf_dir))
     p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
     return s.select("tickets", p.alias("p")).select("tickets", "p",
@@ -560,7 +556,6 @@ def q_active_ratio(spark, sf_dir):
     "SELECT tickets, p, printf('%.1f%%', round_even(p * 100.0, 1)) AS p_text FROM rates ORDER BY tickets",
     RATE_CTE))
 def q_percent_text(spark, sf_dir):
-    from churnscope.functions import percent_text
     s = charts.support_churn(cleaned(spark, sf_dir))
     p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
     return s.select("tickets", p.alias("p")).select("tickets", "p", percent_text("p").alias("p_text"))

@@ -35,7 +35,7 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "csv", infer: bool
     return infer_types(df) if infer else df
 
 
-def infer_types(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+def infer_types(df: DataFrame, cols: Iterable[str] | None = None, with_means: bool = False):
     """Type text columns whose every non-null value is a number.
 
     One global aggregate counts, per text column, the non-null values that
@@ -44,41 +44,60 @@ def infer_types(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     A numeric column becomes ``bigint`` when all values are integers and none
     is missing, else ``double`` (as pandas makes an integer column with gaps
     a float column).
+
+    ``with_means=True`` also returns each numeric column's mean, computed in
+    the same pass (a column is numeric only when every value parses, so the
+    mean of the parsed values is the column mean), for :func:`impute_mean`.
     """
     text_cols = [f.name for f in df.schema.fields
                  if isinstance(f.dataType, StringType) and (cols is None or f.name in cols)]
     if not text_cols:
-        return df
+        return (df, {}) if with_means else df
+    # Trimmed text and its parse in their own projections: one regex pass per value.
+    staged = df.select(*[F.col(f"`{c}`").alias(f"raw{i}") for i, c in enumerate(text_cols)])
+    staged = staged.select("*", *[int_text(F.col(f"raw{i}")).alias(f"txt{i}")
+                                  for i in range(len(text_cols))])
+    staged = staged.select("*", *[parse_text(F.col(f"txt{i}")).alias(f"num{i}")
+                                  for i in range(len(text_cols))])
     aggs = []
-    for i, c in enumerate(text_cols):
-        t = int_text(F.col(f"`{c}`"))
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"),
-                 F.count_if(F.col(f"`{c}`").isNotNull() & parse_text(t).isNull()).alias(f"bad{i}"),
-                 F.count_if(F.col(f"`{c}`").isNotNull() & ~t.rlike(INTEGER_PATTERN)).alias(f"frac{i}")]
-    stats = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
-    casts = {}
+    for i in range(len(text_cols)):
+        present = F.col(f"raw{i}").isNotNull()
+        aggs += [F.count(F.col(f"raw{i}")).alias(f"n{i}"),
+                 F.count_if(present & F.col(f"num{i}").isNull()).alias(f"bad{i}"),
+                 F.count_if(present & ~F.col(f"txt{i}").rlike(INTEGER_PATTERN)).alias(f"frac{i}")]
+        if with_means:
+            aggs.append(F.avg(F.col(f"num{i}")).alias(f"mean{i}"))
+    stats = staged.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+    casts, means = {}, {}
     for i, c in enumerate(text_cols):
         n, bad, frac = stats[f"n{i}"], stats[f"bad{i}"], stats[f"frac{i}"]
         if n == 0 or bad > 0:
             continue
         parsed = parse_text(int_text(F.col(f"`{c}`")))
         casts[c] = parsed.cast("bigint") if (frac == 0 and n == stats["rows"]) else parsed
-    return df.withColumns(casts) if casts else df
+        if with_means and stats[f"mean{i}"] is not None:
+            means[c] = float(stats[f"mean{i}"])
+    typed = df.withColumns(casts) if casts else df
+    return (typed, means) if with_means else typed
 
 
-def impute_mean(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+def impute_mean(df: DataFrame, cols: Iterable[str] | None = None,
+                means: dict[str, float] | None = None) -> DataFrame:
     """Fill nulls of numeric columns with the column mean; text columns untouched.
 
     One aggregate computes every mean (a single row, one value per column),
     then ``fillna`` applies them in a projection.  Integer columns keep their
-    type (they have no nulls after :func:`infer_types`).
+    type (they have no nulls after :func:`infer_types`).  ``means`` supplies
+    means already computed (``infer_types(..., with_means=True)``), saving
+    that pass.
     """
     numeric = [f.name for f in df.schema.fields
                if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "decimal")
                and (cols is None or f.name in cols)]
     if not numeric:
         return df
-    means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in numeric]).first().asDict()
-    fill = {c: float(v) for c, v in means.items() if v is not None}
+    if means is None:
+        means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in numeric]).first().asDict()
+    fill = {c: float(v) for c, v in means.items() if v is not None and c in numeric}
     fractional = [c for c in fill if df.schema[c].dataType.typeName() in ("double", "float", "decimal")]
     return df.fillna({c: fill[c] for c in fractional}) if fractional else df

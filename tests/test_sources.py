@@ -24,6 +24,12 @@ def test_csv_roundtrip_with_na_tokens_and_inference(spark, tmp_dir):
     assert types["SupportTickets"] == "double" and types["MonthlyRevenue"] == "string"
     filled = files.impute_mean(typed)
     assert filled.where(F.col("TenureMonths").isNull() | F.col("SupportTickets").isNull()).count() == 0
+    typed2, means = files.infer_types(files.read_customers(spark, path), with_means=True)
+    assert typed2.dtypes == typed.dtypes
+    separate = typed.agg(*[F.avg(c).alias(c) for c in means]).first().asDict()
+    assert means == pytest.approx(separate, rel=1e-12)
+    fused = files.impute_mean(typed2, means=means)
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, filled.collect()))
     # The cleaned upload gives the same KPI row as the parquet-derived table.
     a = C.rounded(kpis.kpis(preprocess.preprocess(back)), C.KPI_MONEY, C.KPI_MICRO).first()
     b = C.rounded(kpis.kpis(C.cleaned(spark, SF_SMALL)), C.KPI_MONEY, C.KPI_MICRO).first()
