@@ -482,6 +482,13 @@ rates AS (SELECT tickets, CASE WHEN Total > 0 THEN Churned / Total ELSE 0.0 END
 """
 
 
+def ticket_rates(spark, sf_dir) -> DataFrame:
+    """Empirical churn probability per ticket count: ``tickets, p``."""
+    s = charts.support_churn(cleaned(spark, sf_dir))
+    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
+    return s.select("tickets", p.alias("p"))
+
+
 # Risk bands applied to an empirical churn probability (the churn share of
 # each ticket-count group), which both engines compute identically.
 @register("risk_band", O.with_base(
@@ -489,9 +496,7 @@ rates AS (SELECT tickets, CASE WHEN Total > 0 THEN Churned / Total ELSE 0.0 END
     f"{_band_sql('p', PLAIN_LABELS)} AS risk_text, {_band_sql('p', RISK_COLORS)} AS risk_color "
     "FROM rates ORDER BY tickets", RATE_CTE))
 def q_risk_band(spark, sf_dir):
-    s = charts.support_churn(cleaned(spark, sf_dir))
-    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
-    return s.select("tickets", p.alias("p")).select(
+    return ticket_rates(spark, sf_dir).select(
         "tickets", "p", risk_band("p").alias("RiskCategory"),
         risk_band("p", emoji=False).alias("risk_text"), risk_color("p").alias("risk_color"))
 
@@ -499,10 +504,7 @@ def q_risk_band(spark, sf_dir):
 @register("retention_action", O.with_base(
     f"SELECT tickets, p, {_band_sql('p', PROTOCOLS)} AS protocol FROM rates ORDER BY tickets", RATE_CTE))
 def q_retention_action(spark, sf_dir):
-    s = charts.support_churn(cleaned(spark, sf_dir))
-    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
-    return s.select("tickets", p.alias("p")).select("tickets", "p",
-                                                    retention_action("p").alias("protocol"))
+    return ticket_rates(spark, sf_dir).select("tickets", "p", retention_action("p").alias("protocol"))
 
 
 @register("train_churn", None)
@@ -556,6 +558,4 @@ def q_active_ratio(spark, sf_dir):
     "SELECT tickets, p, printf('%.1f%%', round_even(p * 100.0, 1)) AS p_text FROM rates ORDER BY tickets",
     RATE_CTE))
 def q_percent_text(spark, sf_dir):
-    s = charts.support_churn(cleaned(spark, sf_dir))
-    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
-    return s.select("tickets", p.alias("p")).select("tickets", "p", percent_text("p").alias("p_text"))
+    return ticket_rates(spark, sf_dir).select("tickets", "p", percent_text("p").alias("p_text"))
