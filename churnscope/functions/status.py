@@ -31,6 +31,20 @@ def is_churned(c: Column | str = "Status") -> Column:
     return F.coalesce(_status(c).isin(*CHURNED_STATUSES), F.lit(False))
 
 
+STATUS_CLASS = "status_class"
+
+
+def status_class(c: Column | str = "Status") -> Column:
+    """``active``, ``churned`` or ``other``: a storage-layout column.
+
+    Registered datasets can be partitioned by it, so a filter on one class
+    reads only that class's files (partition pruning).
+    """
+    return (F.when(is_active(c), F.lit("active"))
+             .when(is_churned(c), F.lit("churned"))
+             .otherwise(F.lit("other")))
+
+
 def churn_target(c: Column | str = "Status") -> Column:
     """ML label: 1.0 for churned/inactive, else 0.0."""
     return F.when(is_churned(c), F.lit(1.0)).otherwise(F.lit(0.0))

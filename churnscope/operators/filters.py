@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions import is_active, is_churned
+from churnscope.functions.status import STATUS_CLASS
 
 
 def active_filter(df: DataFrame, status: str = "Status") -> DataFrame:
-    """Rows whose lower-cased status is exactly ``active`` (no trimming)."""
+    """Rows whose lower-cased status is exactly ``active`` (no trimming).
+
+    On a dataset registered with its status class (same rule, precomputed),
+    the filter uses that column, so a partitioned layout is pruned.
+    """
+    if STATUS_CLASS in df.columns:
+        return df.where(F.col(STATUS_CLASS) == F.lit("active"))
     return df.where(is_active(status))
 
 
 def churned_filter(df: DataFrame, status: str = "Status") -> DataFrame:
     """Rows whose lower-cased status is ``churned`` or ``inactive``."""
+    if STATUS_CLASS in df.columns:
+        return df.where(F.col(STATUS_CLASS) == F.lit("churned"))
     return df.where(is_churned(status))
 
 

@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from churnscope.functions.status import STATUS_CLASS, status_class
 from churnscope.session import checkpoint_dir
 
 
@@ -30,9 +31,20 @@ def dataset_path(spark: SparkSession, name: str = "current", owner: str = "defau
 
 
 def register_dataset(spark: SparkSession, df: DataFrame, name: str = "current",
-                     owner: str = "default") -> DataFrame:
+                     owner: str = "default", by_status: bool = False) -> DataFrame:
+    """Write ``df`` as the owner's current dataset and return it read back.
+
+    ``by_status=True`` (for a cleaned, role-named table) adds the status
+    class and partitions the files by it: the ledger and the churned views
+    then read only their class's files.
+    """
     path = dataset_path(spark, name, owner)
-    df.write.mode("overwrite").parquet(path)
+    writer = df
+    if by_status:
+        writer = df.withColumn(STATUS_CLASS, status_class("Status"))
+        writer.write.mode("overwrite").partitionBy(STATUS_CLASS).parquet(path)
+    else:
+        writer.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -112,3 +112,17 @@ def test_cluster_conf_sizing():
     assert int(c["spark.sql.shuffle.partitions"]) == 48000
     small = cluster_conf(1e9, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 24  # three waves of 8 cores
+
+
+def test_registry_status_partitions_prune_and_agree(spark):
+    from churnscope.operators import filters, kpis as K
+    clean = C.cleaned(spark, SF_SMALL)
+    reg = registry.register_dataset(spark, clean, name="parts", owner=f"p-{os.getpid()}", by_status=True)
+    act = filters.active_filter(reg)
+    plan = act._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status_class" in plan and "active" in plan
+    assert act.count() == filters.active_filter(clean).count()
+    assert filters.churned_filter(reg).count() == filters.churned_filter(clean).count()
+    a = C.rounded(K.kpis(reg), C.KPI_MONEY, C.KPI_MICRO).first()
+    b = C.rounded(K.kpis(clean), C.KPI_MONEY, C.KPI_MICRO).first()
+    assert a == b
