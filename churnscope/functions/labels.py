@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from churnscope.functions.rounding import round_half_even
+
 # Churn-probability cut-offs and the texts/colours per band.
 HIGH_RISK_AT = 0.70
 MEDIUM_RISK_AT = 0.40
@@ -53,6 +55,6 @@ def ltv_cac_band(ratio: Column | str) -> Column:
 
 
 def percent_text(p: Column | str) -> Column:
-    """``0.0625 -> "6.2%"``: half-even to one decimal, then formatted."""
+    """``0.0625 -> "6.2%"``: half-even to one decimal (Python's rule), then formatted."""
     p = F.col(p) if isinstance(p, str) else p
-    return F.format_string("%.1f%%", F.bround(p * F.lit(100.0), 1))
+    return F.format_string("%.1f%%", round_half_even(p * F.lit(100.0), 1))

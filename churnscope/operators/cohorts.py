@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions import month_bucket, retained_in_month
+from churnscope.functions.rounding import round_half_even
 
 
 def cohort_counts(df: DataFrame, months: int = 12, formats=None) -> DataFrame:
@@ -40,8 +41,9 @@ def cohort_matrix(df: DataFrame, last: int | None = 12, months: int = 12, wide:
     """Retention percentages of the newest cohorts.
 
     Long form (default): ``cohort, label, cohort_size, month_idx, month,
-    retained, pct`` with ``pct`` = half-even round of retained/size*100 to one
-    decimal.  Wide form: ``cohort, label, cohort_size, Month 0 .. Month n``.
+    retained, pct`` with ``pct`` = retained/size*100 rounded half-even to one
+    decimal on its exact binary value (as Python's ``round``; plain ``bround``
+    differs on some ties once cohorts reach about 2,000 rows).  Wide form: ``cohort, label, cohort_size, Month 0 .. Month n``.
     ``censor=True`` nulls months a cohort has not lived through by ``as_of``
     (default: today; the reference counts them as lost); ``last=None`` keeps
     every cohort.
@@ -52,7 +54,7 @@ def cohort_matrix(df: DataFrame, last: int | None = 12, months: int = 12, wide:
     counts = counts.withColumn("label", F.format_string("%s (%d)", "cohort", "cohort_size"))
 
     def pct(retained):
-        return F.bround(retained / F.col("cohort_size") * F.lit(100.0), 1)
+        return round_half_even(retained / F.col("cohort_size") * F.lit(100.0), 1)
 
     def censored(i, value):
         if not censor:

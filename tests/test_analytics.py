@@ -204,3 +204,17 @@ def test_plan_revenue_sums_to_total(spark):
     total = c.where(F.col("PlanType").isNotNull()).agg(F.sum("MonthlyRevenue")).first()[0]
     assert sum(r.revenue for r in dist) == pytest.approx(total, rel=1e-12)
     assert sum(r.users for r in dist) == c.where(F.col("PlanType").isNotNull()).count()
+
+
+def test_cohort_matrix_brute_force_sf01(spark):
+    """Large cohorts (~1,900 rows), where plain bround can differ from Python."""
+    from churnscope.functions import month_bucket
+    c = C.cleaned(spark, "/root/testdata/sf0.1")
+    local = [r.asDict() for r in c.select(month_bucket("SignupDate").alias("cohort"), "Status",
+                                          "TenureMonths").collect()]
+    want = brute_cohorts(local)
+    got = defaultdict(dict)
+    for r in cohorts.cohort_matrix(c).collect():
+        got[r.cohort][r.month_idx] = (r.retained, r.pct)
+    for cohort, (n, vals) in want.items():
+        assert [got[cohort][i] for i in range(12)] == vals, cohort
