@@ -89,6 +89,9 @@ def test_what_if_and_unseen_plan(spark, trained):
     c, model, _ = trained
     w = ml.what_if(c, model, {"tickets": 0}).collect()
     assert w and all(r.tickets == 0 for r in w)
+    many = ml.what_if_many(c, model, [{"tickets": 0}, {"last_login": 90, "usage": 0}])
+    counts = {r.scenario: r["count"] for r in many.groupBy("scenario").count().collect()}
+    assert counts == {0: len(w), 1: len(w)}
     assert all(r.risk_text in ("HIGH RISK", "MEDIUM RISK", "SAFE") for r in w)
     sc = spark.createDataFrame(
         [("NoSuchPlan", 99.0, 6, 25, 2, 3), (model.labels[0], 99.0, 6, 25, 2, 3)],
