@@ -53,7 +53,7 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str] | None = None,
 
 
 def clean_roles(df: DataFrame) -> DataFrame:
-    """Coerce money and integer roles of a role-named frame (one projection)."""
+    """Coerce money and integer roles of a role-named frame (staged: text, parse, value)."""
     return clean_columns(df, money=MONEY_ROLES, ints=INT_ROLES)
 
 
