@@ -126,3 +126,25 @@ def test_registry_status_partitions_prune_and_agree(spark):
     a = C.rounded(K.kpis(reg), C.KPI_MONEY, C.KPI_MICRO).first()
     b = C.rounded(K.kpis(clean), C.KPI_MONEY, C.KPI_MICRO).first()
     assert a == b
+
+
+def test_stream_restart_is_exactly_once(spark, tmp_dir):
+    from churnscope.streaming.uploads import kpis_per_upload
+    g = generator.generate_customers(spark, 120)
+    src = os.path.join(tmp_dir, "uploads")
+    os.makedirs(src)
+
+    def drop(i, df):
+        stage = os.path.join(tmp_dir, f"stage{i}")
+        df.coalesce(1).write.option("header", True).csv(stage)
+        f = [x for x in os.listdir(stage) if x.endswith(".csv")][0]
+        os.link(os.path.join(stage, f), os.path.join(src, f"upload{i}.csv"))
+
+    out, ckpt = os.path.join(tmp_dir, "kpis"), os.path.join(tmp_dir, "ckpt")
+    drop(0, g.limit(50))
+    kpis_per_upload(spark, src, out, ckpt).awaitTermination(120)
+    kpis_per_upload(spark, src, out, ckpt).awaitTermination(120)   # restart: nothing new
+    assert sorted(r.total_customers for r in spark.read.parquet(out).collect()) == [50]
+    drop(1, g.subtract(g.limit(50)))
+    kpis_per_upload(spark, src, out, ckpt).awaitTermination(120)
+    assert sorted(r.total_customers for r in spark.read.parquet(out).collect()) == [50, 70]
