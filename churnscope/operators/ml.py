@@ -275,8 +275,9 @@ def risk_ledger(df: DataFrame, model: ChurnModel, top_n: int | None = None,
     """Active customers scored and ranked by churn probability (descending).
 
     The ID search is applied before scoring (a row filter commutes with
-    row-wise scoring).  Ties are ordered by customer ID, which also lets the
-    range-partitioned sort split a value shared by many rows.
+    row-wise scoring).  Ties are ordered by customer ID and then by a hash of
+    the row, which also lets the range-partitioned sort split a value shared
+    by many rows.
     """
     act = id_search(active_filter(df), search, literal=literal)
     scored = model.transform(act)
@@ -289,7 +290,11 @@ def risk_ledger(df: DataFrame, model: ChurnModel, top_n: int | None = None,
         F.col("LastLoginDaysAgo").cast("bigint").alias("LastLoginDaysAgo"),
         F.col("churn_probability").alias("ChurnRiskProbability"),
         risk_band("churn_probability", emoji=True).alias("RiskCategory"))
-    out = out.orderBy(F.col("ChurnRiskProbability").desc(), F.col("CustomerID").asc_nulls_last())
+    # A deterministic hash of the other columns is the last key, so even a
+    # third of the rows sharing one id and one score spread over many range
+    # partitions (and a retried task re-computes the same keys).
+    spread = F.xxhash64(*[F.col(c) for c in LEDGER_COLUMNS if c != "CustomerID"])
+    out = out.orderBy(F.col("ChurnRiskProbability").desc(), F.col("CustomerID").asc_nulls_last(), spread)
     return out.limit(top_n) if top_n else out
 
 

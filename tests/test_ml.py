@@ -133,3 +133,23 @@ def test_scenario_grid(spark):
     assert len(rows) == 2 * 2 * 3 * 2 * 2 * 3
     assert len(set(map(tuple, rows))) == len(rows)
     assert {r.plan for r in rows} == {"A", "B"} and {r.tenure for r in rows} == {1, 2, 3}
+
+
+def test_ledger_sort_spreads_a_hot_id(spark):
+    """A third of the rows share one id: the sort still uses many partitions."""
+    rows = [dict(CustomerID="HOT" if i % 3 == 0 else f"c{i}", Status="Active", PlanType="p",
+                 TenureMonths=str(i % 13), MonthlyRevenue=str(10 + i % 97), SupportTickets=str(i % 5))
+            for i in range(3000)]
+    df = preprocess.preprocess(customers(spark, rows))
+    # A one-class model scores every row 0: a third of the rows then share
+    # both the id and the score, the worst case for a range partitioner.
+    model, _ = ml.train_churn(df, **SMALL_FOREST)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # keep the range partitions as planned (tiny data)
+    try:
+        sizes = ml.risk_ledger(df, model).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(sizes) == 3000 and len(sizes) > 1
+    assert max(sizes) < 1000  # the 1,000 HOT rows did not land in one partition
