@@ -7,7 +7,7 @@ so a key holding a third of the table costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions import is_churned, month_bucket
@@ -25,9 +25,12 @@ def plan_distribution(df: DataFrame) -> DataFrame:
 def plan_revenue_share(plan_dist: DataFrame) -> DataFrame:
     """Add each plan's share of plotted revenue (the donut's parts of a whole).
 
-    Runs on the aggregated plan table (one row per plan), not on customers.
+    The total is a scalar subquery over the plan table: Spark reuses the plan
+    aggregation's shuffle for it, and the only single-task step is the merge
+    of one partial sum per partition, however many plans there are (a
+    partition-less window would pull every plan row into one task).
     """
-    total = F.sum("revenue").over(Window.partitionBy())
+    total = plan_dist.select(F.sum("revenue")).scalar()
     return plan_dist.withColumn(
         "share", F.when(total != 0, F.col("revenue") / total).otherwise(F.lit(0.0)))
 
