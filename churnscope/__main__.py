@@ -33,7 +33,10 @@ from churnscope.sources.generator import generate_customers
 
 def _clean(spark, args):
     raw = read_customers(spark, args.input, fmt=args.format)
-    mapping = json.load(open(args.mapping)) if args.mapping else None
+    mapping = None
+    if args.mapping:
+        with open(args.mapping) as fh:
+            mapping = json.load(fh)
     return raw, preprocess.preprocess(raw, mapping)
 
 
