@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.functions import churn_target, is_active, is_churned, month_bucket
+from churnscope.functions import churn_target, is_active, is_churned, month_bucket, parse_date
 from churnscope.functions.cleaning import LONG_LIMIT, clean_columns, int_text, money_text, parse_text
 from churnscope.roles import INT_ROLES, MONEY_ROLES, ROLES
 
@@ -77,7 +77,8 @@ def with_month(df: DataFrame, date_col: str = "SignupDate", name: str = "signup_
 
 
 def quality_report(raw: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """Per numeric role: rows, null inputs, and non-null inputs coerced to zero.
+    """Per numeric role (and the signup date): rows, null inputs, and non-null
+    inputs silently coerced (numbers to zero, dates to the ``NaT`` month).
 
     One global aggregate (partial per task, then a single tiny merge) over the
     raw table, unpivoted to one row per role.
@@ -95,7 +96,12 @@ def quality_report(raw: DataFrame, mapping: Mapping[str, str] | None = None) ->
             parsed = F.when(F.abs(parsed) < F.lit(LONG_LIMIT), parsed)
         aggs.append(F.count_if(F.col(r).isNull()).alias(f"{r}__null"))
         aggs.append(F.count_if(F.col(r).isNotNull() & parsed.isNull()).alias(f"{r}__bad"))
+    # Dates that cannot be parsed silently become the NaT month.
+    aggs.append(F.count_if(F.col("SignupDate").isNull()).alias("SignupDate__null"))
+    aggs.append(F.count_if(F.col("SignupDate").isNotNull() & parse_date("SignupDate").isNull())
+                .alias("SignupDate__bad"))
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{r}', `{r}__null`, `{r}__bad`" for r in roles)
+    reported = roles + ["SignupDate"]
+    stack = ", ".join(f"'{r}', `{r}__null`, `{r}__bad`" for r in reported)
     return wide.selectExpr(
-        "rows", f"stack({len(roles)}, {stack}) AS (role, null_count, coerced_count)")
+        "rows", f"stack({len(reported)}, {stack}) AS (role, null_count, coerced_count)")

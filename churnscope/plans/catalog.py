@@ -157,6 +157,11 @@ def _quality_sql() -> str:
             f"CAST(SUM(CASE WHEN {r} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count, "
             f"CAST(SUM(CASE WHEN {r} IS NOT NULL AND {parsed} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS coerced_count "
             f"FROM subscriptions")
+    parts.append(
+        "SELECT 'SignupDate' AS role, "
+        "CAST(SUM(CASE WHEN SignupDate IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count, "
+        "CAST(SUM(CASE WHEN SignupDate IS NOT NULL AND TRY_CAST(SignupDate AS TIMESTAMP) IS NULL "
+        "THEN 1 ELSE 0 END) AS BIGINT) AS coerced_count FROM subscriptions")
     body = ("SELECT (SELECT CAST(COUNT(*) AS BIGINT) FROM subscriptions) AS rows, q.* FROM ("
             + " UNION ALL ".join(parts) + ") q")
     return O.with_base(body)

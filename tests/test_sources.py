@@ -87,6 +87,7 @@ def test_quality_report_counts(spark):
     assert q["MonthlyRevenue"].coerced_count == raw.where("MonthlyRevenue = 'N/A'").count()
     assert q["CAC"].null_count == raw.where("CAC IS NULL").count()
     assert q["SupportTickets"].coerced_count == raw.where("SupportTickets = 'nan'").count()
+    assert q["SignupDate"].coerced_count == raw.where("SignupDate = 'unknown'").count()
 
 
 def test_stream_kpis_per_upload(spark, tmp_dir):
