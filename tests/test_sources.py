@@ -149,3 +149,34 @@ def test_stream_restart_is_exactly_once(spark, tmp_dir):
     drop(1, g.subtract(g.limit(50)))
     kpis_per_upload(spark, src, out, ckpt).awaitTermination(120)
     assert sorted(r.total_customers for r in spark.read.parquet(out).collect()) == [50, 70]
+
+
+def test_checkpoint_dir_refuses_local_fallback_on_a_cluster():
+    from churnscope.session import checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+        def set(self, k, v):
+            self[k] = v
+
+    class Ctx:
+        master = "yarn"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = Ctx()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+    shared = Session()
+    shared.conf = Conf({"spark.checkpoint.dir": "/shared/ckpt"})
+    shared.sparkContext.setCheckpointDir = lambda p: None
+    assert checkpoint_dir(shared) == "/shared/ckpt"
