@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from churnscope.llm.decontamination import ORACLE as OP3_SQL, op3_positional_index
+from churnscope.llm.language import op8_string_kernels
+from churnscope.llm.lines import op7_line_hashing
 from churnscope.llm.mixing import op2_rake_mix
+from churnscope.llm.quality import op5_co_training
+from churnscope.llm.scoring import op4_masked_pseudo_likelihood
 from churnscope.llm.sharding import op9_histogram_sort
 from churnscope.llm.sketches import op1_paragraph_sketches
 
 QUERIES = {f.__name__: f for f in (
-    op1_paragraph_sketches, op2_rake_mix, op3_positional_index, op9_histogram_sort)}
+    op1_paragraph_sketches, op2_rake_mix, op3_positional_index, op4_masked_pseudo_likelihood, op5_co_training,
+    op7_line_hashing, op8_string_kernels, op9_histogram_sort)}
 
 ORACLE_SQL = {"op3_positional_index": OP3_SQL}
