@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from churnscope.llm.shared import pick, read, written
+from churnscope.llm.shared import pick, read, small, written
 from churnscope.llm.tokens import blocks, words
 
 WINDOW = 13
@@ -198,6 +198,15 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     return index.mapInArrow(run, HITS)
 
 
+def clean(docs: DataFrame, items: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The named columns of the documents that aren't contaminated; rows that
+    share an id with a contaminated one go with it."""
+    found = written(search(build_index(docs), items).where("contaminated").select("doc_id").distinct(), "contaminated")
+    known = small(found, found.count(), 200_000)
+    rows = pick(docs, {"doc_id": "long"} | columns)
+    return rows.join(known, rows["doc_id"].eqNullSafe(known["doc_id"]), "left_anti").select(*columns)
+
+
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
     return hits.drop("items", "spans")

@@ -22,17 +22,19 @@ def topic(text: Column, words: Column) -> Column:
             .when(text.rlike(r"@\w+\.|\+\d"), "contact").otherwise("prose"))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, own: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """One slim row for each document: its dimensions, whole-text token count
-    and text hash.  Nulls become the value '' (a group of its own)."""
+    and text hash.  Nulls become the value '' (a group of its own).  ``own``
+    adds unchanged columns: new name to (name, type)."""
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_count(text, F.lit(r"\S+"))
     named = {"topic": "string"} if "topic" in docs.columns else {}
-    df = pick(docs, DOC | named).withColumn("n_tokens", words.cast("long"))
-    own = topic(text, F.col("n_tokens"))
+    more = {c: t for c, t in (own or {}).values()}
+    df = pick(docs, more | DOC | named).withColumn("n_tokens", words.cast("long"))
+    form = topic(text, F.col("n_tokens"))
     return df.select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")],
-                     (F.coalesce("topic", own) if named else own).alias("topic"), "n_tokens",
-                     F.xxhash64(text).alias("text_hash"))
+                     (F.coalesce("topic", form) if named else form).alias("topic"), "n_tokens",
+                     F.xxhash64(text).alias("text_hash"), *[F.col(c).alias(new) for new, (c, _) in (own or {}).items()])
 
 
 def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, tolerance: float = 1e-4,
@@ -89,21 +91,38 @@ def rates(cells: DataFrame, budget: float) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), ratio * hi))
 
 
+def plan(slim: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMPER) -> tuple[DataFrame, int]:
+    """Weight and probability of every cell, and the number of cells."""
+    cells = slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
+    cells = written(rates(rake(cells, temper), budget), "rates")
+    weight = F.col("w") / F.greatest(F.col("tokens"), F.lit(1))
+    return cells.select(*DIMS, weight.alias("weight"), "probability"), cells.count()
+
+
+def decided(rows: DataFrame, cells: tuple[DataFrame, int], seed: int = 2) -> DataFrame:
+    """Rows of ``features`` with their cell's weight, their probability and decision."""
+    p = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("probability"))
+    return rows.join(small(*cells), list(DIMS)).withColumn("probability", p).withColumn(
+        "kept", unit_hash(seed, F.col("doc_id"), F.col("text_hash")) < F.col("probability"))
+
+
 def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMPER, seed: int = 2) -> DataFrame:
     """Raked weight, sampling probability and decision for every document.
 
     A document is kept if a hash of its id and text, as a number in [0, 1), is
     below its cell's probability, so equal rows share a decision and a rerun
-    repeats it.  A document without tokens weighs nothing and is kept (it costs no budget);
-    a null source, language or text counts as ''.  An empty table gives no rows."""
+    repeats it.  A document without tokens weighs nothing and is kept (it costs
+    no budget); a null source, language or text counts as ''.  An empty table
+    gives no rows."""
     slim = written(features(docs), "mix")
-    cells = slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
-    cells = written(rates(rake(cells, temper), budget), "rates")
-    out = slim.join(small(cells.select(*DIMS, (F.col("w") / F.greatest(F.col("tokens"), F.lit(1))).alias("weight"),
-                                       "probability"), cells.count()), list(DIMS))
-    p = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("probability"))
-    return out.withColumn("probability", p).withColumn(
-        "kept", unit_hash(seed, F.col("doc_id"), F.col("text_hash")) < F.col("probability"))
+    return decided(slim, plan(slim, budget, temper), seed)
+
+
+def sample(docs: DataFrame, columns: dict[str, str], budget: float = BUDGET) -> DataFrame:
+    """The named columns of the kept documents; their texts aren't shuffled."""
+    cells = plan(written(features(docs), "mix"), budget)
+    rows = features(docs, {f"own_{c}": (c, t) for c, t in columns.items()})
+    return decided(rows, cells).where("kept").select(*[F.col(f"own_{c}").alias(c) for c in columns])
 
 
 def op2_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

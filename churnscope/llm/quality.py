@@ -122,8 +122,9 @@ def combined(zt: np.ndarray, zm: np.ndarray) -> np.ndarray:
 
 def calibrate(z: np.ndarray, y: np.ndarray, even: bool) -> np.ndarray:
     """Logistic regression of the label on margins, by Newton steps; with
-    ``even`` both classes weigh the same, else as often as they occur."""
-    w, c = np.zeros(z.shape[1]), 0.5 * len(y) / np.bincount(y, minlength=2)[y] if even else np.ones(len(y))
+    ``even`` classes weigh by the root of their rates, else as often as they occur."""
+    w = np.zeros(z.shape[1])
+    c = (0.5 * len(y) / np.bincount(y, minlength=2)[y]) ** 0.5 if even else np.ones(len(y))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         hess = (z * (c * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(z.shape[1])
@@ -222,6 +223,15 @@ def classify(docs: DataFrame, model: dict | None, extra: dict[str, str] | None =
     return rows.mapInArrow(run, schema).withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)})
 
 
+def good(docs: DataFrame, labels: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The named columns of the documents that are accepted."""
+    passed = {f"own_{c}": t for c, t in columns.items()}
+    own = pick(docs, DOC | columns)
+    own = own.select(*DOC, *[F.col(c).alias(f"own_{c}") for c in columns])
+    return (classify(own, train(docs, labels), passed).where("accepted")
+            .select(*[F.col(f"own_{c}").alias(c) for c in columns]))
+
+
 def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return classify(docs, train(docs, read(spark, sf_dir, "labels")))

@@ -6,6 +6,8 @@ from churnscope.llm.decontamination import ORACLE as OP3_SQL, op3_positional_ind
 from churnscope.llm.language import op8_string_kernels
 from churnscope.llm.lines import op7_line_hashing
 from churnscope.llm.mixing import op2_rake_mix
+from churnscope.llm.near_duplicates import op10_bag_min_hash
+from churnscope.llm.pages import op6_site_templates
 from churnscope.llm.quality import op5_co_training
 from churnscope.llm.scoring import op4_masked_pseudo_likelihood
 from churnscope.llm.sharding import op9_histogram_sort
@@ -13,6 +15,6 @@ from churnscope.llm.sketches import op1_paragraph_sketches
 
 QUERIES = {f.__name__: f for f in (
     op1_paragraph_sketches, op2_rake_mix, op3_positional_index, op4_masked_pseudo_likelihood, op5_co_training,
-    op7_line_hashing, op8_string_kernels, op9_histogram_sort)}
+    op6_site_templates, op7_line_hashing, op8_string_kernels, op9_histogram_sort, op10_bag_min_hash)}
 
 ORACLE_SQL = {"op3_positional_index": OP3_SQL}
