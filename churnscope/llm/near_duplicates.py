@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from churnscope.llm.shared import pick, read, written
 from churnscope.llm.tokens import blocks, mix64, words
@@ -24,8 +24,6 @@ from churnscope.llm.tokens import blocks, mix64, words
 SHINGLE, LIKE = 5, 0.8
 #: At similarity 0.8 all 32 bands differ with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
-#: Groups of candidates up to this size are compared pair by pair.
-FEW = 48
 #: Bits of the filter that spares most texts the shuffle to the comparison.
 FILTER_BITS = 24
 LAST = (1 << 63) - 1
@@ -245,55 +243,80 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def rare_pairs(bags: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of the members (node, comp) of different classes that may be alike.
+
+    Two bags of similarity 0.8 share a shingle among their rarest: any order
+    of shingles leaves one in common in the first n - ceil(0.8 n) + 1 of both.
+    Ordered by how many members have them, these are rarely shared by others.
+    Shingles that only one member has can't overlap, which bounds a pair's overlap.
+    Each occurrence of a shingle counts as a shingle of its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, comp, items, counts in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                token = np.frombuffer(items, np.uint64)
+                if counts:
+                    c = np.frombuffer(counts, np.int32)
+                    nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                    token = mix64(np.repeat(token, c) + nth.astype(np.uint64) * _GOLD)
+                n = len(token)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array([comp] * n, pa.binary()),
+                                                  pa.array(np.full(n, n)), pa.array(token.view(np.int64))], ["node", "comp", "n", "token"])
+
+    tokens = written(bags.join(members, "node").select("node", "comp", "items", "counts")
+                     .mapInArrow(run, "node binary, comp binary, n long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node")  # one document's shingles
+    known = tokens.join(often, "token").withColumns({
+        "at": F.row_number().over(own.orderBy("df", "token")), "several": F.count("*").over(own)})
+    first = F.col("n") - F.ceil(F.lit(LIKE) * F.col("n") - 1e-9) + 1
+    head = written(known.where(F.col("n") - F.col("several") + F.col("at") <= first)
+                   .select("node", "comp", "n", "several", "token"), "rare")
+    x, y = (head.select("token", *[F.col(k).alias(f"{c}_{k}") for k in ("node", "comp", "n", "several")]) for c in "xy")
+    return x.join(y, "token").where(f"""x_node < y_node and x_comp <> y_comp and least(x_n, y_n) >= {LIKE} * greatest(x_n, y_n) - 1e-9
+        and least(x_several, y_several) >= {LIKE / (1 + LIKE)} * (x_n + y_n) - 1e-9""").select(*ordered("x_node", "y_node"))
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp) for the nodes with a link of similarity 0.8 or more.
 
     In every group of candidates all members are compared with one centre,
     the member with most candidates.  Those alike are settled.  A member less
     alike can only be alike to a settled one if its distance to the centre is
-    at most twice the limit (Jaccard distance is a metric), and those pairs are
-    compared as well.  What is left of a group goes on: pair by pair if it is
-    small, else with another centre.  Pairs within a class need no comparison."""
+    at most twice the limit (Jaccard distance is a metric); such members and
+    the settled ones, and members unlike their centre in groups that still hold
+    several classes, are compared where they share a rare shingle, which
+    misses no link.  Pairs within a class need no comparison."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    alive = written(keys.join(shared, "key"), "groups")
-    degree = alive.groupBy("node").agg(F.sum("n").alias("degree"))
-    alive = written(alive.join(degree, "node").select("key", "node", "degree"), "groups")
-    first = nodes.select("node", "first.ord", "first.text_hash")
-    bags = contents(docs, first.join(degree.select("node"), "node", "left_semi"))
+    groups = written(keys.join(shared, "key"), "groups")
+    degree = written(groups.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    groups = groups.join(degree, "node").select("key", "node", "degree")
+    centre = groups.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre"))
+    star = written(groups.join(centre, "key").where("node <> centre").select("key", "node", "centre", *ordered("node", "centre")), "star")
 
-    centre = F.max(F.struct("degree", "node"))["node"].alias("centre")
-    known, comps = None, None
-    while True:
-        star = alive.join(alive.groupBy("key").agg(centre), "key").where("node <> centre")
-        star = written(star, "star")
-        pairs = star.select(*ordered("node", "centre")).distinct()
-        new = overlaps(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), bags)
-        known = new if known is None else known.unionByName(new)
-        seen = star.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}).join(known, ["a", "b"])
-        seen = written(seen.select("key", "node", "degree", "centre", "like"), "seen")
-        comps = components(known.where(F.col("like") >= LIKE))
-        comp = lambda df, c: df.join(comps.withColumnsRenamed({"node": c, "comp": f"{c}_comp"}), c, "left").withColumn(
-            f"{c}_comp", F.coalesce(f"{c}_comp", c))
-        # pairs of a settled member and one outside the class, near enough to the centre
-        ring = comp(comp(seen.where((F.col("like") < LIKE) & (F.col("like") >= 2 * LIKE - 1 - 1e-9)), "node"), "centre")
-        ring = ring.where("node_comp <> centre_comp").select("key", F.col("node").alias("x"), (1 - F.col("like")).alias("dx"), "node_comp")
-        settled = seen.where(F.col("like") >= LIKE).select("key", F.col("node").alias("y"), (1 - F.col("like")).alias("dy"))
-        pairs = ring.join(settled, "key").where(F.col("dy") >= F.col("dx") - (1 - LIKE) - 1e-9).select(*ordered("x", "y")).distinct()
-        # what is left: members unlike the centre, in groups that still hold several classes
-        left = comp(seen.where(F.col("like") < LIKE).select("key", "node", "degree"), "node")
-        open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo <> hi")
-        left = written(left.join(open_.select("key", "n"), "key"), "left")
-        small = left.where(F.col("n") <= FEW)
-        few = small.select("key", F.col("node").alias("x"), F.col("node_comp").alias("xc")).join(
-            small.select("key", F.col("node").alias("y"), F.col("node_comp").alias("yc")), "key").where("x < y and xc <> yc")
-        pairs = written(pairs.unionByName(few.select(*ordered("x", "y"))).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            known = known.unionByName(overlaps(pairs, bags))
-            comps = components(known.where(F.col("like") >= LIKE))
-        alive = left.where(F.col("n") > FEW).select("key", "node", "degree")
-        if alive.isEmpty():
-            return comps
+    first = nodes.select("node", "first.ord", "first.text_hash")
+    bags = contents(docs, first.join(degree, "node", "left_semi"))
+    known = overlaps(star.select("a", "b").distinct(), bags)
+    seen = written(star.join(known, ["a", "b"]).select("key", "node", "centre", "like"), "seen")
+    comps = components(known.where(F.col("like") >= LIKE))
+
+    def classed(df: DataFrame, column: str) -> DataFrame:
+        named = comps.withColumnsRenamed({"node": column, "comp": f"{column}_comp"})
+        return df.join(named, column, "left").withColumn(f"{column}_comp", F.coalesce(f"{column}_comp", column))
+
+    unlike = seen.where(F.col("like") < LIKE)
+    ring = classed(classed(unlike.where(F.col("like") >= 2 * LIKE - 1 - 1e-9), "node"), "centre")
+    ring = written(ring.where("node_comp <> centre_comp").select("key", "node", F.col("node_comp").alias("comp")), "ring")
+    settled = seen.where(F.col("like") >= LIKE).join(ring.select("key").distinct(), "key").select("key", "node")
+    settled = classed(settled, "node").select("node", F.col("node_comp").alias("comp"))
+    left = classed(unlike.select("key", "node"), "node")
+    several = left.groupBy("key").agg(F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo <> hi")
+    members = left.join(several.select("key"), "key").select("node", F.col("node_comp").alias("comp"))
+    members = written(members.unionByName(settled).unionByName(ring.select("node", "comp")).distinct(), "members")
+    pairs = rare_pairs(bags, members).distinct().join(known, ["a", "b"], "left_anti")
+    known = known.unionByName(overlaps(pairs, bags))
+    return components(known.where(F.col("like") >= LIKE))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
