@@ -24,6 +24,8 @@ from churnscope.llm.tokens import WORD, blocks, mix64, word_hashes, word_spans
 LABELLED, UNLABELLED = 20_000, 6_000
 TEXT_BITS, META_BITS = 18, 12
 ROUNDS, SURE, EACH = 2, 0.97, 500
+#: Feature ids handled at once in the fit.
+PIECE = 1 << 19
 DOC = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
 
 _SHARES = np.array([1e-9, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 0.8])
@@ -83,7 +85,21 @@ class Sparse:
         self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.lens)
 
     def margins(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.ids], len(self.lens)) + w[-1]
+        return self.by_row(w) + w[-1]
+
+    def by_row(self, w: np.ndarray) -> np.ndarray:
+        """Sum of w over each row's features, in pieces that bound the memory."""
+        out = np.zeros(len(self.lens))
+        for s in range(0, len(self.ids), PIECE):
+            out += np.bincount(self.row[s:s + PIECE], w[self.ids[s:s + PIECE]], len(out))
+        return out
+
+    def by_feature(self, g: np.ndarray, dim: int) -> np.ndarray:
+        """Sum of g over each feature's rows, likewise."""
+        out = np.zeros(dim)
+        for s in range(0, len(self.ids), PIECE):
+            out += np.bincount(self.ids[s:s + PIECE], g[self.row[s:s + PIECE]], dim)
+        return out
 
 
 def log_ratios(x: Sparse, y: np.ndarray, dim: int, smooth: float = 3.0) -> np.ndarray:
@@ -91,7 +107,7 @@ def log_ratios(x: Sparse, y: np.ndarray, dim: int, smooth: float = 3.0) -> np.nd
     n = np.maximum(np.bincount(y, minlength=2), 1)
     rates = []
     for k in (0, 1):
-        seen = np.bincount(x.ids[y[x.row] == k], minlength=dim)
+        seen = x.by_feature((y == k).astype(float), dim)
         rates.append(np.log((seen + smooth * n[k] / n.max()) / (n[k] + 2 * smooth * n[k] / n.max())))
     return np.abs(rates[1] - rates[0])
 
@@ -103,14 +119,14 @@ def logistic(x: Sparse, y: np.ndarray, dim: int, steps: int = 100, ridge: float
     keep weight 0."""
     scale = log_ratios(x, y, dim) * (np.bincount(x.ids, minlength=dim) >= 3)
     weight = 0.5 / np.maximum(np.bincount(y, minlength=2), 1)[y]
-    norm = np.bincount(x.row, (scale ** 2)[x.ids], len(x.lens))
+    norm = x.by_row(scale ** 2)
     pace = 1 / (0.25 * np.percentile(norm, 90) + 1 + ridge)
     w, move = np.zeros(dim + 1), np.zeros(dim + 1)
     for _ in range(steps):
         ahead = w + 0.9 * move
         z = x.margins(np.r_[ahead[:-1] * scale, ahead[-1]])
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.r_[np.bincount(x.ids, g[x.row], dim) * scale + ridge * ahead[:-1], g.sum()]
+        grad = np.r_[x.by_feature(g, dim) * scale + ridge * ahead[:-1], g.sum()]
         move = 0.9 * move - pace * grad
         w = w + move
     return np.r_[w[:-1] * scale, w[-1]]

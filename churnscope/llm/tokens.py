@@ -60,7 +60,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     inside = WORD[data]
     fresh, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     fresh[offsets[:-1]] = True
-    last[np.maximum(offsets[1:] - 1, 0)] = True
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
     fresh[1:n] |= ~inside[:-1] if n else False
     last[:n - 1] |= ~inside[1:] if n else False
     starts = np.flatnonzero(inside & fresh[:n])
