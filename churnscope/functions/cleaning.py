@@ -35,7 +35,7 @@ NA_TOKENS = (
     "nan", "null",
 )
 
-LONG_LIMIT = 9.2e18  # beyond this a double does not fit a bigint
+LONG_LIMIT = 2.0 ** 63  # a double fits a bigint from -2**63 up to below 2**63
 
 
 def _col(c: Column | str) -> Column:
@@ -72,9 +72,13 @@ def money_value(parsed: Column) -> Column:
     return F.coalesce(parsed, F.lit(0.0))
 
 
+def fits_long(parsed: Column) -> Column:
+    return (parsed >= F.lit(-LONG_LIMIT)) & (parsed < F.lit(LONG_LIMIT))
+
+
 def int_value(parsed: Column) -> Column:
     """Truncate toward zero; infinity and out-of-range values become 0."""
-    finite = F.when(F.abs(parsed) < F.lit(LONG_LIMIT), parsed)
+    finite = F.when(fits_long(parsed), parsed)
     return F.coalesce(finite.try_cast("long"), F.lit(0).cast("long"))
 
 
@@ -115,7 +119,7 @@ def is_invalid_number(raw: Column | str, money: bool) -> Column:
         parsed = parse_text(money_text(raw_c))
     else:
         parsed = parse_number(raw_c)
-        parsed = F.when(F.abs(parsed) < F.lit(LONG_LIMIT), parsed)
+        parsed = F.when(fits_long(parsed), parsed)
     return raw_c.isNotNull() & parsed.isNull()
 
 

@@ -39,4 +39,4 @@ def id_search(df: DataFrame, term: str | None, column: str = "CustomerID",
     ids = F.col(column).cast("string")
     if literal:
         return df.where(F.contains(F.lower(ids), F.lower(F.lit(term))))
-    return df.where(ids.rlike("(?i)" + term))
+    return df.where(ids.rlike("(?iu)" + term))

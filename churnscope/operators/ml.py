@@ -295,7 +295,7 @@ def risk_ledger(df: DataFrame, model: ChurnModel, top_n: int | None = None,
     # partitions (and a retried task re-computes the same keys).
     spread = F.xxhash64(*[F.col(c) for c in LEDGER_COLUMNS if c != "CustomerID"])
     out = out.orderBy(F.col("ChurnRiskProbability").desc(), F.col("CustomerID").asc_nulls_last(), spread)
-    return out.limit(top_n) if top_n else out
+    return out if top_n is None else out.limit(top_n)
 
 
 # Simulator input fields -> roles (the reference's what-if record).

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions import churn_target, is_active, is_churned, month_bucket, parse_date
-from churnscope.functions.cleaning import LONG_LIMIT, clean_columns, int_text, money_text, parse_text
+from churnscope.functions.cleaning import clean_columns, fits_long, int_text, money_text, parse_text
 from churnscope.roles import INT_ROLES, MONEY_ROLES, ROLES
 
 
@@ -42,13 +42,14 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str] | None = None,
 
     Two roles may share one source column; each becomes its own output
     column, so cleaning one never changes the other.  Unmapped columns are
-    kept after the roles unless ``keep_other`` is false.
+    kept after the roles unless ``keep_other`` is false; one that is named
+    like a role filled from elsewhere gets ``__source`` after its name.
     """
     m = resolve_mapping(df, mapping)
     cols = [F.col(f"`{m[r]}`").alias(r) for r in ROLES]
     if keep_other:
-        used = set(m.values()) | set(ROLES)
-        cols += [F.col(f"`{c}`") for c in df.columns if c not in used]
+        used = set(m.values())
+        cols += [F.col(f"`{c}`").alias(f"{c}__source" if c in ROLES else c) for c in df.columns if c not in used]
     return df.select(*cols)
 
 
@@ -93,7 +94,7 @@ def quality_report(raw: DataFrame, mapping: Mapping[str, str] | None = None) ->
     for r in roles:
         parsed = F.col(f"{r}__num")
         if r in INT_ROLES:
-            parsed = F.when(F.abs(parsed) < F.lit(LONG_LIMIT), parsed)
+            parsed = F.when(fits_long(parsed), parsed)
         aggs.append(F.count_if(F.col(r).isNull()).alias(f"{r}__null"))
         aggs.append(F.count_if(F.col(r).isNotNull() & parsed.isNull()).alias(f"{r}__bad"))
     # Dates that cannot be parsed silently become the NaT month.

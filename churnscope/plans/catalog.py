@@ -151,7 +151,7 @@ def _quality_sql() -> str:
         text = O.sql_money_text(r) if r in ("MonthlyRevenue", "LTV", "CAC") else O.sql_int_text(r)
         parsed = O.sql_parse(text)
         if r not in ("MonthlyRevenue", "LTV", "CAC"):
-            parsed = f"(CASE WHEN abs({parsed}) < 9.2e18 THEN {parsed} END)"
+            parsed = f"(CASE WHEN {parsed} >= -9223372036854775808e0 AND {parsed} < 9223372036854775808e0 THEN {parsed} END)"
         parts.append(
             f"SELECT '{r}' AS role, "
             f"CAST(SUM(CASE WHEN {r} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count, "

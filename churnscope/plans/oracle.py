@@ -42,7 +42,7 @@ def sql_money(x: str) -> str:
 
 def sql_int(x: str) -> str:
     v = sql_parse(sql_int_text(x))
-    return f"COALESCE(TRY_CAST(trunc(CASE WHEN abs({v}) < 9.2e18 THEN {v} END) AS BIGINT), CAST(0 AS BIGINT))"
+    return f"COALESCE(TRY_CAST(trunc(CASE WHEN {v} >= -9223372036854775808e0 AND {v} < 9223372036854775808e0 THEN {v} END) AS BIGINT), CAST(0 AS BIGINT))"
 
 
 ACTIVE = "COALESCE(lower(Status) = 'active', false)"

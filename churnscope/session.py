@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -47,28 +46,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def apply_defaults(spark: SparkSession) -> None:
     """Apply the runtime SQL settings to an existing session (idempotent)."""
     for k, v in SESSION_DEFAULTS.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as is
-            pass
+        spark.conf.set(k, v)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, saved models and materialised tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode
-    session (tests) without it falls back to a fresh temporary folder; on a
-    cluster a machine-local folder would not be visible to other executors,
-    so there an unset setting is an error.
+    The cluster names it in ``spark.checkpoint.dir``; a local session may
+    have set its own with ``setCheckpointDir`` instead.  Without either it is
+    an error: a machine-local folder isn't visible to other executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        path = tempfile.mkdtemp(prefix="churnscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
+    if not path and sc.master.startswith("local[") and sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
+    if not path:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(os.path.join(path, "rdd"))
     return path

@@ -69,13 +69,5 @@ def subscriptions_sql(orders: str = "orders", lineitem: str = "lineitem") -> str
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (uncleaned) subscription table derived from ``orders`` and ``lineitem``."""
     orders = read_table(spark, sf_dir, "orders")
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        narrow = orders.rdd.getNumPartitions() < slots
-    except Exception:  # no RDD API (e.g. a Spark Connect session): keep the scan's splits
-        narrow = False
-    if narrow:
-        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        orders = orders.repartition(max(width, slots), "o_orderkey")
     lineitem = read_table(spark, sf_dir, "lineitem")
     return spark.sql(SUBSCRIPTIONS_SQL, orders=orders, lineitem=lineitem)

@@ -21,7 +21,7 @@ def spark():
     spark.sparkContext.setLogLevel("ERROR")
     # Tests may set their own checkpoint folder only when the cluster names none.
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="churnscope-test-ckpt-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="churnscope-test-ckpt-"))
     yield spark
 
 

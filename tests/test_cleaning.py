@@ -19,7 +19,7 @@ def pandas_money(v):
 
 def pandas_int(v):
     x = pd.to_numeric(pd.Series([v], dtype=object), errors="coerce").fillna(0)[0]
-    if math.isinf(x) or abs(x) >= 9.2e18:
+    if math.isinf(x) or not -2.0 ** 63 <= x < 2.0 ** 63:
         return 0  # the reference fails here; we coerce to 0 (intended difference)
     return int(x)
 
