@@ -26,6 +26,8 @@ SHINGLE, LIKE = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Bits of the filter that spares most texts the shuffle to the comparison.
 FILTER_BITS = 24
+#: Rare shingles kept with each one, to give a pair once.
+BEFORE = 64
 LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 DOC = {"doc_id": "long", "text": "string"}
@@ -249,7 +251,10 @@ def rare_pairs(bags: DataFrame, members: DataFrame) -> DataFrame:
     Two bags of similarity 0.8 share a shingle among their rarest: any order
     of shingles leaves one in common in the first n - ceil(0.8 n) + 1 of both.
     Ordered by how many members have them, these are rarely shared by others.
-    Shingles that only one member has can't overlap, which bounds a pair's overlap.
+    At the first shingle two members share, their overlap is at most what follows
+    it in either; shingles that only one member has can't overlap.  A pair comes
+    out at its first shared shingle only, told by the up to BEFORE shared ones
+    before it; a pair whose first lies further back comes out more than once.
     Each occurrence of a shingle counts as a shingle of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,14 +272,18 @@ def rare_pairs(bags: DataFrame, members: DataFrame) -> DataFrame:
                      .mapInArrow(run, "node binary, comp binary, n long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("node")  # one document's shingles
+    rarest = own.orderBy("df", "token")
     known = tokens.join(often, "token").withColumns({
-        "at": F.row_number().over(own.orderBy("df", "token")), "several": F.count("*").over(own)})
+        "at": F.row_number().over(rarest), "several": F.count("*").over(own)})
     first = F.col("n") - F.ceil(F.lit(LIKE) * F.col("n") - 1e-9) + 1
-    head = written(known.where(F.col("n") - F.col("several") + F.col("at") <= first)
-                   .select("node", "comp", "n", "several", "token"), "rare")
-    x, y = (head.select("token", *[F.col(k).alias(f"{c}_{k}") for k in ("node", "comp", "n", "several")]) for c in "xy")
+    head = known.where(F.col("n") - F.col("several") + F.col("at") <= first).withColumns({
+        "before": F.collect_list("token").over(rarest.rowsBetween(-BEFORE, -1)),
+        "most": F.col("several") - F.col("at") + 1})
+    head = written(head.select("node", "comp", "n", "most", "token", "before"), "rare")
+    x, y = (head.select("token", *[F.col(k).alias(f"{c}_{k}") for k in ("node", "comp", "n", "most", "before")]) for c in "xy")
     return x.join(y, "token").where(f"""x_node < y_node and x_comp <> y_comp and least(x_n, y_n) >= {LIKE} * greatest(x_n, y_n) - 1e-9
-        and least(x_several, y_several) >= {LIKE / (1 + LIKE)} * (x_n + y_n) - 1e-9""").select(*ordered("x_node", "y_node"))
+        and least(x_most, y_most) >= {LIKE / (1 + LIKE)} * (x_n + y_n) - 1e-9
+        and not arrays_overlap(x_before, y_before)""").select(*ordered("x_node", "y_node"))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
