@@ -1,9 +1,8 @@
 """Churn model: target/plan encoding, hash split, random forest, metrics,
 importances, the ranked risk ledger and batch what-if scoring.
 
-Everything here is a distributed ``pyspark.ml`` pipeline; only the fitted
-model's few parameters (plan labels, tree ensemble, six importances) ever sit
-on the driver.
+Everything here is distributed; only the fitted model's few parameters (tree
+ensemble, six importances) ever sit on the driver.
 
 * Split: a row goes to the test side when an md5 bucket of its customer ID
   falls in the top ``test`` share.  It is stable across partitionings and
@@ -22,15 +21,16 @@ on the driver.
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions import churn_target, risk_band, risk_color, retention_action
@@ -45,11 +45,10 @@ TEST_SHARE = 0.25
 NUM_TREES = 100
 MAX_DEPTH = 6
 FOREST_SEED = 42
-# Plan labels are collected to the driver and shipped with every scoring task,
-# so their number is checked before fitting (plan tiers, not customer ids).
-MAX_PLAN_LABELS = 100_000
 
-_PLAN_TEXT, _PLAN_CODE, _PLAN_ORD = "plan_text", "plan_code", "plan_ordinal"
+_PLAN_TEXT, _PLAN_CODE, _PLAN_ORD = "_plan_text", "_plan_code", "_plan_ordinal"
+# monotonically_increasing_id holds the partition above, the row's place in it below this bit.
+_PLACE_BITS = 33
 METRIC_NAMES = ("Accuracy", "Precision", "Recall", "F1-Score")
 
 
@@ -65,60 +64,63 @@ def plan_text(c: str = "PlanType") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(MISSING_PLAN))
 
 
-def fit_plan_encoder(df: DataFrame) -> StringIndexerModel:
-    """Ordinal plan codes in ascending text order, fitted on all rows.
+def fit_plan_encoder(df: DataFrame) -> DataFrame:
+    """Plan dictionary ``_plan_text, _plan_code``: codes in ascending text order.
 
-    The distinct plan texts are found with one distributed aggregation; at
-    most ``MAX_PLAN_LABELS + 1`` of them are brought to the driver, so an
-    identifier column mapped as the plan by mistake fails fast instead of
-    flooding the driver.  Ascending text order does not depend on
-    frequencies, so the labels equal those of ``StringIndexer(alphabetAsc)``.
+    The distinct plan texts are sorted globally and written to the shared
+    folder with their place in their sorted partition; the partitions' row
+    counts, summed up, are the offsets that make the places codes.  However
+    many plans there are, none is brought to the driver: only the offsets (one
+    row per sorted partition) meet in one task.
     """
-    rows = (df.select(plan_text().alias(_PLAN_TEXT)).distinct()
-              .limit(MAX_PLAN_LABELS + 1).collect())
-    if len(rows) > MAX_PLAN_LABELS:
-        raise ValueError(f"PlanType has more than {MAX_PLAN_LABELS} distinct values; "
-                         "is it mapped to an identifier column?")
-    labels = sorted(r[0] for r in rows)
-    return StringIndexerModel.from_labels(labels, inputCol=_PLAN_TEXT, outputCol=_PLAN_CODE,
-                                          handleInvalid="error")
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "plans", uuid.uuid4().hex)
+    (df.select(plan_text().alias(_PLAN_TEXT)).distinct().orderBy(_PLAN_TEXT)
+       .select(_PLAN_TEXT, F.monotonically_increasing_id().alias("id")).write.parquet(path))
+    placed = spark.read.schema(f"{_PLAN_TEXT} string, id bigint").parquet(path).withColumn(
+        "part", F.shiftright("id", _PLACE_BITS))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("part").count()
+               .select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")))
+    place = F.col("id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    coded = placed.join(offsets, "part").select(_PLAN_TEXT, (F.col("offset") + place).alias(_PLAN_CODE))
+    coded.write.parquet(path + "-codes")
+    return spark.read.schema(f"{_PLAN_TEXT} string, {_PLAN_CODE} bigint").parquet(path + "-codes")
+
+
+def with_plan_code(df: DataFrame, plans: DataFrame, unseen: str = "error") -> DataFrame:
+    """Add the plan's code as ``_plan_code``.
+
+    The dictionary is joined without a hint: Spark broadcasts it if its size
+    allows, else shuffles (and splits a skewed plan).  ``unseen="first"`` maps
+    a plan that is not in the dictionary to code 0 (the simulator's rule);
+    ``"error"`` fails on it (the ledger's rule).
+    """
+    coded = df.withColumn(_PLAN_TEXT, plan_text()).join(plans, _PLAN_TEXT, "left")
+    if unseen == "first":
+        missing = F.lit(0)
+    else:
+        missing = F.raise_error(F.concat(F.lit("plan not seen in training: "), F.col(_PLAN_TEXT)))
+    return coded.withColumn(_PLAN_CODE, F.coalesce(F.col(_PLAN_CODE), missing.cast("bigint")))
 
 
-def plan_codes(df: DataFrame, encoder: StringIndexerModel) -> DataFrame:
+def plan_codes(df: DataFrame, plans: DataFrame) -> DataFrame:
     """``CustomerID, PlanType, plan_code`` (0-based, ascending text order)."""
-    coded = encoder.transform(df.withColumn(_PLAN_TEXT, plan_text()))
-    return coded.select("CustomerID", "PlanType",
-                        F.col(_PLAN_CODE).cast("bigint").alias("plan_code"))
-
+    return with_plan_code(df, plans).select("CustomerID", "PlanType", F.col(_PLAN_CODE).alias("plan_code"))
 
-def _feature_stages(encoder: StringIndexerModel, unseen: str = "error"):
-    """Plan text -> code -> ordinal feature -> assembled vector.
 
-    ``unseen="first"`` maps a plan missing from the labels to code 0 (the
-    simulator's rule); ``"error"`` fails on it (the ledger's rule).
-    """
-    n = len(encoder.labels)
-    enc = encoder
-    if unseen == "first":
-        enc = encoder.copy().setHandleInvalid("keep")
-    # A CASE expression yields a plain double without the indexer's nominal
-    # metadata, so the forest treats the plan code as ordinal.
-    text = SQLTransformer(statement=(
-        f"SELECT *, COALESCE(CAST(PlanType AS STRING), '{MISSING_PLAN}') AS {_PLAN_TEXT} FROM __THIS__"))
-    ordinal = SQLTransformer(statement=(
-        f"SELECT *, CASE WHEN {_PLAN_CODE} >= {n} THEN 0.0 ELSE {_PLAN_CODE} END AS {_PLAN_ORD} "
-        "FROM __THIS__"))
+def with_features(df: DataFrame, plans: DataFrame, unseen: str = "error") -> DataFrame:
+    """Add the assembled vector ``features``; the plan code is an ordinal number in it."""
+    coded = with_plan_code(df, plans, unseen).withColumn(_PLAN_ORD, F.col(_PLAN_CODE).cast("double"))
     inputs = [(_PLAN_ORD if f == "PlanType" else f) for f in FEATURES]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
-    return [text, enc, ordinal, assembler]
+    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error").transform(coded)
 
 
-def feature_frame(df: DataFrame, encoder: StringIndexerModel) -> DataFrame:
+def feature_frame(df: DataFrame, plans: DataFrame) -> DataFrame:
     """The six model inputs as plain columns (plan as its ordinal code) plus the target."""
-    staged = PipelineModel(_feature_stages(encoder)[:3]).transform(with_target(df))
-    return staged.select("CustomerID",
-                         *[F.col(f).cast("double").alias(f) for f in FEATURES if f != "PlanType"],
-                         F.col(_PLAN_ORD).alias("PlanCode"), "target")
+    return with_plan_code(with_target(df), plans).select(
+        "CustomerID", *[F.col(f).cast("double").alias(f) for f in FEATURES if f != "PlanType"],
+        F.col(_PLAN_CODE).cast("double").alias("PlanCode"), "target")
 
 
 # ---------------------------------------------------------------------------
@@ -183,20 +185,13 @@ def binary_metrics(pred: DataFrame, label: str = "target", prediction: str = "pr
 
 @dataclass
 class ChurnModel:
-    encoder: StringIndexerModel
+    plans: DataFrame  # the plan dictionary
     forest: object  # RandomForestClassificationModel
     metrics_row: dict = field(default_factory=dict)
 
-    @property
-    def labels(self) -> list[str]:
-        return list(self.encoder.labels)
-
-    def pipeline(self, unseen: str = "error") -> PipelineModel:
-        return PipelineModel(_feature_stages(self.encoder, unseen) + [self.forest])
-
     def transform(self, df: DataFrame, unseen: str = "error") -> DataFrame:
         """Score rows; adds ``churn_probability`` (class-1 probability)."""
-        scored = self.pipeline(unseen).transform(df)
+        scored = self.forest.transform(with_features(df, self.plans, unseen))
         return scored.withColumn("churn_probability", churn_probability())
 
     def importances(self, spark: SparkSession) -> DataFrame:
@@ -229,11 +224,11 @@ def forest_params(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed:
 
 def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
                 balanced: bool = False, **forest_kw) -> tuple[ChurnModel, DataFrame]:
-    """Fit encoder (all rows) and forest (train rows); evaluate on the test rows.
+    """Fit the plan dictionary (all rows) and forest (train rows); evaluate on the test rows.
 
     Returns the model and its one-row metrics frame.  The narrow model input
     (seven columns plus the split flag) is persisted once, memory first and
-    spilling to disk, and serves the encoder fit, the forest's passes and the
+    spilling to disk, and serves the dictionary, the forest's passes and the
     hold-out scoring; it is released before returning, so the one-row metrics
     are computed eagerly.  A lost executor recomputes its blocks from the
     short parquet lineage.
@@ -245,14 +240,14 @@ def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
              .select("target", "is_test", *FEATURES)
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        encoder = fit_plan_encoder(parts)
-        feats = PipelineModel(_feature_stages(encoder)).transform(parts)
+        plans = fit_plan_encoder(parts)
+        feats = with_features(parts, plans)
         rf = RandomForestClassifier(featuresCol="features", labelCol="target", **forest_params(**forest_kw))
         forest = rf.fit(feats.where(~F.col("is_test")).select("features", "target"))
         row = binary_metrics(forest.transform(feats.where(F.col("is_test")))).first()
     finally:
         parts.unpersist()
-    model = ChurnModel(encoder, forest, row.asDict())
+    model = ChurnModel(plans, forest, row.asDict())
     metrics = spark.createDataFrame([row], binary_metrics_schema())
     return model, metrics
 

@@ -24,7 +24,6 @@ from churnscope.operators import (charts, cohorts, filters, insights, kpis, ml,
                                   profile)
 from churnscope.plans import oracle as O
 from churnscope.roles import ROLES
-from churnscope.sources import models
 from churnscope.sources.files import impute_mean, infer_types
 from churnscope.sources.subscriptions import subscriptions
 
@@ -404,13 +403,8 @@ def q_insights(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 def churn_model(spark: SparkSession, sf_dir: str) -> ml.ChurnModel:
-    """The model trained on this dataset, trained once per application and reused."""
-    key = f"churn:{sf_dir}"
-    model = models.recall(spark, key)
-    if model is None:
-        model, _ = ml.train_churn(cleaned(spark, sf_dir))
-        models.remember(spark, key, model)
-    return model
+    """The model trained on this dataset."""
+    return ml.train_churn(cleaned(spark, sf_dir))[0]
 
 
 @register("target_encode", O.with_base("SELECT CustomerID, Status, target FROM flagged"))
@@ -514,9 +508,7 @@ def q_retention_action(spark, sf_dir):
 
 @register("train_churn", None)
 def q_train_churn(spark, sf_dir):
-    model, metrics = ml.train_churn(cleaned(spark, sf_dir))
-    models.remember(spark, f"churn:{sf_dir}", model)
-    return metrics
+    return ml.train_churn(cleaned(spark, sf_dir))[1]
 
 
 @register("importances", None)

@@ -1,21 +1,21 @@
-"""Model store: save/load a fitted churn model, plus an in-process cache.
+"""Model store: save and load a fitted churn model.
 
 A model is saved under the cluster's shared folder (``spark.checkpoint.dir``)
-as two standard ``pyspark.ml`` directories (plan encoder and forest), so any
-driver can load it.  The cache mirrors a long-running service keeping its
-last trained model in memory; it is keyed by application and dataset.
+as one version holding its plan dictionary, its forest and its metrics, so any
+driver can load it and a save that fails leaves the former model in place.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import SparkSession
 
 from churnscope.operators.ml import ChurnModel
 from churnscope.session import checkpoint_dir
+from churnscope.sources.versions import announce, current, folder_name, new_version
 
 
 class NoModelError(LookupError):
@@ -23,37 +23,25 @@ class NoModelError(LookupError):
 
 
 def model_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "models", name)
+    return os.path.join(checkpoint_dir(spark), "models", folder_name(name))
 
 
 def save_model(model: ChurnModel, path: str) -> str:
-    model.encoder.write().overwrite().save(os.path.join(path, "encoder"))
-    model.forest.write().overwrite().save(os.path.join(path, "forest"))
+    spark = model.plans.sparkSession
+    version = new_version(path)
+    model.plans.write.parquet(os.path.join(version, "plans"))
+    model.forest.save(os.path.join(version, "forest"))
+    metrics = spark.createDataFrame([(json.dumps(model.metrics_row),)], "metrics string")
+    metrics.coalesce(1).write.parquet(os.path.join(version, "metrics"))
+    announce(spark, path, version)
     return path
 
 
 def load_model(path: str) -> ChurnModel:
-    try:
-        encoder = StringIndexerModel.load(os.path.join(path, "encoder"))
-        forest = RandomForestClassificationModel.load(os.path.join(path, "forest"))
-    except Exception as e:  # missing or unreadable directory
-        raise NoModelError(f"no trained model at {path}: train one first") from e
-    return ChurnModel(encoder, forest)
-
-
-_CACHE: dict[tuple[str, str], ChurnModel] = {}
-
-
-def _app(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # sessions without a SparkContext handle
-        return str(id(spark))
-
-
-def remember(spark: SparkSession, key: str, model: ChurnModel) -> None:
-    _CACHE[(_app(spark), key)] = model
-
-
-def recall(spark: SparkSession, key: str) -> ChurnModel | None:
-    return _CACHE.get((_app(spark), key))
+    spark = SparkSession.active()
+    version = current(spark, path)
+    if version is None:
+        raise NoModelError(f"no trained model at {path}: train one first")
+    metrics = spark.read.parquet(os.path.join(version, "metrics")).first()["metrics"]
+    return ChurnModel(spark.read.parquet(os.path.join(version, "plans")),
+                      RandomForestClassificationModel.load(os.path.join(version, "forest")), json.loads(metrics))

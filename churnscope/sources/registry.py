@@ -4,30 +4,26 @@ Registering writes the table as Parquet under ``spark.checkpoint.dir`` (the
 folder every executor and driver of the cluster can reach) and returns a
 DataFrame read back from it, which also cuts the lineage: later operators
 scan the stored files instead of recomputing the upload's parsing.  A newer
-upload by the same owner replaces the older one.
+upload by the same owner replaces the older one once it is completely written.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 from churnscope.functions.status import STATUS_CLASS, status_class
 from churnscope.session import checkpoint_dir
+from churnscope.sources.versions import announce, current, folder_name, new_version
 
 
 class NoDatasetError(LookupError):
     """No dataset has been registered for this owner/name."""
 
 
-def _safe(part: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.@-]", "_", part)
-
-
 def dataset_path(spark: SparkSession, name: str = "current", owner: str = "default") -> str:
-    return os.path.join(checkpoint_dir(spark), "datasets", f"owner={_safe(owner)}", _safe(name))
+    return os.path.join(checkpoint_dir(spark), "datasets", f"owner-{folder_name(owner)}", folder_name(name))
 
 
 def register_dataset(spark: SparkSession, df: DataFrame, name: str = "current",
@@ -39,18 +35,17 @@ def register_dataset(spark: SparkSession, df: DataFrame, name: str = "current",
     then read only their class's files.
     """
     path = dataset_path(spark, name, owner)
-    writer = df
+    version = new_version(path)
     if by_status:
-        writer = df.withColumn(STATUS_CLASS, status_class("Status"))
-        writer.write.mode("overwrite").partitionBy(STATUS_CLASS).parquet(path)
+        df.withColumn(STATUS_CLASS, status_class("Status")).write.partitionBy(STATUS_CLASS).parquet(version)
     else:
-        writer.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        df.write.parquet(version)
+    announce(spark, path, version)
+    return spark.read.parquet(version)
 
 
 def get_dataset(spark: SparkSession, name: str = "current", owner: str = "default") -> DataFrame:
-    path = dataset_path(spark, name, owner)
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # missing path
-        raise NoDatasetError(f"no dataset loaded for {owner!r}/{name!r}: upload one first") from e
+    version = current(spark, dataset_path(spark, name, owner))
+    if version is None:
+        raise NoDatasetError(f"no dataset loaded for {owner!r}/{name!r}: upload one first")
+    return spark.read.parquet(version)

@@ -39,11 +39,25 @@ def test_plan_codes_alphabetical_null_is_nan(spark):
         dict(CustomerID="a", PlanType="b"), dict(CustomerID="b", PlanType=None),
         dict(CustomerID="c", PlanType="a"), dict(CustomerID="d", PlanType="B")]))
     enc = ml.fit_plan_encoder(df)
-    assert enc.labels == ["B", "a", "b", "nan"]
+    assert [tuple(r) for r in enc.orderBy("_plan_code").collect()] == [("B", 0), ("a", 1), ("b", 2), ("nan", 3)]
     got = {r.CustomerID: r.plan_code for r in ml.plan_codes(df, enc).collect()}
     assert got == {"a": 2, "b": 3, "c": 1, "d": 0}
 
 
+def test_plan_dictionary_over_many_partitions(spark):
+    """Codes are gapless and in text order across the sorted partitions."""
+    df = spark.range(5000).selectExpr("cast(id as string) AS CustomerID", "concat('p', id % 1700) AS PlanType")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = [tuple(r) for r in ml.fit_plan_encoder(df).collect()]
+    finally:
+        spark.conf.set(key, before)
+    want = sorted(f"p{i}" for i in range(1700))
+    assert sorted(got) == [(p, i) for i, p in enumerate(want)]
+
+
 def test_metrics_from_confusion(spark):
     pred = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (0.0, 0.0)],
                                  "target double, prediction double")
@@ -94,7 +108,7 @@ def test_what_if_and_unseen_plan(spark, trained):
     assert counts == {0: len(w), 1: len(w)}
     assert all(r.risk_text in ("HIGH RISK", "MEDIUM RISK", "SAFE") for r in w)
     sc = spark.createDataFrame(
-        [("NoSuchPlan", 99.0, 6, 25, 2, 3), (model.labels[0], 99.0, 6, 25, 2, 3)],
+        [("NoSuchPlan", 99.0, 6, 25, 2, 3), (model.plans.where("_plan_code = 0").first()["_plan_text"], 99.0, 6, 25, 2, 3)],
         "plan string, revenue double, tenure bigint, usage bigint, tickets bigint, last_login bigint")
     p = [r.probability for r in ml.score_scenarios(sc, model).collect()]
     assert p[0] == pytest.approx(p[1])  # unseen plan scores as code 0
@@ -122,6 +136,9 @@ def test_model_save_load_roundtrip(spark, trained, tmp_dir):
     a = [r.ChurnRiskProbability for r in ml.risk_ledger(c, model).collect()]
     b = [r.ChurnRiskProbability for r in ml.risk_ledger(c, again).collect()]
     assert a == b
+    assert again.metrics_row == model.metrics_row
+    models.save_model(again, path)  # a model may replace the version it was read from
+    assert models.load_model(path).plans.count() == model.plans.count()
     with pytest.raises(models.NoModelError):
         models.load_model(tmp_dir + "/missing")
 

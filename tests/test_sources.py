@@ -63,6 +63,22 @@ def test_registry_replace_and_missing(spark):
         registry.get_dataset(spark, owner=owner + "-nobody")
 
 
+def test_registry_names_and_self_overwrite(spark):
+    tag = f"{os.getpid()}"
+    g = generator.generate_customers(spark, 20)
+    registry.register_dataset(spark, g, owner=f"ann+{tag}@x.io")
+    registry.register_dataset(spark, g.limit(5), owner=f"ann_{tag}@x.io")
+    mine = registry.get_dataset(spark, owner=f"ann+{tag}@x.io")
+    assert mine.count() == 20  # the other owner's folder is another one
+    some = mine.where("TenureMonths > 3")
+    n = some.count()
+    registry.register_dataset(spark, some, owner=f"ann+{tag}@x.io")  # derived from what it replaces
+    assert registry.get_dataset(spark, owner=f"ann+{tag}@x.io").count() == n
+    for name in ("", ".", ".."):
+        with pytest.raises(ValueError):
+            registry.dataset_path(spark, name)
+
+
 def test_profile_and_preview(spark):
     raw = C.raw(spark, SF_SMALL)
     p = profile.profile(raw).first()
