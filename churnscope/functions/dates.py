@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 # Fixed value: the label a missing or unparseable date gets; it is a real group.
 MISSING_MONTH = "NaT"
 
+# A four-digit year, then nothing or month, day and time; so no serial numbers
+# and no text of a time alone, which a cast would take.
+ISO_PATTERN = r"^\s*[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}([T ].*)?)?)?\s*$"
+COMPACT_PATTERN = r"^[0-9]{8}$"
+OFFSET_PATTERN = r"^(.*[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]*)?)?)\s*(?:Z|UTC|[+-][0-9]{1,2}(?::?[0-9]{2})?)\s*$"
+
 
 def parse_date(c: Column | str, formats: Sequence[str] | None = None) -> Column:
     """Parse a date/timestamp text; unparseable -> null.
 
-    Default is Spark's ISO cast (``2025-01-05``, ``2025-01-05T10:00:00``,
-    ``2025-04``).  ``formats`` adds explicit datetime patterns, tried in order
+    Default is ISO (``2025-01-05``, ``2025-01-05T10:00:00``, ``2025-04``,
+    ``20250105``).  A time's offset is left out: the date is the wall clock's.
+    ``formats`` adds explicit datetime patterns, tried in order
     after the ISO cast, independently of the row order.
     """
     c = F.col(c) if isinstance(c, str) else c
     txt = c.cast("string")
-    parsed = [txt.try_cast("timestamp")]
+    wall = F.regexp_replace(txt, OFFSET_PATTERN, "$1")
+    parsed = [F.when(txt.rlike(ISO_PATTERN), wall.try_cast("timestamp")),
+              F.when(txt.rlike(COMPACT_PATTERN), F.try_to_timestamp(txt, F.lit("yyyyMMdd")))]
     for fmt in formats or ():
         parsed.append(F.try_to_timestamp(txt, F.lit(fmt)))
-    return F.coalesce(*parsed) if len(parsed) > 1 else parsed[0]
+    return F.coalesce(*parsed)
 
 
 def month_bucket(c: Column | str, formats: Sequence[str] | None = None) -> Column:

@@ -14,16 +14,20 @@ INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 
 
 def read_customers(spark: SparkSession, path: str, fmt: str = "csv", infer: bool = False,
-                   na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
+                   na_tokens: Iterable[str] = NA_TOKENS, multiline: bool = False) -> DataFrame:
     """Read an uploaded customer table.
 
     CSV is read with a header and every column as text (each typed role is
     coerced later anyway); pandas' default NA tokens, matched exactly and
     without trimming, become null.  ``infer=True`` then types numeric-looking
     columns as pandas' reader would (see :func:`infer_types`).
+
+    A quote inside a quoted field is doubled.  ``multiline=True`` reads quoted
+    line breaks; such files cannot be split over several tasks.
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        df = (spark.read.option("header", True).option("inferSchema", False)
+              .option("escape", '"').option("multiLine", multiline).csv(path))
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:

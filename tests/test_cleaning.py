@@ -99,3 +99,14 @@ def test_status_rules(spark, status, active, churned):
     df = spark.createDataFrame([(status,)], "Status string")
     r = df.select(is_active("Status").alias("a"), is_churned("Status").alias("c")).first()
     assert (r.a, r.c) == (active, churned)
+
+
+def test_month_bucket_takes_dates_only(spark):
+    from churnscope.functions import month_bucket
+    want = {"2025-01-05": "2025-01", "2025-04": "2025-04", "2025": "2025-01", "20250105": "2025-01",
+            "2025-01-31T23:30:00-05:00": "2025-01", "2025-01-31 23:30:00+0500": "2025-01",
+            "2025-03-01T10:00:00Z": "2025-03", "2025-02-30": "NaT", "45123": "NaT", "T10:30": "NaT",
+            "10:30": "NaT", "+45123-01-01": "NaT", "": "NaT", "20251305": "NaT", "2025-01-05 x": "NaT"}
+    df = spark.createDataFrame([(k,) for k in [*want, None]], "d string")
+    got = {r.d: r.m for r in df.select("d", month_bucket("d").alias("m")).collect()}
+    assert got == want | {None: "NaT"}

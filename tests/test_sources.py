@@ -36,6 +36,14 @@ def test_csv_roundtrip_with_na_tokens_and_inference(spark, tmp_dir):
     assert a == b
 
 
+def test_csv_quotes_and_line_breaks(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "q.csv")
+    with open(path, "w") as f:
+        f.write('id,note,mrr\n1,"say ""hi"", ok",5\n2,"two\nlines",7\n')
+    rows = files.read_customers(spark, path, multiline=True).collect()
+    assert [tuple(r) for r in rows] == [("1", 'say "hi", ok', "5"), ("2", "two\nlines", "7")]
+
+
 def test_generator_ranges_and_shares(spark):
     g = generator.generate_customers(spark, 5000, seed=42)
     rows = g.collect()
