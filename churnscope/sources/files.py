@@ -90,18 +90,29 @@ def impute_mean(df: DataFrame, cols: Iterable[str] | None = None,
     """Fill nulls of numeric columns with the column mean; text columns untouched.
 
     One aggregate computes every mean (a single row, one value per column),
-    then ``fillna`` applies them in a projection.  Integer columns keep their
-    type (they have no nulls after :func:`infer_types`).  ``means`` supplies
-    means already computed (``infer_types(..., with_means=True)``), saving
-    that pass.
+    then ``fillna`` applies them in a projection.  NaN counts as missing.  An
+    integer column with missing values becomes ``double`` (as pandas has it);
+    one without keeps its type, as does a column with no value at all.
+    ``means`` supplies means already computed (``infer_types(...,
+    with_means=True)``), for columns that need no aggregate then.
     """
-    numeric = [f.name for f in df.schema.fields
-               if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "decimal")
-               and (cols is None or f.name in cols)]
-    if not numeric:
-        return df
-    if means is None:
-        means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in numeric]).first().asDict()
-    fill = {c: float(v) for c, v in means.items() if v is not None and c in numeric}
-    fractional = [c for c in fill if df.schema[c].dataType.typeName() in ("double", "float", "decimal")]
-    return df.fillna({c: fill[c] for c in fractional}) if fractional else df
+    numeric = {f.name: f.dataType.typeName() for f in df.schema.fields
+               if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte", "decimal")
+               and (cols is None or f.name in cols)}
+    means = {c: float(v) for c, v in (means or {}).items() if v is not None and c in numeric}
+    todo = [c for c in numeric if c not in means]
+    gaps = set()
+    if todo:
+        aggs = []
+        for i, c in enumerate(todo):
+            value = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+            aggs += [F.avg(value).alias(f"mean{i}"), F.count_if(value.isNull()).alias(f"gaps{i}")]
+        stats = df.agg(*aggs).first()
+        means |= {c: stats[f"mean{i}"] for i, c in enumerate(todo) if stats[f"mean{i}"] is not None}
+        gaps = {c for i, c in enumerate(todo) if stats[f"gaps{i}"]}
+    fractional = ("double", "float", "decimal")
+    widened = [c for c in means if c in gaps and numeric[c] not in fractional]
+    if widened:
+        df = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in widened})
+    fill = {c: v for c, v in means.items() if numeric[c] in fractional or c in widened}
+    return df.fillna(fill) if fill else df

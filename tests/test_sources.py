@@ -44,6 +44,16 @@ def test_csv_quotes_and_line_breaks(spark, tmp_dir):
     assert [tuple(r) for r in rows] == [("1", 'say "hi", ok', "5"), ("2", "two\nlines", "7")]
 
 
+def test_imputation_of_typed_columns(spark):
+    df = spark.createDataFrame([(1, 2.0, 5, "x"), (None, float("nan"), 6, None), (4, None, 7, "y")],
+                               "a bigint, b double, c int, t string")
+    out = files.impute_mean(df)
+    assert dict(out.dtypes) == {"a": "double", "b": "double", "c": "int", "t": "string"}
+    assert [tuple(r) for r in out.collect()] == [(1.0, 2.0, 5, "x"), (2.5, 2.0, 6, None), (4.0, 2.0, 7, "y")]
+    typed, means = files.infer_types(df, with_means=True)
+    assert files.impute_mean(typed, means=means).collect() == out.collect()
+
+
 def test_generator_ranges_and_shares(spark):
     g = generator.generate_customers(spark, 5000, seed=42)
     rows = g.collect()
