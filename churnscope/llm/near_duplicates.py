@@ -324,8 +324,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     members = left.join(several.select("key"), "key").select("node", F.col("node_comp").alias("comp"))
     members = written(members.unionByName(settled).unionByName(ring.select("node", "comp")).distinct(), "members")
     pairs = rare_pairs(bags, members).distinct().join(known, ["a", "b"], "left_anti")
-    known = known.unionByName(overlaps(pairs, bags))
-    return components(known.where(F.col("like") >= LIKE))
+    more = overlaps(pairs, bags).where(F.col("like") >= LIKE)
+    joined = written(classed(classed(more, "a"), "b").select("a_comp", "b_comp"), "joined")
+    merged = components(joined.select(*ordered("a_comp", "b_comp")))  # few classes: those that a later link joins
+    joined = joined.select(F.explode(F.array("a_comp", "b_comp")).alias("node"))
+    alone = joined.distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    least = merged.select(F.col("node").alias("comp"), F.col("comp").alias("least"))
+    return comps.unionByName(alone).join(least, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
