@@ -31,7 +31,7 @@ def is_churned(c: Column | str = "Status") -> Column:
     return F.coalesce(_status(c).isin(*CHURNED_STATUSES), F.lit(False))
 
 
-STATUS_CLASS = "status_class"
+STATUS_CLASS = "churnscope_status_class"  # reserved: uploads with such a column are refused
 
 
 def status_class(c: Column | str = "Status") -> Column:

@@ -275,7 +275,11 @@ def risk_ledger(df: DataFrame, model: ChurnModel, top_n: int | None = None,
     by many rows.
     """
     act = id_search(active_filter(df), search, literal=literal)
-    scored = model.transform(act)
+    return rank_ledger(model.transform(act), top_n)
+
+
+def rank_ledger(scored: DataFrame, top_n: int | None = None) -> DataFrame:
+    """The ledger's columns, bands and order for rows that carry ``churn_probability``."""
     out = scored.select(
         F.col("CustomerID").cast("string").alias("CustomerID"),
         plan_text().alias("PlanType"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions import churn_target, is_active, is_churned, month_bucket, parse_date
 from churnscope.functions.cleaning import clean_columns, fits_long, int_text, money_text, parse_text
+from churnscope.functions.status import STATUS_CLASS
 from churnscope.roles import INT_ROLES, MONEY_ROLES, ROLES
 
 
@@ -27,6 +28,8 @@ def resolve_mapping(df: DataFrame, mapping: Mapping[str, str] | None = None) ->
     if unknown:
         raise MappingError(f"unknown roles: {sorted(unknown)}")
     cols = set(df.columns)
+    if STATUS_CLASS in cols:
+        raise MappingError(f"column name {STATUS_CLASS!r} is reserved for registered datasets")
     out = {}
     for role in ROLES:
         src = mapping.get(role, role)

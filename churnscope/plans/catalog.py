@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from churnscope.functions import (month_bucket, percent_text, retention_action, risk_band,
                                   risk_color)
 from churnscope.functions.cleaning import NA_TOKENS, na_to_null
-from churnscope.functions.labels import LEDGER_LABELS, PLAIN_LABELS, PROTOCOLS, RISK_COLORS
+from churnscope.functions.labels import PROTOCOLS
 from churnscope.operators import (charts, cohorts, filters, insights, kpis, ml, preprocess,
                                   profile)
 from churnscope.plans import oracle as O
@@ -467,43 +467,46 @@ def q_binary_metrics(spark, sf_dir):
     return ml.binary_metrics(pred)
 
 
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def _band_sql(p: str, high: str, medium: str, safe: str) -> str:
+    return f"CASE WHEN {p} >= 0.7 THEN '{high}' WHEN {p} >= 0.4 THEN '{medium}' ELSE '{safe}' END"
 
 
-def _band_sql(p: str, values) -> str:
-    return (f"CASE WHEN {p} >= 0.7 THEN {_sql_text(values[0])} WHEN {p} >= 0.4 THEN {_sql_text(values[1])} "
-            f"ELSE {_sql_text(values[2])} END")
+# A probability of every customer that both engines compute identically: the
+# md5 bucket of the ID, spread over [0, 1), so every band holds many rows.
+BUCKET_SQL = "('0x' || substr(md5(COALESCE(CustomerID, '') || '#42'), 1, 8))::BIGINT / 4294967296.0"
+CHANCE_CTE = f"chances AS (SELECT *, {BUCKET_SQL} AS p FROM flagged)"
+LEDGER_BAND_SQL = _band_sql("p", "🔴 HIGH RISK", "🟡 MEDIUM RISK", "🟢 SAFE")
 
 
-RATE_CTE = SUPPORT_CTE.strip() + """,
-rates AS (SELECT tickets, CASE WHEN Total > 0 THEN Churned / Total ELSE 0.0 END AS p FROM support)
-"""
-
-
-def ticket_rates(spark, sf_dir) -> DataFrame:
-    """Empirical churn probability per ticket count: ``tickets, p``."""
-    s = charts.support_churn(cleaned(spark, sf_dir))
-    p = F.when(F.col("Total") > 0, F.col("Churned") / F.col("Total")).otherwise(F.lit(0.0))
-    return s.select("tickets", p.alias("p"))
+def customer_chances(spark, sf_dir) -> DataFrame:
+    """The cleaned customers with the stand-in probability ``p``."""
+    return cleaned(spark, sf_dir).withColumn("p", ml.split_bucket())
 
 
-# Risk bands applied to an empirical churn probability (the churn share of
-# each ticket-count group), which both engines compute identically.
 @register("risk_band", O.with_base(
-    f"SELECT tickets, p, {_band_sql('p', LEDGER_LABELS)} AS RiskCategory, "
-    f"{_band_sql('p', PLAIN_LABELS)} AS risk_text, {_band_sql('p', RISK_COLORS)} AS risk_color "
-    "FROM rates ORDER BY tickets", RATE_CTE))
+    f"SELECT CustomerID, p, {LEDGER_BAND_SQL} AS RiskCategory, "
+    f"{_band_sql('p', 'HIGH RISK', 'MEDIUM RISK', 'SAFE')} AS risk_text, "
+    f"{_band_sql('p', '#EF4444', '#F59E0B', '#10B981')} AS risk_color FROM chances", CHANCE_CTE))
 def q_risk_band(spark, sf_dir):
-    return ticket_rates(spark, sf_dir).select(
-        "tickets", "p", risk_band("p").alias("RiskCategory"),
+    return customer_chances(spark, sf_dir).select(
+        "CustomerID", "p", risk_band("p").alias("RiskCategory"),
         risk_band("p", emoji=False).alias("risk_text"), risk_color("p").alias("risk_color"))
 
 
 @register("retention_action", O.with_base(
-    f"SELECT tickets, p, {_band_sql('p', PROTOCOLS)} AS protocol FROM rates ORDER BY tickets", RATE_CTE))
+    f"SELECT CustomerID, p, {_band_sql('p', *PROTOCOLS)} AS protocol FROM chances", CHANCE_CTE))
 def q_retention_action(spark, sf_dir):
-    return ticket_rates(spark, sf_dir).select("tickets", "p", retention_action("p").alias("protocol"))
+    return customer_chances(spark, sf_dir).select("CustomerID", "p", retention_action("p").alias("protocol"))
+
+
+# The ledger's filter, projection, bands and order, fed the stand-in probability.
+@register("rank_ledger", O.with_base(
+    "SELECT CustomerID, COALESCE(PlanType, 'nan') AS PlanType, MonthlyRevenue, TenureMonths, SupportTickets, "
+    f"LastLoginDaysAgo, p AS ChurnRiskProbability, {LEDGER_BAND_SQL} AS RiskCategory FROM chances "
+    "WHERE is_active ORDER BY p DESC, CustomerID", CHANCE_CTE))
+def q_rank_ledger(spark, sf_dir):
+    return ml.rank_ledger(filters.active_filter(customer_chances(spark, sf_dir))
+                          .withColumnRenamed("p", "churn_probability"))
 
 
 @register("train_churn", None)
@@ -552,7 +555,6 @@ def q_active_ratio(spark, sf_dir):
 
 
 @register("percent_text", O.with_base(
-    "SELECT tickets, p, printf('%.1f%%', round_even(p * 100.0, 1)) AS p_text FROM rates ORDER BY tickets",
-    RATE_CTE))
+    "SELECT CustomerID, p, printf('%.1f%%', round_even(p * 100.0, 1)) AS p_text FROM chances", CHANCE_CTE))
 def q_percent_text(spark, sf_dir):
-    return ticket_rates(spark, sf_dir).select("tickets", "p", percent_text("p").alias("p_text"))
+    return customer_chances(spark, sf_dir).select("CustomerID", "p", percent_text("p").alias("p_text"))

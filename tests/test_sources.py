@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from churnscope.operators import kpis, preprocess, profile
+from churnscope.functions.status import STATUS_CLASS
+from churnscope.operators import filters, kpis, preprocess, profile
 from churnscope.plans import catalog as C
 from churnscope.sources import files, generator, registry
 from conftest import SF_SMALL
@@ -155,7 +156,7 @@ def test_registry_status_partitions_prune_and_agree(spark):
     reg = registry.register_dataset(spark, clean, name="parts", owner=f"p-{os.getpid()}", by_status=True)
     act = filters.active_filter(reg)
     plan = act._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(status_class" in plan and "active" in plan
+    assert "PartitionFilters: [isnotnull(churnscope_status_class" in plan and "active" in plan
     assert act.count() == filters.active_filter(clean).count()
     assert filters.churned_filter(reg).count() == filters.churned_filter(clean).count()
     a = C.rounded(K.kpis(reg), C.KPI_MONEY, C.KPI_MICRO).first()
@@ -214,3 +215,12 @@ def test_checkpoint_dir_refuses_local_fallback_on_a_cluster():
     shared.conf = Conf({"spark.checkpoint.dir": "/shared/ckpt"})
     shared.sparkContext.setCheckpointDir = lambda p: None
     assert checkpoint_dir(shared) == "/shared/ckpt"
+
+
+def test_reserved_status_class_column_is_refused(spark):
+    """An upload cannot bring its own status class; a column of another name changes no filter."""
+    df = spark.createDataFrame([tuple("Active" if r == "Status" else "1" for r in C.ROLES) + ("churned",)],
+                               ", ".join(f"{r} string" for r in C.ROLES) + ", status_class string")
+    assert filters.active_filter(preprocess.preprocess(df)).count() == 1
+    with pytest.raises(preprocess.MappingError, match="reserved"):
+        preprocess.preprocess(df.withColumnRenamed("status_class", STATUS_CLASS))
