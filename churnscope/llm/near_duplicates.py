@@ -260,10 +260,9 @@ def rare_pairs(bags: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             for node, comp, items, counts in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 token = np.frombuffer(items, np.uint64)
-                if counts:
-                    c = np.frombuffer(counts, np.int32)
-                    nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                    token = mix64(np.repeat(token, c) + nth.astype(np.uint64) * _GOLD)
+                c = np.frombuffer(counts, np.int32) if counts else np.ones(len(token), np.int32)
+                nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                token = mix64(np.repeat(token, c) + nth.astype(np.uint64) * _GOLD)  # the same in bags with and without repeats
                 n = len(token)
                 yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array([comp] * n, pa.binary()),
                                                   pa.array(np.full(n, n)), pa.array(token.view(np.int64))], ["node", "comp", "n", "token"])

@@ -407,6 +407,22 @@ def test_chains_of_edits_are_one_class(spark):
     check_classes(rows, near_duplicates.near_duplicates(table).collect())
 
 
+def test_rare_pairs_of_texts_with_and_without_repeats(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + words[:6])), (2, " ".join(words[:-1] + ["x"] + words[:5])),
+            (3, " ".join(words[2:])), (4, " ".join(words[20:] + words[20:])), (5, " ".join(f"v{i}" for i in range(40)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_duplicates.signed(table).cache()
+    bags = near_duplicates.contents(table, nodes.select("node", "ord", "text_hash"))
+    found = near_duplicates.rare_pairs(bags, nodes.select("node", nodes["node"].alias("comp"))).collect()
+    name = {bytes(r.node): r.doc_id for r in nodes.collect()}
+    got = {tuple(sorted((name[bytes(r.a)], name[bytes(r.b)]))) for r in found}
+    bags = {i: bag(t) for i, t in rows}
+    alike = {(i, j) for i in bags for j in bags if i < j
+             and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    assert {(0, 1), (0, 2), (1, 2)} & alike and alike <= got
+
+
 # pipeline
 
 def test_pipeline_stages_take_effect(spark):
