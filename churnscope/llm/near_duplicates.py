@@ -96,10 +96,10 @@ def bag_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
         turn = t[:, None] + np.arange(many, dtype=np.uint64)
         odd = np.uint64(2) * turn + np.uint64(3)
         waits = _waits(s[:, None] + odd * _GOLD)  # from each point to the next
-        times = at[:, None] + np.cumsum(waits, axis=1) - waits
+        times = np.cumsum(np.c_[at, waits], axis=1)  # in order, so that a point has one value in chunks of any length
         place = mix64(s[:, None] + (odd + np.uint64(1)) * _GOLD) % np.uint64(size)
-        np.minimum.at(best, (d[:, None] * size + place.astype(np.int64)).ravel(), times.ravel())
-        parts = [(d, w[unit], lo[unit], span[unit], s, times[:, -1] + waits[:, -1], t + np.uint64(many))]
+        np.minimum.at(best, (d[:, None] * size + place.astype(np.int64)).ravel(), times[:, :-1].ravel())
+        parts = [(d, w[unit], lo[unit], span[unit], s, times[:, -1], t + np.uint64(many))]
         if not unit.all():
             wide = ~unit
             d, ww, ll, half, s, at = doc[wide], w[wide], lo[wide], span[wide] // 2, seed[wide], x[wide]

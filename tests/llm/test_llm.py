@@ -381,6 +381,19 @@ def test_bag_min_hash_is_unbiased():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.04
 
 
+def test_signature_is_the_same_alone_and_in_a_block():
+    rng = np.random.default_rng(3)
+    owner = np.repeat(np.arange(200), 30)
+    element = rng.integers(0, 1 << 62, len(owner)).astype(np.uint64)
+    weight = rng.integers(1, 4, len(owner))
+    size = near_duplicates.BANDS * near_duplicates.ROWS
+    full = near_duplicates.bag_min_hash(owner, element, weight, 200, size)
+    for i in range(20):
+        mine = owner == i
+        alone = near_duplicates.bag_min_hash(owner[mine] - i, element[mine], weight[mine], 1, size)
+        assert (alone[0] == full[i]).all()
+
+
 def test_near_duplicates_match_brute_force(spark, docs, odd):
     check_classes([(r.doc_id, r.text) for r in docs.collect()], near_duplicates.near_duplicates(docs).collect())
     check_classes([(r[0], r[1]) for r in odd.collect()], near_duplicates.near_duplicates(odd).collect())
