@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from churnscope.llm.shared import pick, read, small, written
 from churnscope.llm.tokens import blocks, words
@@ -26,12 +26,12 @@ SHARE = 20
 #: Words of test phrases in one block.
 BLOCK_WORDS = 200_000
 
-INDEX = "doc_ids array<bigint>, lengths binary, terms binary, counts binary, gaps binary"
+INDEX = "doc_ids array<bigint>, text_hashes array<bigint>, lengths binary, terms binary, counts binary, gaps binary"
 HITS = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-        "items array<bigint>, spans array<struct<first:int,words:int>>")
+        "items array<bigint>, spans array<struct<first:int,words:int>>, text_hash long")
 
 
-def _segment(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> dict:
+def _segment(ids: pa.Array, hashes: pa.Array, data: np.ndarray, offsets: np.ndarray) -> dict:
     """The postings of one segment.  Documents stand one position apart, so
     that no phrase reaches from one into the next."""
     terms, rows = words(data, offsets)
@@ -41,12 +41,16 @@ def _segment(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> dict:
     first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, int)
     gaps = np.diff(at, prepend=0)
     gaps[first] = at[first]
-    return {"doc_ids": ids.to_pylist(),
+    return {"doc_ids": ids.to_pylist(), "text_hashes": hashes.to_pylist(),
             "lengths": np.bincount(rows, minlength=len(ids)).astype(np.int32).tobytes(),
             "terms": terms[first].tobytes(), "counts": np.diff(np.r_[first, len(terms)]).astype(np.int32).tobytes(),
             "gaps": gaps.astype(np.int32).tobytes()}
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def build_index(docs: DataFrame, segment_bytes: int = 1 << 20) -> DataFrame:
     """The positional index of all tokens, a row for each segment (written).
 
@@ -55,11 +59,13 @@ def build_index(docs: DataFrame, segment_bytes: int = 1 << 20) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(1), segment_bytes):
-                row = _segment(batch.column(0)[i:j], data, offsets)
+                row = _segment(batch.column(0)[i:j], batch.column(2)[i:j], data, offsets)
                 yield pa.RecordBatch.from_pylist([row], schema)
 
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in ("lengths", "terms", "counts", "gaps")])
-    return written(pick(docs, {"doc_id": "long", "text": "string"}).mapInArrow(build, INDEX), "postings")
+    schema = pa.schema([(c, pa.list_(pa.int64())) for c in ("doc_ids", "text_hashes")]
+                       + [(c, pa.binary()) for c in ("lengths", "terms", "counts", "gaps")])
+    rows = pick(docs, {"doc_id": "long", "text": "string"}).select("doc_id", "text", _text_hash())
+    return written(rows.mapInArrow(build, INDEX), "postings")
 
 
 def phrase_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[dict]:
@@ -137,7 +143,7 @@ def matches(terms: np.ndarray, counts: np.ndarray, at: np.ndarray, size: int, bl
 
 
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0,
-           block_words: int = BLOCK_WORDS) -> DataFrame:
+           block_words: int = BLOCK_WORDS, keyed: bool = False) -> DataFrame:
     """Per document: its words, the words inside any occurrence of a window,
     the items with occurring windows, their digest, the verdict, and the hit
     spans by word number.
@@ -146,7 +152,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     words or with null text has none; an item with a null id hits but is not
     listed.  Equal ids count once.  Rows with equal ``doc_id`` are separate
     rows.  With ``slop`` > 0 the matches are by proximity: each term within so
-    many words of its place."""
+    many words of its place.  With ``keyed`` there is the text's hash, too."""
     sent = [index.sparkSession.sparkContext.broadcast(b) for b in phrase_blocks(items, window, block_words)]
 
     def one(seg: dict) -> list[dict]:
@@ -175,7 +181,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
         span_first, span_end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         span_doc = np.searchsorted(head, span_first, "right") - 1
         out = []
-        for d, doc_id in enumerate(seg["doc_ids"]):
+        for d, (doc_id, text_hash) in enumerate(zip(seg["doc_ids"], seg["text_hashes"])):
             n, n_hit = int(lens[d]), int(total[head[d] + lens[d]] - total[head[d]])
             own = sorted(items_of.get(d, ()))
             text = ",".join(sorted(map(str, own)))
@@ -183,28 +189,33 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
                      for s in range(*np.searchsorted(span_doc, [d, d + 1]))] if n_hit else []
             out.append({"doc_id": doc_id, "n_words": n, "n_hit": n_hit, "n_items": len(own),
                         "items_sha256": hashlib.sha256(text.encode()).hexdigest(),
-                        "contaminated": n_hit > 0 and SHARE * n_hit >= n, "items": own, "spans": spans})
+                        "contaminated": n_hit > 0 and SHARE * n_hit >= n, "items": own, "spans": spans,
+                        "text_hash": text_hash})
         return out
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
                         ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.int64())),
-                        ("spans", pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])))])
+                        ("spans", pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 yield pa.RecordBatch.from_pylist(one(batch.slice(k, 1).to_pylist()[0]), schema)
 
-    return index.mapInArrow(run, HITS)
+    hits = index.mapInArrow(run, HITS)
+    return hits if keyed else hits.drop("text_hash")
 
 
 def clean(docs: DataFrame, items: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The named columns of the documents that aren't contaminated; rows that
-    share an id with a contaminated one go with it."""
-    found = written(search(build_index(docs), items).where("contaminated").select("doc_id").distinct(), "contaminated")
+    """The named columns of the documents that aren't contaminated.  Rows are
+    known by id and text hash: others with a contaminated one's id (or with a
+    null id, as it) stay."""
+    keys = ["doc_id", "text_hash"]
+    found = written(search(build_index(docs), items, keyed=True).where("contaminated").select(*keys).distinct(), "contaminated")
     known = small(found, found.count(), 200_000)
-    rows = pick(docs, {"doc_id": "long"} | columns)
-    return rows.join(known, rows["doc_id"].eqNullSafe(known["doc_id"]), "left_anti").select(*columns)
+    rows = pick(docs, {"doc_id": "long", "text": "string"} | columns).withColumn("text_hash", _text_hash())
+    same = rows["doc_id"].eqNullSafe(known["doc_id"]) & (rows["text_hash"] == known["text_hash"])
+    return rows.join(known, same, "left_anti").select(*columns)
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

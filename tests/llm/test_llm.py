@@ -165,6 +165,15 @@ def test_proximity_allows_moved_words_within_a_document(spark):
     assert {1, 2} <= hits(1) and 3 not in hits(1)
 
 
+def test_only_contaminated_texts_leave(spark):
+    bench = " ".join(f"b{i}" for i in range(20))
+    rows = [(None, bench), (None, "no id but clean"), (None, None), (1, bench), (1, bench), (1, "clean with the same id"), (2, "clean"), (2, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, bench)], "item_id long, text string")
+    out = decontamination.clean(table, items, {"doc_id": "long", "text": "string"})
+    assert Counter(map(tuple, out.collect())) == Counter(r for r in rows if r[1] != bench)
+
+
 # 4: masked pseudo-likelihood
 
 def test_scores_beat_unigrams_and_cover_all_rows(docs):
