@@ -27,7 +27,9 @@ PAGE = {"page_id": "long", "url": "string", "html": "string"}
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "xmp"}
-DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "audio", "video", "canvas", "label", "fieldset"}
+DROPPED = RAW | {"head", "nav", "footer", "aside", "button", "dialog", "menu", "audio", "video", "canvas", "label"}
+#: Dropped unless the page or its article is inside.
+FORMS = {"form", "fieldset"}
 #: Elements that end the block of text before them and begin another.
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset",
          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main",
@@ -45,6 +47,13 @@ MARKS = re.compile(
     r"breadcrumbs?|sidebars?|complementary|footer|masthead|contentinfo|header|topbar|comments?|respond|disqus|shar(?:e|ing)|social|"
     r"related|newsletter|subscri\w+|popup|modal|overlay|paywall|skip|pagination|pager|widgets?|tags|byline|toolbar|search|login|signup)"
     r"(?=$|[\s_-])", re.I)
+#: Names of an element's state ("has-sidebar"), which don't say what it is.
+STATES = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|is|not)[_-]\S*")
+#: Marks that an article's own parts may have, too; there only lists of links go by them.
+VAGUE = re.compile(r"alert|notices?|search|tags|related", re.I)
+#: What is under these names is never the page's article.
+OTHERS = re.compile(r"\b(?:comments?|respond|disqus|related)\b", re.I)
+CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story)(?=$|[\s_-])")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</[^a-zA-Z][^>]*>"""
                  r"""|</?[a-zA-Z][^>]*>|</?[a-zA-Z][^<>]*\Z""", re.S)
@@ -52,17 +61,15 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "hash", "words")
+    __slots__ = ("tag", "names", "kids", "hash", "words", "marked", "dropped")
 
     def __init__(self, tag: str, names: str):
         self.tag, self.names, self.kids, self.hash, self.words = tag, names, [], 0, 0
-
-    @property
-    def dropped(self) -> bool:
-        if self.tag in DROPPED:
-            return True
-        return self.tag not in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6") and bool(
-            self.names and MARKS.search(self.names)) or self.tag == "article" and bool(re.search(r"\bcomments?\b", self.names))
+        own = tag not in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6")
+        self.marked = tag not in DROPPED and (
+            tag in FORMS or own and bool(names and MARKS.search(STATES.sub("", names)))
+            or tag == "article" and bool(re.search(r"\bcomments?\b", STATES.sub("", names))))
+        self.dropped = self.marked or tag in DROPPED
 
 
 def _close(node: Node) -> None:
@@ -131,9 +138,79 @@ def parse(page: str) -> Node:
             continue
         stack.append(node)
     pop(0)
+    _keep_article(root)
     return root
 
 
+def _rank(node: Node) -> int:
+    """How surely an element is the article: 0 most, 9 not."""
+    names = node.names.lower()
+    return (0 if node.tag == "article" else 1 if node.tag == "main" or "main" in names.split() else
+            2 if names and CONTENT.search(names) else 3 if node.tag == "body" else 9)
+
+
+def _links(node: Node) -> int:
+    """Length of the text in links."""
+    todo, n = [node], 0
+    while todo:
+        node = todo.pop()
+        if node.tag == "a":
+            n += node.words
+        else:
+            todo.extend(k for k in node.kids if isinstance(k, Node))
+    return n
+
+
+def _keep_article(root: Node) -> None:
+    """Take marked elements back from the dropped ones that hold the article,
+    most of the page's text or the article's first heading, and parts of the
+    article that aren't lists of links and have vague marks only."""
+    lost: dict[int, int] = {}  # text of dropped tags in marked elements
+    total, clean, first = root.words, root.words, None
+    marked, articles, seen = [], [], set()
+    todo = [(root, (), 0)]
+    while todo:
+        node, chain, article = todo.pop()
+        if node.tag in DROPPED:
+            total -= node.words
+            if not chain:
+                clean -= node.words
+            for m in chain:
+                lost[id(m)] = lost.get(id(m), 0) + node.words
+            continue
+        if node.marked:
+            if not chain:
+                clean -= node.words
+            chain = (*chain, node)
+            marked.append((node, article))
+        elif (rank := _rank(node)) < 3:
+            if chain and rank < 2:
+                articles.append((node, chain))
+            article = article or id(node)
+        if node.tag in ("h1", "h2"):
+            if node.tag == "h1" and first is None:
+                first = chain
+            if article and article not in seen:
+                seen.add(article)
+                inner = [m for m, a in marked if a and m in chain]
+                if not any(OTHERS.search(m.names) for m in inner):
+                    for m in inner:
+                        m.dropped = False
+        todo.extend((k, chain, article) for k in reversed(node.kids) if isinstance(k, Node))
+    for node, chain in articles:
+        if (node.words > clean or first and first[-1] in chain) and not any(OTHERS.search(m.names) for m in chain):
+            for m in chain:
+                m.dropped = False
+    for node, article in marked:
+        if article:
+            names = STATES.sub("", node.names)
+            if node.tag not in FORMS and node.tag != "article" and not MARKS.search(VAGUE.sub("", names)) and 2 * _links(node) < node.words:
+                node.dropped = False
+        elif 2 * (node.words - lost.get(id(node), 0)) > total and not OTHERS.search(node.names):
+            if node.tag in FORMS or not clean or first and node in first:
+                node.dropped = False
+
+
 def _inside(root: Node) -> Iterator[Node]:
     """All elements below root that aren't dropped by name, in page order."""
     todo = [root]
@@ -148,10 +225,7 @@ def main_part(root: Node) -> Node:
     for content, else the whole body."""
     best: dict[int, Node] = {}
     for node in _inside(root):
-        names = node.names.lower()
-        rank = (0 if node.tag == "article" else 1 if node.tag == "main" or "main" in names.split() else
-                2 if re.search(r"(?:^|[\s_-])(?:article|content|post|entry|story)(?=$|[\s_-])", names) else
-                3 if node.tag == "body" else 9)
+        rank = _rank(node)
         if rank < 9 and (rank not in best or node.words > best[rank].words):
             best[rank] = node
     return best[min(best)] if best else root

@@ -257,6 +257,23 @@ def test_site_template_goes_and_article_lines_stay(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_of_wrappers_and_article_parts_drop_no_article(spark):
+    story, side = "<h1>Title</h1><p>The story of the day is told here.</p>", "<div class='sidebar'>Side</div>"
+    want = "Title\nThe story of the day is told here."
+    cases = [("<div class='site has-sidebar'><article>{}</article>{}</div>", want), ("<div class='no-sidebar'>{}{}</div>", want),
+             ("<div id='page-header'>Site<article>{}</article></div>{}", want), ("<form>Site<main>{}</main>{}</form>", want),
+             ("<form><div>{}</div>{}</form>", want), ("<div class='with-header'><div class='post'>{}</div></div>{}", want),
+             ("<article>{}<p class='notice'>Mind the gap.</p><section class='search'><p>We search on.</p></section></article>{}",
+              want + "\nMind the gap.\nWe search on."),
+             ("<article>{}<section class='related'><a>Other</a> <a>More</a></section><form>Mail <input></form></article>{}", want),
+             ("<main>{}</main><div id='comments'><article class='c'>A comment that is longer than all of the story, by far.</article></div>{}", want),
+             ("<p>Only a p.</p>{}<div class='related'><article>Teaser</article></div>", "Only a p.\n" + want)]
+    rows = [(i, f"http://h{i}.x/", f"<body>{c.replace('{}', story, 1).replace('{}', side)}</body>") for i, (c, _) in enumerate(cases)]
+    rows.append((99, "http://t.x/", f"<article><div class='entry-header'><h1>Title</h1><p class='byline'>Me</p></div>{story[14:]}</article>"))
+    out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: w for i, (_, w) in enumerate(cases)} | {99: want}
+
+
 # 7: lines
 
 def check_lines(rows, out):
