@@ -8,6 +8,7 @@ from churnscope.llm.lines import op7_line_hashing
 from churnscope.llm.mixing import op2_rake_mix
 from churnscope.llm.near_duplicates import op10_bag_min_hash
 from churnscope.llm.pages import op6_site_templates
+from churnscope.llm.private import op13_boosted_candidates
 from churnscope.llm.quality import op5_co_training
 from churnscope.llm.resampling import ORACLE as OP12_SQL, op12_split_resampling
 from churnscope.llm.runs import op11_suffix_automaton_runs
@@ -18,6 +19,6 @@ from churnscope.llm.sketches import op1_paragraph_sketches
 QUERIES = {f.__name__: f for f in (
     op1_paragraph_sketches, op2_rake_mix, op3_positional_index, op4_masked_pseudo_likelihood, op5_co_training,
     op6_site_templates, op7_line_hashing, op8_string_kernels, op9_histogram_sort, op10_bag_min_hash,
-    op11_suffix_automaton_runs, op12_split_resampling)}
+    op11_suffix_automaton_runs, op12_split_resampling, op13_boosted_candidates)}
 
 ORACLE_SQL = {"op3_positional_index": OP3_SQL, "op12_split_resampling": OP12_SQL}
