@@ -121,7 +121,7 @@ def _count(c: Column, drop: str) -> Column:
 
 
 FEATURES = {
-    "n_chars": lambda c: F.length(c["hit"]),
+    "n_chars": lambda c: _count(c["hit"], r"\+"),
     "n_digits": lambda c: _count(c["hit"], "[^0-9]"),
     "n_letters": lambda c: _count(c["hit"], "[^A-Za-z]"),
     "n_groups": lambda c: F.size(F.regexp_extract_all(c["hit"], F.lit("[0-9]+"), F.lit(0))),
