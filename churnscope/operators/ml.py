@@ -7,15 +7,17 @@ ensemble, six importances) ever sit on the driver.
 * Split: a row goes to the test side when an md5 bucket of its customer ID
   falls in the top ``test`` share.  It is stable across partitionings and
   re-runs, needs no shuffle, and is stratified in expectation;
-  ``balanced=True`` sets one threshold per class from an approximate quantile
-  so each class is split in the exact proportion.
+  ``balanced=True`` (the default of the training) holds out exactly as many
+  rows of each class as the stratified rule asks for (``operators.splits``).
 * Plan encoding: ordinal codes in ascending text order, fitted on every row
   (so the ledger never meets an unseen plan from its own table); a null plan
   is the class ``nan``.  The codes are fed to the forest as an ordinal number,
   not as a categorical feature.
 * Forest: 100 trees, depth 6, seed 42, gini, ``int(sqrt(6)) = 2`` features per
   split, bootstrap.  Spark bins continuous features and bags per partition, so
-  scores are close to, not equal to, another library's.
+  scores are close to, not equal to, another library's.  Training rows are
+  dealt by a hash of their values to a set number of partitions and sorted
+  there, so the fit doesn't depend on the layout of the input.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ from pyspark.sql import functions as F
 
 from churnscope.functions import churn_target, risk_band, risk_color, retention_action
 from churnscope.operators.filters import active_filter, id_search
+from churnscope.operators.forest import Forest, from_model, with_probability
+from churnscope.operators.ranks import ranked, write_again
+from churnscope.operators.splits import stratified_split
 from churnscope.roles import FEATURES
 from churnscope.session import checkpoint_dir
 
@@ -138,19 +143,11 @@ def split(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
           balanced: bool = False, label: str = "target") -> DataFrame:
     """Add ``is_test``: hash-bucket split, stratified in expectation.
 
-    ``balanced=True`` computes, per class, the approximate ``1 - test``
-    quantile of the bucket (one tiny aggregate, one row per class) and joins
-    it back by broadcast, so each class is split in the exact proportion.
+    ``balanced=True`` is the exact stratified split of :func:`stratified_split`.
     """
-    b = df.withColumn("_bucket", split_bucket(seed=seed))
-    if not balanced:
-        return b.withColumn("is_test", F.col("_bucket") >= F.lit(1.0 - test)).drop("_bucket")
-    thr = (b.groupBy(label)
-            .agg(F.percentile_approx("_bucket", 1.0 - test, 100000).alias("_thr")))
-    # One row per class label: a bounded broadcast.
-    return (b.join(F.broadcast(thr), on=label, how="left")
-             .withColumn("is_test", F.col("_bucket") > F.col("_thr"))
-             .drop("_bucket", "_thr"))
+    if balanced:
+        return stratified_split(df, test, seed, label)
+    return df.withColumn("is_test", split_bucket(seed=seed) >= F.lit(1.0 - test))
 
 
 # ---------------------------------------------------------------------------
@@ -186,14 +183,24 @@ def binary_metrics(pred: DataFrame, label: str = "target", prediction: str = "pr
 @dataclass
 class ChurnModel:
     plans: DataFrame  # the plan dictionary
-    forest: object  # RandomForestClassificationModel
+    forest: object  # RandomForestClassificationModel, or a Forest of plain arrays
     metrics_row: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, unseen: str = "error") -> DataFrame:
         """Score rows; adds ``churn_probability`` (class-1 probability)."""
+        if isinstance(self.forest, Forest):
+            coded = with_plan_code(df, self.plans, unseen)
+            return with_probability(coded, self.forest, {
+                f: F.col(_PLAN_CODE if f == "PlanType" else f) for f in self.forest.features})
         scored = self.forest.transform(with_features(df, self.plans, unseen))
         return scored.withColumn("churn_probability", churn_probability())
 
+    def native(self) -> ChurnModel:
+        """The same model as plain arrays, scored by native expressions."""
+        if isinstance(self.forest, Forest):
+            return self
+        return ChurnModel(self.plans, from_model(self.forest, FEATURES), self.metrics_row)
+
     def importances(self, spark: SparkSession) -> DataFrame:
         """``(Feature, Importance)`` in descending importance (six driver-side values)."""
         imp = self.forest.featureImportances.toArray().tolist()
@@ -222,8 +229,8 @@ def forest_params(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed:
     return params
 
 
-def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
-                balanced: bool = False, **forest_kw) -> tuple[ChurnModel, DataFrame]:
+def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED, balanced: bool = True,
+                partitions: int | None = None, **forest_kw) -> tuple[ChurnModel, DataFrame]:
     """Fit the plan dictionary (all rows) and forest (train rows); evaluate on the test rows.
 
     Returns the model and its one-row metrics frame.  The narrow model input
@@ -232,18 +239,27 @@ def train_churn(df: DataFrame, test: float = TEST_SHARE, seed: int = SPLIT_SEED,
     hold-out scoring; it is released before returning, so the one-row metrics
     are computed eagerly.  A lost executor recomputes its blocks from the
     short parquet lineage.
+
+    The training rows are dealt by a hash of their values to ``partitions``
+    partitions (default: the session's shuffle width), each sorted: every core
+    grows trees, and the fit is the same for every layout of the input (rows
+    equal in all columns stay together).
     """
     spark = df.sparkSession
     checkpoint_dir(spark)  # node-id cache checkpoints go to the shared folder
+    width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     inputs = ["Status", *FEATURES]
-    parts = (split(with_target(df.select("CustomerID", *inputs)), test, seed, balanced)
-             .select("target", "is_test", *FEATURES)
+    rows = with_target(df.select("CustomerID", *inputs)).select("CustomerID", "target", *FEATURES)
+    parts = (split(rows, test, seed, balanced)
+             .select("target", "is_test", *FEATURES, F.xxhash64("CustomerID", *FEATURES).alias("_deal"))
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         plans = fit_plan_encoder(parts)
         feats = with_features(parts, plans)
+        dealt = (feats.where(~F.col("is_test")).repartition(width, "_deal")
+                 .sortWithinPartitions("_deal").select("features", "target"))
         rf = RandomForestClassifier(featuresCol="features", labelCol="target", **forest_params(**forest_kw))
-        forest = rf.fit(feats.where(~F.col("is_test")).select("features", "target"))
+        forest = rf.fit(dealt)
         row = binary_metrics(forest.transform(feats.where(F.col("is_test")))).first()
     finally:
         parts.unpersist()
@@ -275,12 +291,29 @@ def risk_ledger(df: DataFrame, model: ChurnModel, top_n: int | None = None,
     by many rows.
     """
     act = id_search(active_filter(df), search, literal=literal)
-    return rank_ledger(model.transform(act), top_n)
+    rows = ledger_rows(model.transform(act))
+    # The sort samples its input first: written rows are scored once.
+    return ledger_order(rows if top_n is not None else write_again(rows, "ledger"), top_n)
 
 
 def rank_ledger(scored: DataFrame, top_n: int | None = None) -> DataFrame:
     """The ledger's columns, bands and order for rows that carry ``churn_probability``."""
-    out = scored.select(
+    return ledger_order(ledger_rows(scored), top_n)
+
+
+def ledger_order(out: DataFrame, top_n: int | None = None) -> DataFrame:
+    """Ledger rows by probability, descending, then by ID."""
+    # A deterministic hash of the other columns is the last key, so even a
+    # third of the rows sharing one id and one score spread over many range
+    # partitions (and a retried task re-computes the same keys).
+    spread = F.xxhash64(*[F.col(c) for c in LEDGER_COLUMNS if c != "CustomerID"])
+    out = out.orderBy(F.col("ChurnRiskProbability").desc(), F.col("CustomerID").asc_nulls_last(), spread)
+    return out if top_n is None else out.limit(top_n)
+
+
+def ledger_rows(scored: DataFrame) -> DataFrame:
+    """The ledger's columns of scored rows, in no order."""
+    return scored.select(
         F.col("CustomerID").cast("string").alias("CustomerID"),
         plan_text().alias("PlanType"),
         F.col("MonthlyRevenue").cast("double").alias("MonthlyRevenue"),
@@ -289,12 +322,18 @@ def rank_ledger(scored: DataFrame, top_n: int | None = None) -> DataFrame:
         F.col("LastLoginDaysAgo").cast("bigint").alias("LastLoginDaysAgo"),
         F.col("churn_probability").alias("ChurnRiskProbability"),
         risk_band("churn_probability", emoji=True).alias("RiskCategory"))
-    # A deterministic hash of the other columns is the last key, so even a
-    # third of the rows sharing one id and one score spread over many range
-    # partitions (and a retried task re-computes the same keys).
-    spread = F.xxhash64(*[F.col(c) for c in LEDGER_COLUMNS if c != "CustomerID"])
-    out = out.orderBy(F.col("ChurnRiskProbability").desc(), F.col("CustomerID").asc_nulls_last(), spread)
-    return out if top_n is None else out.limit(top_n)
+
+
+def ledger_ranks(df: DataFrame, model: ChurnModel, tiles: int = 100) -> DataFrame:
+    """The ledger's rows with ``row_number``, ``rank``, ``dense_rank``,
+    ``percent_rank`` and ``tile`` by probability, descending.
+
+    Customers of one probability share a rank; their IDs order them for
+    ``row_number`` and ``tile``.  The scored rows are written once and sorted
+    from there, so no row is scored twice.
+    """
+    return ranked(ledger_rows(model.transform(active_filter(df))), "ChurnRiskProbability",
+                  [F.col("CustomerID").asc_nulls_last()], tiles)
 
 
 # Simulator input fields -> roles (the reference's what-if record).

@@ -20,12 +20,14 @@ from churnscope.functions import (month_bucket, percent_text, retention_action,
                                   risk_color)
 from churnscope.functions.cleaning import NA_TOKENS, na_to_null
 from churnscope.functions.labels import PROTOCOLS
-from churnscope.operators import (charts, cohorts, filters, insights, kpis, ml, preprocess,
+from churnscope.operators import (charts, cohorts, filters, forest, insights, kpis, ml, preprocess,
                                   profile)
 from churnscope.plans import oracle as O
-from churnscope.roles import ROLES
+from churnscope.roles import FEATURES, ROLES
+from churnscope.sources import models
 from churnscope.sources.files import impute_mean, infer_types
 from churnscope.sources.subscriptions import subscriptions
+from churnscope.sources.tables import read_table
 
 
 @dataclass(frozen=True)
@@ -402,9 +404,59 @@ def q_insights(spark, sf_dir):
 # Churn model
 # --------------------------------------------------------------------------
 
+def model_key(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the model of these tables as they are: their files' names,
+    sizes and times, and the number of partitions that the fit deals to."""
+    files = [read_table(spark, sf_dir, t).select(F.lit(t).alias("t"), "_metadata.file_name", "_metadata.file_size",
+                                                 "_metadata.file_modification_time").distinct() for t in ("orders", "lineitem")]
+    said = F.xxhash64("t", "file_name", "file_size", "file_modification_time").cast("decimal(20,0)")
+    total = files[0].unionByName(files[1]).agg(F.sum(said)).first()[0]
+    return f"churn-{total}-{spark.conf.get('spark.sql.shuffle.partitions')}"
+
+
+def train_and_store(spark: SparkSession, sf_dir: str) -> tuple[ml.ChurnModel, DataFrame]:
+    model, metrics = ml.train_churn(cleaned(spark, sf_dir))
+    models.save_model(model, models.model_path(spark, model_key(spark, sf_dir)))
+    return model, metrics
+
+
 def churn_model(spark: SparkSession, sf_dir: str) -> ml.ChurnModel:
-    """The model trained on this dataset."""
-    return ml.train_churn(cleaned(spark, sf_dir))[0]
+    """The stored model of this dataset; trained and stored where there is none."""
+    try:
+        return models.load_model(models.model_path(spark, model_key(spark, sf_dir)))
+    except models.NoModelError:
+        return train_and_store(spark, sf_dir)[0]
+
+
+# A small forest written by hand, so that scoring has an oracle: splits are
+# (feature, threshold, at most, above), leaves are (kept, churned) row counts.
+# It reaches every band on the derived table.
+HAND_FOREST = forest.grow((
+    ("TenureMonths", 6.5,
+        ("SupportTickets", 1.5, (3, 7), (1, 19)),
+        ("LastLoginDaysAgo", 30.5, (9, 1), ("PlanType", 1.5, (5, 3), (4, 3)))),
+    ("UsageFrequency", 9.5,
+        ("TenureMonths", 24.5, (1, 9), (7, 6)),
+        ("MonthlyRevenue", 120000.0, (7, 3), (11, 2))),
+    ("LastLoginDaysAgo", 21.5,
+        ("SupportTickets", 0.5, (12, 1), ("PlanType", 2.5, (4, 1), (5, 4))),
+        ("UsageFrequency", 17.5, (1, 5), (3, 4))),
+    ("MonthlyRevenue", 150000.5,
+        ("TenureMonths", 11.5, (2, 7), (8, 3)),
+        ("SupportTickets", 2.5, (6, 1), (1, 6))),
+    ("PlanType", 3.5, ("TenureMonths", 47.5, (5, 4), (13, 2)), (1, 3)),
+), FEATURES)
+
+
+def hand_model(df: DataFrame) -> ml.ChurnModel:
+    """The hand-written forest with the plan dictionary of these customers."""
+    return ml.ChurnModel(ml.fit_plan_encoder(df), HAND_FOREST)
+
+
+def hand_sql(**changed: str) -> str:
+    """The forest's probability over ``coded``'s columns, some of them replaced."""
+    inputs = {f: f for f in FEATURES} | {"PlanType": "plan_code"} | changed
+    return forest.probability_sql(HAND_FOREST, {f: f"CAST({x} AS DOUBLE)" for f, x in inputs.items()})
 
 
 @register("target_encode", O.with_base("SELECT CustomerID, Status, target FROM flagged"))
@@ -441,6 +493,19 @@ def q_split(spark, sf_dir):
     return ml.split(ml.with_target(cleaned(spark, sf_dir))).select("CustomerID", "target", "is_test")
 
 
+# Exactly as many test rows of each class as the stratified rule asks for.
+@register("stratified_split", O.with_base(
+    "SELECT CustomerID, target, ROW_NUMBER() OVER (PARTITION BY target ORDER BY key DESC, CustomerID) <= c - train AS is_test "
+    "FROM keyed JOIN sizes USING (target)", """
+keyed AS (SELECT CustomerID, target, ('0x' || substr(md5(COALESCE(CustomerID, '') || '#42'), 1, 15))::BIGINT AS key FROM flagged),
+counts AS (SELECT target, COUNT(*) AS c, SUM(COUNT(*)) OVER () AS n FROM keyed GROUP BY target),
+exact AS (SELECT target, c, n - ceil(0.25e0 * n) AS n_train, c::DOUBLE / n::DOUBLE * (n - ceil(0.25e0 * n)) AS x FROM counts),
+sizes AS (SELECT target, c, floor(x) + CASE WHEN ROW_NUMBER() OVER (ORDER BY x - floor(x) DESC, target)
+                 <= n_train - SUM(floor(x)) OVER () THEN 1 ELSE 0 END AS train FROM exact)"""))
+def q_stratified_split(spark, sf_dir):
+    return (ml.split(ml.with_target(cleaned(spark, sf_dir)), balanced=True).select("CustomerID", "target", "is_test"))
+
+
 # The support-friction rule of thumb ("more than 4 tickets churn") scored as
 # a classifier on the hold-out rows: the metrics operator fed a predictor the
 # oracle can reproduce exactly.
@@ -511,7 +576,7 @@ def q_rank_ledger(spark, sf_dir):
 
 @register("train_churn", None)
 def q_train_churn(spark, sf_dir):
-    return ml.train_churn(cleaned(spark, sf_dir))[1]
+    return train_and_store(spark, sf_dir)[1]
 
 
 @register("importances", None)
@@ -519,24 +584,85 @@ def q_importances(spark, sf_dir):
     return churn_model(spark, sf_dir).importances(spark)
 
 
-@register("risk_ledger", None)
+CODED_CTE = f"coded AS (SELECT *, {PLAN_CODE_SQL} AS plan_code FROM flagged)"
+LEDGER_SQL = ("CustomerID, COALESCE(PlanType, 'nan') AS PlanType, MonthlyRevenue, TenureMonths, SupportTickets, "
+              f"LastLoginDaysAgo, p AS ChurnRiskProbability, {LEDGER_BAND_SQL} AS RiskCategory")
+
+
+@register("risk_ledger", O.with_base(
+    f"SELECT {LEDGER_SQL} FROM (SELECT *, {hand_sql()} AS p FROM coded) s WHERE is_active ORDER BY p DESC, CustomerID", CODED_CTE))
 def q_risk_ledger(spark, sf_dir):
-    return ml.risk_ledger(cleaned(spark, sf_dir), churn_model(spark, sf_dir))
+    c = cleaned(spark, sf_dir)
+    return ml.risk_ledger(c, hand_model(c))
+
+
+def _scored_sql(p: str, record: str) -> str:
+    return (f"CustomerID, {record}, {p} AS probability, {_band_sql(p, 'HIGH RISK', 'MEDIUM RISK', 'SAFE')} AS risk_text, "
+            f"{_band_sql(p, '#EF4444', '#F59E0B', '#10B981')} AS risk_color, {_band_sql(p, *PROTOCOLS)} AS protocol")
+
+
+RECORD_SQL = {"plan": "PlanType", "revenue": "MonthlyRevenue", "tenure": "TenureMonths", "usage": "UsageFrequency",
+              "tickets": "SupportTickets", "last_login": "LastLoginDaysAgo"}
+
+
+def _record_sql(**changed: str) -> str:
+    return ", ".join(f"{x} AS {field}" for field, x in (RECORD_SQL | changed).items())
 
 
 # What if every active customer had no open tickets and logged in today?
 WHAT_IF_OVERRIDES = {"tickets": 0, "last_login": 0}
+# A plan that no customer has counts as the dictionary's first.
+NEW_PLAN = "9-NO SUCH PLAN"
 
 
-@register("what_if", None)
+def _what_if_sql(record: str, p: str) -> str:
+    return O.with_base(f"SELECT {_scored_sql('q', record)}, p AS baseline_probability FROM "
+                       f"(SELECT *, {hand_sql()} AS p, {p} AS q FROM coded) s WHERE is_active", CODED_CTE)
+
+
+@register("what_if", _what_if_sql(
+    _record_sql(tickets="CAST(0 AS BIGINT)", last_login="CAST(0 AS BIGINT)"), hand_sql(SupportTickets="0", LastLoginDaysAgo="0")))
 def q_what_if(spark, sf_dir):
-    return ml.what_if(cleaned(spark, sf_dir), churn_model(spark, sf_dir), WHAT_IF_OVERRIDES)
+    c = cleaned(spark, sf_dir)
+    return ml.what_if(c, hand_model(c), WHAT_IF_OVERRIDES)
 
 
-@register("score_scenarios", None)
+@register("what_if_new_plan", _what_if_sql(_record_sql(plan=f"'{NEW_PLAN}'"), hand_sql(PlanType="0")))
+def q_what_if_new_plan(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return ml.what_if(c, hand_model(c), {"plan": NEW_PLAN})
+
+
+@register("score_scenarios", O.with_base(
+    f"SELECT {_scored_sql('p', _record_sql())} FROM (SELECT *, {hand_sql()} AS p FROM coded) s", CODED_CTE))
 def q_score_scenarios(spark, sf_dir):
     c = cleaned(spark, sf_dir)
-    return ml.score_scenarios(ml.as_scenarios(c), churn_model(spark, sf_dir), keep=("CustomerID",))
+    return ml.score_scenarios(ml.as_scenarios(c), hand_model(c), keep=("CustomerID",))
+
+
+@register("stored_model_ledger", O.with_base(
+    f"SELECT {LEDGER_SQL} FROM (SELECT *, {hand_sql()} AS p FROM coded) s WHERE is_active "
+    "AND contains(lower(CustomerID), '-4') ORDER BY p DESC, CustomerID LIMIT 200", CODED_CTE))
+def q_stored_model_ledger(spark, sf_dir):
+    """The ledger as a later session makes it: the model is saved, loaded and
+    asked for the 200 riskiest customers whose ID holds a text."""
+    c = cleaned(spark, sf_dir)
+    path = models.model_path(spark, "hand-" + model_key(spark, sf_dir))
+    models.save_model(hand_model(c), path)
+    return ml.risk_ledger(c, models.load_model(path), top_n=200, search="-4", literal=True)
+
+
+RANK_SQL = ("RANK() OVER w AS rank, DENSE_RANK() OVER w AS dense_rank, PERCENT_RANK() OVER w AS percent_rank, "
+            "ROW_NUMBER() OVER t AS row_number, NTILE(100) OVER t AS tile")
+
+
+@register("ledger_ranks", O.with_base(
+    f"SELECT CustomerID, p AS ChurnRiskProbability, {RANK_SQL} FROM (SELECT *, {hand_sql()} AS p FROM coded) s "
+    "WHERE is_active WINDOW w AS (ORDER BY p DESC), t AS (ORDER BY p DESC, CustomerID)", CODED_CTE))
+def q_ledger_ranks(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return ml.ledger_ranks(c, hand_model(c)).select(
+        "CustomerID", "ChurnRiskProbability", "rank", "dense_rank", "percent_rank", "row_number", "tile")
 
 
 # --------------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Model store: save and load a fitted churn model.
 
 A model is saved under the cluster's shared folder (``spark.checkpoint.dir``)
-as one version holding its plan dictionary, its forest and its metrics, so any
-driver can load it and a save that fails leaves the former model in place.
+as one version holding its plan dictionary, its forest (a fitted one, or a
+table of nodes) and its metrics, so any driver can load it and a save that
+fails leaves the former model in place.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import SparkSession
 
+from churnscope.operators.forest import Forest, from_nodes
 from churnscope.operators.ml import ChurnModel
 from churnscope.session import checkpoint_dir
 from churnscope.sources.versions import announce, current, folder_name, new_version
@@ -30,8 +32,13 @@ def save_model(model: ChurnModel, path: str) -> str:
     spark = model.plans.sparkSession
     version = new_version(path)
     model.plans.write.parquet(os.path.join(version, "plans"))
-    model.forest.save(os.path.join(version, "forest"))
-    metrics = spark.createDataFrame([(json.dumps(model.metrics_row),)], "metrics string")
+    native = isinstance(model.forest, Forest)
+    if native:
+        model.forest.nodes(spark).coalesce(1).write.parquet(os.path.join(version, "nodes"))
+    else:
+        model.forest.save(os.path.join(version, "forest"))
+    features = list(model.forest.features) if native else None
+    metrics = spark.createDataFrame([(json.dumps(model.metrics_row), json.dumps(features))], "metrics string, features string")
     metrics.coalesce(1).write.parquet(os.path.join(version, "metrics"))
     announce(spark, path, version)
     return path
@@ -42,6 +49,8 @@ def load_model(path: str) -> ChurnModel:
     version = current(spark, path)
     if version is None:
         raise NoModelError(f"no trained model at {path}: train one first")
-    metrics = spark.read.parquet(os.path.join(version, "metrics")).first()["metrics"]
-    return ChurnModel(spark.read.parquet(os.path.join(version, "plans")),
-                      RandomForestClassificationModel.load(os.path.join(version, "forest")), json.loads(metrics))
+    said = spark.read.parquet(os.path.join(version, "metrics")).first()
+    features = json.loads(said["features"])
+    forest = (from_nodes(spark.read.parquet(os.path.join(version, "nodes")), features) if features
+              else RandomForestClassificationModel.load(os.path.join(version, "forest")))
+    return ChurnModel(spark.read.parquet(os.path.join(version, "plans")), forest, json.loads(said["metrics"]))
