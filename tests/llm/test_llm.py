@@ -276,37 +276,69 @@ def test_names_of_wrappers_and_article_parts_drop_no_article(spark):
 
 # 7: lines
 
-def check_lines(rows, out):
+def brute_units(text):
+    """Pieces that end after a sentence's end with blanks, or after line breaks."""
+    pieces = re.split(r"((?:[.!?][\"')\]]*[ \t]+)|(?:\n\s*))", text or "")
+    joined = [a + b for a, b in zip(pieces[::2], pieces[1::2] + [""])]
+    return [p for p in joined if p]
+
+
+def brute_passages(rows, least):
+    """What is left of each text, and the words taken out."""
     first = {}
-    key = lambda r: (r[0] if r[0] is not None else 1 << 63,)
-    for r in sorted(rows, key=key):
-        for no, line in enumerate((r[1] or "").split("\n")):
-            if u := " ".join(line.lower().split()):
+    for r in sorted(rows, key=lambda r: (r[0] if r[0] is not None else 1 << 63,)):
+        for no, unit in enumerate(brute_units(r[1])):
+            if u := " ".join(unit.lower().split()):
                 first.setdefault(u, (r[0], r[1], no))
     want = Counter()
     for r in rows:
-        kept = [line for no, line in enumerate((r[1] or "").split("\n"))
-                if not (u := " ".join(line.lower().split())) or first[u] == (r[0], r[1], no)]
-        want[(r[0], None if r[1] is None else "\n".join(kept))] += 1
-    assert Counter((r.doc_id, r.text) for r in out) == want
-    original = {(r[0], r[1]) for r in rows}
+        units = brute_units(r[1])
+        again = [bool(u := " ".join(x.lower().split())) and first[u] != (r[0], r[1], no) for no, x in enumerate(units)]
+        drop, i = set(), 0
+        while i < len(units):
+            j, last = i, i
+            while j < len(units) and (again[j] or not units[j].split()) and again[i]:
+                last = j if again[j] else last
+                j += 1
+            if again[i] and sum(len(x.split()) for x in units[i:last + 1]) >= least:
+                drop |= set(range(i, last + 1))
+            i = max(j, i + 1)
+        want[(r[0], None if r[1] is None else "".join(x for no, x in enumerate(units) if no not in drop),
+              sum(len(units[no].split()) for no in drop))] += 1
+    return want
+
+
+def check_lines(rows, out, least=lines.LEAST_WORDS):
+    assert Counter((r.doc_id, r.text, r.n_removed_words) for r in out) == brute_passages(rows, least)
+    originals = defaultdict(list)
+    for i, t in rows:
+        originals[i].append(t)
     for r in out:
-        for i, t in original:
-            if i == r.doc_id and t and len(r.kept) + len(r.removed) == len(t.split("\n")) and r.text == "\n".join(
-                    t[s.start:s.start + s.length] for s in r.kept):
-                break
-        else:
-            assert not r.text or r.text == ""
+        assert any((t is None and r.text is None) or (t is not None and r.text == "".join(
+            t[s.start:s.start + s.length] for s in r.kept) and sorted(
+                x for s in [*r.kept, *r.removed] for x in range(s.start, s.start + s.length)) == list(range(len(t))))
+            for t in originals[r.doc_id])
 
 
 def test_lines_keep_first_occurrences(spark, docs, odd):
-    check_lines([(r.doc_id, r.text) for r in docs.collect()], lines.dedup_lines(docs).collect())
-    distinct = odd.where("doc_id <> 5 or doc_id is null")  # tied ids rank by hash
-    check_lines([(r[0], r[1]) for r in distinct.collect()], lines.dedup_lines(distinct).collect())
+    for least in (1, lines.LEAST_WORDS):
+        check_lines([(r.doc_id, r.text) for r in docs.collect()], lines.dedup_lines(docs, least).collect(), least)
+        distinct = odd.where("doc_id <> 5 or doc_id is null")  # tied ids rank by hash
+        check_lines([(r[0], r[1]) for r in distinct.collect()], lines.dedup_lines(distinct, least).collect(), least)
     assert lines.dedup_lines(odd).count() == odd.count()
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_short_repeats_stay_and_passages_go(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_SHARE", 10)  # many digests by broadcast
+    passage = " ".join(f"Sentence {i} of a passage that many have." for i in range(6))
+    rows = [(i, f"Own words {i} here. All rights reserved.\n\n{passage if i % 3 else 'None of it.'} Own end {i}.") for i in range(60)]
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    check_lines(rows, list(out.values()))
+    assert out[1].n_removed == 0 and out[2].n_removed == 7 and out[3].n_removed == 0
+    assert "All rights reserved." in out[3].text and "passage" not in out[2].text
+
+
 # 8: language
 
 def test_language_held_out_accuracy(spark):
