@@ -20,7 +20,7 @@ from churnscope.functions import (month_bucket, percent_text, retention_action,
                                   risk_color)
 from churnscope.functions.cleaning import NA_TOKENS, na_to_null
 from churnscope.functions.labels import PROTOCOLS
-from churnscope.operators import (charts, cohorts, filters, forest, insights, kpis, ml, preprocess,
+from churnscope.operators import (charts, cohorts, date_formats, filters, forest, insights, kpis, ml, preprocess,
                                   profile)
 from churnscope.plans import oracle as O
 from churnscope.roles import FEATURES, ROLES
@@ -187,6 +187,88 @@ def q_month_bucket(spark, sf_dir):
                                          month_bucket("SignupDate").alias("signup_month"))
 
 
+# The same dates written as other uploads would have them; the one text runs in
+# both engines.  ``us_few`` has days up to 12 only, so its order can't be told.
+_D, _M = "LPAD(CAST(DAY(d) AS VARCHAR(2)), 2, '0')", "LPAD(CAST(MONTH(d) AS VARCHAR(2)), 2, '0')"
+_Y, _DAY = "CAST(YEAR(d) AS VARCHAR(4))", "CAST(DAY(d) AS VARCHAR(2))"
+_NAME = "SUBSTR('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * CAST(MONTH(d) AS INT) - 2, 3)"
+DATED_SQL = f"""
+SELECT k AS CustomerID, d,
+       CASE WHEN k % 97 = 0 THEN 'unknown' ELSE CONCAT({_M}, '/', {_D}, '/', {_Y}) END AS us,
+       CASE WHEN k % 89 = 0 THEN NULL ELSE CONCAT({_D}, '.', {_M}, '.', {_Y}, ' 10:30') END AS eu,
+       CASE WHEN k % 50 = 0 THEN CONCAT({_D}, '/', {_M}, '/', {_Y}) ELSE CONCAT({_M}, '/', {_D}, '/', {_Y}) END AS us_some_eu,
+       CASE WHEN DAY(d) <= 12 THEN CONCAT({_M}, '/', {_D}, '/', {_Y}) END AS us_few,
+       CONCAT({_Y}, '/', {_M}, '/', {_D}) AS slashes,
+       CASE WHEN k % 53 = 0 THEN 'Foo 1, 2020' ELSE CONCAT({_NAME}, ' ', {_DAY}, ', ', {_Y}) END AS named,
+       CONCAT({_DAY}, '-', {_NAME}, '-', {_Y}) AS day_named,
+       CONCAT({_D}, '/', {_M}, '/', SUBSTR({_Y}, 3, 2)) AS short,
+       CASE WHEN k % 71 = 0 THEN CONCAT({_M}, '/', {_D}, '/', {_Y}) ELSE SUBSTR(CAST(d AS VARCHAR(30)), 1, 10) END AS iso,
+       'none' AS never
+FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM {{orders}}) o
+"""
+DATED_COLUMNS = ("us", "eu", "us_some_eu", "us_few", "slashes", "named", "day_named", "short", "iso", "never")
+
+
+def dated(spark, sf_dir) -> DataFrame:
+    return spark.sql(DATED_SQL, orders=read_table(spark, sf_dir, "orders"))
+
+
+# DuckDB's reading of each format: the shape, then the formats it may stand for.
+_TIMES = ("", " %H:%M")
+_STRPTIME = {
+    "iso": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", ["%Y-%m-%d"]),
+    "year/month/day": (r"^[0-9]{4}[/.]", ["%Y/%m/%d"]),
+    "month/day/year": (r"^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}", ["%m/%d/%Y", "%m.%d.%Y"]),
+    "day/month/year": (r"^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}", ["%d/%m/%Y", "%d.%m.%Y"]),
+    "month/day/yy": (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", ["%m/%d/%y"]),
+    "day/month/yy": (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", ["%d/%m/%y"]),
+    "month day, year": (r"^[A-Z][a-z]{2} ", ["%b %d, %Y"]),
+    "day month year": (r"^[0-9]{1,2}-[A-Z]", ["%d-%b-%Y"]),
+}
+
+
+def _reads_sql(fmt: str, x: str = "x") -> str:
+    shape, forms = _STRPTIME[fmt]
+    listed = ", ".join(f"'{f}{t}'" for f in forms for t in _TIMES)
+    return f"(regexp_matches({x}, '{shape}') AND TRY_STRPTIME({x}, [{listed}]) IS NOT NULL)"
+
+
+def _date_formats_sql() -> str:
+    values = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS x FROM dated" for c in DATED_COLUMNS)
+    parts = []
+    for place, fmt in enumerate(_STRPTIME):
+        rival = date_formats.RIVALS.get(fmt)
+        reads, other = _reads_sql(fmt), _reads_sql(rival) if rival else "false"
+        parts.append(f"SELECT \"column\", {place} AS place, '{fmt}' AS format, COUNT(x) AS present, COUNT(*) FILTER (WHERE {reads}) AS parsed, "
+                     f"COUNT(*) FILTER (WHERE {other}) AS rival_parsed, COUNT(*) FILTER (WHERE {other} AND NOT {reads}) AS rival_only "
+                     "FROM vals GROUP BY 1")
+    return (f"WITH dated AS ({DATED_SQL.format(orders='orders')}), vals AS ({values}), counts AS ({' UNION ALL '.join(parts)}), "
+            "picked AS (SELECT *, parsed > 0 AND ROW_NUMBER() OVER (PARTITION BY \"column\" ORDER BY parsed DESC, place) = 1 AS chosen FROM counts) "
+            "SELECT \"column\", format, present, parsed, rival_parsed, rival_only, chosen, "
+            "chosen AND parsed = rival_parsed AS ambiguous FROM picked")
+
+
+@register("date_formats", _date_formats_sql())
+def q_date_formats(spark, sf_dir):
+    return date_formats.date_formats(dated(spark, sf_dir), DATED_COLUMNS)
+
+
+# Months by each column's inferred format, against the date they were written from.
+_MONTH_OF = "strftime(d, '%Y-%m')"
+
+
+@register("months_by_format", f"WITH dated AS ({DATED_SQL.format(orders='orders')}) SELECT CustomerID, "
+          f"CASE WHEN us = 'unknown' THEN 'NaT' ELSE {_MONTH_OF} END AS us, CASE WHEN eu IS NULL THEN 'NaT' ELSE {_MONTH_OF} END AS eu, "
+          f"COALESCE(strftime(TRY_STRPTIME(us_some_eu, '%m/%d/%Y'), '%Y-%m'), 'NaT') AS us_some_eu, "
+          f"CASE WHEN us_few IS NULL THEN 'NaT' ELSE {_MONTH_OF} END AS us_few, {_MONTH_OF} AS slashes, "
+          f"CASE WHEN named LIKE 'Foo%' THEN 'NaT' ELSE {_MONTH_OF} END AS named, {_MONTH_OF} AS day_named, {_MONTH_OF} AS short, "
+          f"CASE WHEN iso LIKE '%/%' THEN 'NaT' ELSE {_MONTH_OF} END AS iso, 'NaT' AS never FROM dated")
+def q_months_by_format(spark, sf_dir):
+    upload = dated(spark, sf_dir)
+    formats = date_formats.infer_date_formats(upload, DATED_COLUMNS)
+    return upload.select("CustomerID", *[month_bucket(c, formats[c]).alias(c) for c in DATED_COLUMNS])
+
+
 # --------------------------------------------------------------------------
 # Filters
 # --------------------------------------------------------------------------
