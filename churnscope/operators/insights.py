@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.labels import LTV_CAC_BENCHMARK, ltv_cac_band
+from churnscope.operators.charts import support_rates
+from churnscope.operators.exact import combine, partial_sums
+from churnscope.operators.kpis import kpi_measures, kpi_rows
+from churnscope.operators.ranks import write_again
 
 # Insight texts and the support-friction thresholds (the rule
 # looks at the 5th ticket group in ascending ticket order and fires above 50%).
@@ -57,3 +61,20 @@ def insights(kpi_row: DataFrame, support: DataFrame) -> DataFrame:
     fr = (support_friction(support).where("fires")
           .select(F.lit("support_friction").alias("rule"), F.lit("warning").alias("level"), "message"))
     return econ.unionByName(fr)
+
+
+def insights_of(df: DataFrame) -> DataFrame:
+    """All fired insights of a cleaned customer table, from one scan.
+
+    The sums of the KPIs are grouped by ticket count and written (a few rows
+    per ticket count); the support split reads them as they are, the KPI row
+    adds them up further.
+    """
+    sums, counts = kpi_measures()
+    counts = {**counts, "Total": F.col("CustomerID").isNotNull()}
+    parts = df.withColumn("tickets", F.col("SupportTickets"))
+    parts = write_again(partial_sums(parts, ["tickets"], sums, counts), "insights")
+    kpi_row = kpi_rows(combine(parts, [], list(sums), list(counts)))
+    by_tickets = combine(parts, ["tickets"], list(sums), list(counts))
+    support = support_rates(by_tickets.select("tickets", "Total", F.col("churn_count").alias("Churned")))
+    return insights(kpi_row, support)

@@ -93,14 +93,22 @@ def fit_plan_encoder(df: DataFrame) -> DataFrame:
     return spark.read.schema(f"{_PLAN_TEXT} string, {_PLAN_CODE} bigint").parquet(path + "-codes")
 
 
-def with_plan_code(df: DataFrame, plans: DataFrame, unseen: str = "error") -> DataFrame:
-    """Add the plan's code as ``_plan_code``.
+def plan_code_of(plans: DataFrame, plan: str | None) -> int:
+    """One plan's code (one value on the driver); 0 where it isn't in the dictionary."""
+    row = plans.where(F.col(_PLAN_TEXT) == F.lit(MISSING_PLAN if plan is None else plan)).select(_PLAN_CODE).first()
+    return row[0] if row else 0
+
+
+def with_plan_code(df: DataFrame, plans: DataFrame, unseen: str = "error", code: int | None = None) -> DataFrame:
+    """Add the plan's code as ``_plan_code``; ``code`` gives one for all rows.
 
     The dictionary is joined without a hint: Spark broadcasts it if its size
     allows, else shuffles (and splits a skewed plan).  ``unseen="first"`` maps
     a plan that is not in the dictionary to code 0 (the simulator's rule);
     ``"error"`` fails on it (the ledger's rule).
     """
+    if code is not None:
+        return df.withColumns({_PLAN_TEXT: plan_text(), _PLAN_CODE: F.lit(code).cast("bigint")})
     coded = df.withColumn(_PLAN_TEXT, plan_text()).join(plans, _PLAN_TEXT, "left")
     if unseen == "first":
         missing = F.lit(0)
@@ -114,9 +122,9 @@ def plan_codes(df: DataFrame, plans: DataFrame) -> DataFrame:
     return with_plan_code(df, plans).select("CustomerID", "PlanType", F.col(_PLAN_CODE).alias("plan_code"))
 
 
-def with_features(df: DataFrame, plans: DataFrame, unseen: str = "error") -> DataFrame:
+def with_features(df: DataFrame, plans: DataFrame, unseen: str = "error", code: int | None = None) -> DataFrame:
     """Add the assembled vector ``features``; the plan code is an ordinal number in it."""
-    coded = with_plan_code(df, plans, unseen).withColumn(_PLAN_ORD, F.col(_PLAN_CODE).cast("double"))
+    coded = with_plan_code(df, plans, unseen, code).withColumn(_PLAN_ORD, F.col(_PLAN_CODE).cast("double"))
     inputs = [(_PLAN_ORD if f == "PlanType" else f) for f in FEATURES]
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error").transform(coded)
 
@@ -186,13 +194,13 @@ class ChurnModel:
     forest: object  # RandomForestClassificationModel, or a Forest of plain arrays
     metrics_row: dict = field(default_factory=dict)
 
-    def transform(self, df: DataFrame, unseen: str = "error") -> DataFrame:
+    def transform(self, df: DataFrame, unseen: str = "error", code: int | None = None) -> DataFrame:
         """Score rows; adds ``churn_probability`` (class-1 probability)."""
         if isinstance(self.forest, Forest):
-            coded = with_plan_code(df, self.plans, unseen)
+            coded = with_plan_code(df, self.plans, unseen, code)
             return with_probability(coded, self.forest, {
                 f: F.col(_PLAN_CODE if f == "PlanType" else f) for f in self.forest.features})
-        scored = self.forest.transform(with_features(df, self.plans, unseen))
+        scored = self.forest.transform(with_features(df, self.plans, unseen, code))
         return scored.withColumn("churn_probability", churn_probability())
 
     def native(self) -> ChurnModel:
@@ -342,14 +350,15 @@ SCENARIO_FIELDS = {"plan": "PlanType", "revenue": "MonthlyRevenue", "tenure": "T
                    "last_login": "LastLoginDaysAgo"}
 
 
-def score_scenarios(scenarios: DataFrame, model: ChurnModel, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_scenarios(scenarios: DataFrame, model: ChurnModel, keep: tuple[str, ...] = (), code: int | None = None) -> DataFrame:
     """Score simulator records ``plan, revenue, tenure, usage, tickets, last_login``.
 
     A plan the model has not seen scores as plan code 0 (the simulator's rule).
+    Where all records have one plan, ``code`` may give its code.
     Output: the record, ``probability``, ``risk_text``, ``risk_color``, ``protocol``.
     """
     as_roles = scenarios.select(*keep, *[F.col(k).alias(v) for k, v in SCENARIO_FIELDS.items()])
-    scored = model.transform(as_roles, unseen="first")
+    scored = model.transform(as_roles, unseen="first", code=code)
     return scored.select(*keep, *[F.col(v).alias(k) for k, v in SCENARIO_FIELDS.items()],
                          *_risk_outputs_from("churn_probability"))
 
@@ -383,7 +392,9 @@ def what_if(df: DataFrame, model: ChurnModel, overrides: Mapping[str, object],
     first = score_scenarios(recs, model, keep=("CustomerID",))
     first = first.select("CustomerID", *SCENARIO_FIELDS, F.col("probability").alias("baseline_probability"))
     changed = first.withColumns({k: F.lit(v).cast(first.schema[k].dataType) for k, v in overrides.items()})
-    return score_scenarios(changed, model, keep=("CustomerID", "baseline_probability"))
+    # One plan for all needs no join.
+    code = plan_code_of(model.plans, overrides["plan"]) if "plan" in overrides else None
+    return score_scenarios(changed, model, keep=("CustomerID", "baseline_probability"), code=code)
 
 
 def scenario_grid(spark: SparkSession, plans=("Starter", "Growth", "Enterprise"),

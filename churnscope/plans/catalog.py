@@ -2,10 +2,8 @@
 
 Every query reads the driver's parquet tables of one scale-factor directory
 (``orders`` and ``lineitem`` through the derived subscriptions table) and runs
-over all of their rows.  Float aggregates whose last bits depend on summation
-order are presented rounded (money sums to cents, other float aggregates to
-1e-6) identically in Spark and in the oracle, so the two engines compare
-exactly; counts and count-based rates are exact and left unrounded.
+over all of their rows.  Sums of doubles are exact in both engines (whole
+numbers that add up without error), so nothing is rounded for the comparison.
 """
 
 from __future__ import annotations
@@ -47,12 +45,6 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def rounded(df: DataFrame, cents=(), micro=()) -> DataFrame:
-    """Present float aggregates at a fixed precision (same rule as the oracle)."""
-    return df.withColumns({**{c: F.round(c, 2) for c in cents},
-                           **{c: F.round(c, 6) for c in micro}})
-
-
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subscriptions(spark, sf_dir)
 
@@ -125,8 +117,8 @@ def _na_sql(c: str) -> str:
 # the rest is text.
 IMPUTE_SQL = O.with_base(
     "SELECT CustomerID, SignupDate, PlanType, MonthlyRevenue, Status, "
-    "ROUND(COALESCE(TenureMonths, AVG(TenureMonths) OVER ()), 6) AS TenureMonths, "
-    "UsageFrequency, ROUND(COALESCE(SupportTickets, AVG(SupportTickets) OVER ()), 6) AS SupportTickets, "
+    f"COALESCE(TenureMonths, {O.exact_sum('TenureMonths', 'OVER ()')} / COUNT(TenureMonths) OVER ()) AS TenureMonths, "
+    f"UsageFrequency, COALESCE(SupportTickets, {O.exact_sum('SupportTickets', 'OVER ()')} / COUNT(SupportTickets) OVER ()) AS SupportTickets, "
     "LastLoginDaysAgo, LTV, CAC FROM typed",
     "na AS (SELECT " + ", ".join(_na_sql(c) for c in SUBSCRIPTION_COLUMNS) + " FROM subscriptions),\n"
     "typed AS (SELECT CustomerID, SignupDate, PlanType, MonthlyRevenue, Status, "
@@ -139,7 +131,7 @@ IMPUTE_SQL = O.with_base(
 def q_impute_mean(spark, sf_dir):
     r = raw(spark, sf_dir)
     typed, means = infer_types(r.select(*[na_to_null(c).alias(c) for c in r.columns]), with_means=True)
-    return rounded(impute_mean(typed, means=means), micro=("TenureMonths", "SupportTickets"))
+    return impute_mean(typed, means=means)
 
 
 _QUALITY_ROLES = ("MonthlyRevenue", "LTV", "CAC", "TenureMonths", "SupportTickets",
@@ -297,30 +289,31 @@ def q_id_search(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 KPI_SQL_BODY = """
-SELECT ROUND(latest_mrr, 2) AS latest_mrr, ROUND(latest_mrr * 12, 2) AS latest_arr,
-       ROUND(arpu, 6) AS arpu, active_count, total_customers,
+SELECT latest_mrr, latest_mrr * 12 AS latest_arr, arpu, active_count, total_customers,
        CASE WHEN total_customers > 0 THEN churn_count / total_customers * 100.0 ELSE 0.0 END AS logo_churn_rate,
-       ROUND(CASE WHEN latest_mrr + lost_mrr > 0 THEN lost_mrr / (latest_mrr + lost_mrr) * 100.0 ELSE 0.0 END, 6) AS revenue_churn_rate,
-       ROUND(avg_ltv, 6) AS avg_ltv, ROUND(avg_cac, 6) AS avg_cac,
-       ROUND(CASE WHEN avg_cac > 0 THEN avg_ltv / avg_cac ELSE 0.0 END, 6) AS ltv_cac_ratio
+       CASE WHEN latest_mrr + lost_mrr > 0 THEN lost_mrr / (latest_mrr + lost_mrr) * 100.0 ELSE 0.0 END AS revenue_churn_rate,
+       avg_ltv, avg_cac, CASE WHEN avg_cac > 0 THEN avg_ltv / avg_cac ELSE 0.0 END AS ltv_cac_ratio
 FROM kpi_base
 """
 
-KPI_CTE = """
+def kpi_cte(table: str = "flagged", by: str = "") -> str:
+    """The sums of the KPIs as ``kpi_base``, of all rows or by a column."""
+    return f"""
 kpi_base AS (
-  SELECT CAST(COUNT(*) AS BIGINT) AS total_customers,
+  SELECT {by + ', ' if by else ''}CAST(COUNT(*) AS BIGINT) AS total_customers,
          CAST(SUM(CASE WHEN is_active THEN 1 ELSE 0 END) AS BIGINT) AS active_count,
          CAST(SUM(CASE WHEN is_churned THEN 1 ELSE 0 END) AS BIGINT) AS churn_count,
-         COALESCE(SUM(CASE WHEN is_active THEN MonthlyRevenue END), 0.0) AS latest_mrr,
-         COALESCE(AVG(CASE WHEN is_active THEN MonthlyRevenue END), 0.0) AS arpu,
-         COALESCE(SUM(CASE WHEN is_churned THEN MonthlyRevenue END), 0.0) AS lost_mrr,
-         CASE WHEN COUNT(*) > 0 THEN AVG(LTV) ELSE 0.0 END AS avg_ltv,
-         CASE WHEN COUNT(*) > 0 THEN AVG(CAC) ELSE 1.0 END AS avg_cac
-  FROM flagged)
+         COALESCE({O.exact_sum('CASE WHEN is_active THEN MonthlyRevenue END')}, 0.0) AS latest_mrr,
+         COALESCE({O.exact_sum('CASE WHEN is_active THEN MonthlyRevenue END')}
+                  / COUNT(CASE WHEN is_active THEN MonthlyRevenue END), 0.0) AS arpu,
+         COALESCE({O.exact_sum('CASE WHEN is_churned THEN MonthlyRevenue END')}, 0.0) AS lost_mrr,
+         CASE WHEN COUNT(*) > 0 THEN {O.exact_sum('LTV')} / COUNT(LTV) ELSE 0.0 END AS avg_ltv,
+         CASE WHEN COUNT(*) > 0 THEN {O.exact_sum('CAC')} / COUNT(CAC) ELSE 1.0 END AS avg_cac
+  FROM {table}{' GROUP BY ' + by if by else ''})
 """
 
-KPI_MONEY = ("latest_mrr", "latest_arr")
-KPI_MICRO = ("arpu", "revenue_churn_rate", "avg_ltv", "avg_cac", "ltv_cac_ratio")
+
+KPI_CTE = kpi_cte()
 
 
 def kpi_row(spark, sf_dir) -> DataFrame:
@@ -329,25 +322,25 @@ def kpi_row(spark, sf_dir) -> DataFrame:
 
 @register("kpis", O.with_base(KPI_SQL_BODY, KPI_CTE))
 def q_kpis(spark, sf_dir):
-    return rounded(kpi_row(spark, sf_dir), KPI_MONEY, KPI_MICRO)
+    return kpi_row(spark, sf_dir)
 
 
 @register("plan_distribution", O.with_base(
-    "SELECT PlanType AS label, ROUND(SUM(MonthlyRevenue), 2) AS revenue, "
+    f"SELECT PlanType AS label, {O.exact_sum('MonthlyRevenue')} AS revenue, "
     "CAST(COUNT(*) AS BIGINT) AS users FROM clean WHERE PlanType IS NOT NULL "
     "GROUP BY PlanType ORDER BY label"))
 def q_plan_distribution(spark, sf_dir):
-    return rounded(charts.plan_distribution(cleaned(spark, sf_dir)), cents=("revenue",))
+    return charts.plan_distribution(cleaned(spark, sf_dir))
 
 
 @register("plan_revenue_share", O.with_base(
-    "SELECT label, ROUND(revenue, 2) AS revenue, users, "
-    "ROUND(CASE WHEN SUM(revenue) OVER () <> 0 THEN revenue / SUM(revenue) OVER () ELSE 0.0 END, 6) AS share "
-    "FROM (SELECT PlanType AS label, SUM(MonthlyRevenue) AS revenue, CAST(COUNT(*) AS BIGINT) AS users "
-    "FROM clean WHERE PlanType IS NOT NULL GROUP BY PlanType) p ORDER BY label"))
+    "SELECT label, revenue, users, CASE WHEN total <> 0 THEN revenue / total ELSE 0.0 END AS share "
+    f"FROM (SELECT *, {O.exact_sum('revenue', 'OVER ()')} AS total "
+    f"FROM (SELECT PlanType AS label, {O.exact_sum('MonthlyRevenue')} AS revenue, CAST(COUNT(*) AS BIGINT) AS users "
+    "FROM clean WHERE PlanType IS NOT NULL GROUP BY PlanType) p) q ORDER BY label"))
 def q_plan_revenue_share(spark, sf_dir):
     dist = charts.plan_distribution(cleaned(spark, sf_dir))
-    return rounded(charts.plan_revenue_share(dist), cents=("revenue",), micro=("share",))
+    return charts.plan_revenue_share(dist)
 
 
 @register("signup_trend", O.with_base(
@@ -357,14 +350,18 @@ def q_signup_trend(spark, sf_dir):
     return charts.signup_trend(cleaned(spark, sf_dir))
 
 
-SUPPORT_CTE = """
+def support_cte(table: str = "flagged") -> str:
+    return f"""
 support AS (
   SELECT SupportTickets AS tickets, CAST(COUNT(CustomerID) AS BIGINT) AS Total,
          CAST(SUM(CASE WHEN is_churned THEN 1 ELSE 0 END) AS BIGINT) AS Churned
-  FROM flagged GROUP BY SupportTickets)
+  FROM {table} GROUP BY SupportTickets)
 """
 
 
+SUPPORT_CTE = support_cte()
+
+
 @register("support_churn", O.with_base(
     "SELECT tickets, Total, Churned, "
     "CASE WHEN Total > 0 THEN Churned / Total * 100.0 ELSE 0.0 END AS churn_rate "
@@ -433,7 +430,7 @@ _FRIC = insights.SUPPORT_FRICTION.replace("'", "''")
 
 
 @register("unit_economics", O.with_base(
-    "SELECT ROUND(ltv_cac_ratio, 6) AS ltv_cac_ratio, "
+    "SELECT ltv_cac_ratio, "
     "CASE WHEN ltv_cac_ratio < 3.0 THEN 'critical' ELSE 'excellent' END AS level, "
     f"CASE WHEN ltv_cac_ratio < 3.0 THEN '{_CRIT}' ELSE '{_EXC}' END AS message, "
     "CASE WHEN ltv_cac_ratio >= 3.0 THEN '#10B981' WHEN ltv_cac_ratio >= 1.0 THEN '#F59E0B' "
@@ -441,25 +438,25 @@ _FRIC = insights.SUPPORT_FRICTION.replace("'", "''")
     "FROM (SELECT CASE WHEN avg_cac > 0 THEN avg_ltv / avg_cac ELSE 0.0 END AS ltv_cac_ratio FROM kpi_base) k",
     KPI_CTE))
 def q_unit_economics(spark, sf_dir):
-    return rounded(insights.unit_economics(kpi_row(spark, sf_dir)), micro=("ltv_cac_ratio",))
+    return insights.unit_economics(kpi_row(spark, sf_dir))
 
 
 @register("ltv_cac_band", O.with_base(
-    "SELECT ROUND(ltv_cac_ratio, 6) AS ltv_cac_ratio, "
+    "SELECT ltv_cac_ratio, "
     "CASE WHEN ltv_cac_ratio >= 3.0 THEN '#10B981' WHEN ltv_cac_ratio >= 1.0 THEN '#F59E0B' "
     "ELSE '#EF4444' END AS band_color "
     "FROM (SELECT CASE WHEN avg_cac > 0 THEN avg_ltv / avg_cac ELSE 0.0 END AS ltv_cac_ratio FROM kpi_base) k",
     KPI_CTE))
 def q_ltv_cac_band(spark, sf_dir):
-    return rounded(insights.unit_economics(kpi_row(spark, sf_dir)),
-                   micro=("ltv_cac_ratio",)).select("ltv_cac_ratio", "band_color")
+    return insights.unit_economics(kpi_row(spark, sf_dir)).select("ltv_cac_ratio", "band_color")
 
 
-FRICTION_CTE = SUPPORT_CTE.strip() + """,
+FIRST5_CTE = """
 first5 AS (SELECT tickets, CASE WHEN Total > 0 THEN Churned / Total * 100.0 ELSE 0.0 END AS churn_rate
            FROM support ORDER BY tickets LIMIT 5),
 fr AS (SELECT COUNT(*) AS n, MAX(tickets) AS t5, arg_max(churn_rate, tickets) AS r5 FROM first5)
 """
+FRICTION_CTE = SUPPORT_CTE.strip() + ",\n" + FIRST5_CTE.strip()
 
 
 @register("support_friction", O.with_base(
@@ -470,16 +467,44 @@ def q_support_friction(spark, sf_dir):
     return insights.support_friction(charts.support_churn(cleaned(spark, sf_dir)))
 
 
-@register("insights", O.with_base(
+INSIGHTS_SQL = (
     "SELECT 'unit_economics' AS rule, "
     "CASE WHEN r < 3.0 THEN 'critical' ELSE 'excellent' END AS level, "
     f"CASE WHEN r < 3.0 THEN '{_CRIT}' ELSE '{_EXC}' END AS message "
     "FROM (SELECT CASE WHEN avg_cac > 0 THEN avg_ltv / avg_cac ELSE 0.0 END AS r FROM kpi_base) k "
-    f"UNION ALL SELECT 'support_friction', 'warning', '{_FRIC}' FROM fr WHERE n >= 5 AND r5 > 50.0",
-    KPI_CTE.strip() + ",\n" + FRICTION_CTE))
+    f"UNION ALL SELECT 'support_friction', 'warning', '{_FRIC}' FROM fr WHERE n >= 5 AND r5 > 50.0")
+
+
+@register("insights", O.with_base(INSIGHTS_SQL, KPI_CTE.strip() + ",\n" + FRICTION_CTE))
 def q_insights(spark, sf_dir):
-    c = cleaned(spark, sf_dir)
-    return insights.insights(kpis.kpis(c), charts.support_churn(c))
+    return insights.insights_of(cleaned(spark, sf_dir))
+
+
+# The same customers in a bad year: lifetime values a 4,000th, everyone with a
+# returned order gone.  Here the other branch of both rules holds.
+def downturn(spark, sf_dir) -> DataFrame:
+    return cleaned(spark, sf_dir).withColumns({
+        "LTV": F.col("LTV") / 4000.0,
+        "Status": F.when(F.col("SupportTickets") >= 1, F.lit("Churned")).otherwise(F.col("Status"))})
+
+
+DOWNTURN_CTE = """
+bad_year AS (SELECT * REPLACE (LTV / 4000e0 AS LTV, is_active AND SupportTickets < 1 AS is_active,
+                               is_churned OR SupportTickets >= 1 AS is_churned) FROM flagged)"""
+
+
+@register("insights_downturn", O.with_base(INSIGHTS_SQL, ",\n".join(
+    cte.strip() for cte in (DOWNTURN_CTE, kpi_cte("bad_year"), support_cte("bad_year"), FIRST5_CTE))))
+def q_insights_downturn(spark, sf_dir):
+    return insights.insights_of(downturn(spark, sf_dir))
+
+
+@register("kpis_downturn_by_plan", O.with_base(
+    KPI_SQL_BODY.strip().replace("SELECT", "SELECT COALESCE(PlanType, 'none') AS plan,", 1),
+    DOWNTURN_CTE.strip() + ",\n" + kpi_cte("bad_year", "PlanType").strip()))
+def q_kpis_downturn_by_plan(spark, sf_dir):
+    rows = downturn(spark, sf_dir).withColumn("plan", F.coalesce("PlanType", F.lit("none")))
+    return kpis.kpis(rows, by=["plan"])
 
 
 # --------------------------------------------------------------------------

@@ -3,8 +3,7 @@
 Each string runs on the raw parquet views (``orders``, ``lineitem``, ...),
 re-derives the subscriptions table and cleans it in SQL, so the oracle shares
 no code path with the Spark operators.  Column names and types match the Spark
-results; float aggregates are presented at the same rounding on both sides
-(see ``plans.catalog``).
+results; sums of doubles are exact on both sides.
 """
 
 from __future__ import annotations
@@ -45,6 +44,15 @@ def sql_int(x: str) -> str:
     return f"COALESCE(TRY_CAST(trunc(CASE WHEN {v} >= -9223372036854775808e0 AND {v} < 9223372036854775808e0 THEN {v} END) AS BIGINT), CAST(0 AS BIGINT))"
 
 
+# Fixed value: 2^64, the part of one in which exact sums count.
+_SCALE = "18446744073709551616e0"
+
+
+def exact_sum(x: str, over: str = "") -> str:
+    """The exact sum of doubles from 2^-11 up to 2^40: whole numbers of 2^-64."""
+    return f"CAST(SUM(CAST(({x}) * {_SCALE} AS HUGEINT)) {over} AS DOUBLE) / {_SCALE}"
+
+
 ACTIVE = "COALESCE(lower(Status) = 'active', false)"
 CHURNED = "COALESCE(lower(Status) IN ('churned', 'inactive'), false)"
 MONTH = "COALESCE(strftime(TRY_CAST(SignupDate AS TIMESTAMP), '%Y-%m'), 'NaT')"

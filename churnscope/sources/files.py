@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from churnscope.functions.cleaning import NA_TOKENS, int_text, parse_text
+from churnscope.operators.exact import exact_sums
 
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 
@@ -52,6 +53,7 @@ def infer_types(df: DataFrame, cols: Iterable[str] | None = None, with_means: bo
     ``with_means=True`` also returns each numeric column's mean, computed in
     the same pass (a column is numeric only when every value parses, so the
     mean of the parsed values is the column mean), for :func:`impute_mean`.
+    Means come from exact sums, so they do not depend on the layout.
     """
     text_cols = [f.name for f in df.schema.fields
                  if isinstance(f.dataType, StringType) and (cols is None or f.name in cols)]
@@ -63,15 +65,18 @@ def infer_types(df: DataFrame, cols: Iterable[str] | None = None, with_means: bo
                                   for i in range(len(text_cols))])
     staged = staged.select("*", *[parse_text(F.col(f"txt{i}")).alias(f"num{i}")
                                   for i in range(len(text_cols))])
-    aggs = []
+    n, bad, frac = {}, {}, {}
     for i in range(len(text_cols)):
         present = F.col(f"raw{i}").isNotNull()
-        aggs += [F.count(F.col(f"raw{i}")).alias(f"n{i}"),
-                 F.count_if(present & F.col(f"num{i}").isNull()).alias(f"bad{i}"),
-                 F.count_if(present & ~F.col(f"txt{i}").rlike(INTEGER_PATTERN)).alias(f"frac{i}")]
-        if with_means:
-            aggs.append(F.avg(F.col(f"num{i}")).alias(f"mean{i}"))
-    stats = staged.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+        n[f"n{i}"] = present
+        bad[f"bad{i}"] = present & F.col(f"num{i}").isNull()
+        frac[f"frac{i}"] = present & ~F.col(f"txt{i}").rlike(INTEGER_PATTERN)
+    counts = {"rows": F.lit(True), **n, **bad, **frac}
+    if with_means:
+        sums = {f"sum{i}": F.col(f"num{i}") for i in range(len(text_cols))}
+        stats = exact_sums(staged, [], sums, counts).first()
+    else:
+        stats = staged.agg(*[F.count_if(c).alias(name) for name, c in counts.items()]).first()
     casts, means = {}, {}
     for i, c in enumerate(text_cols):
         n, bad, frac = stats[f"n{i}"], stats[f"bad{i}"], stats[f"frac{i}"]
@@ -79,8 +84,8 @@ def infer_types(df: DataFrame, cols: Iterable[str] | None = None, with_means: bo
             continue
         parsed = parse_text(int_text(F.col(f"`{c}`")))
         casts[c] = parsed.cast("bigint") if (frac == 0 and n == stats["rows"]) else parsed
-        if with_means and stats[f"mean{i}"] is not None:
-            means[c] = float(stats[f"mean{i}"])
+        if with_means:
+            means[c] = stats[f"sum{i}"] / stats[f"sum{i}_n"]
     typed = df.withColumns(casts) if casts else df
     return (typed, means) if with_means else typed
 
@@ -103,12 +108,10 @@ def impute_mean(df: DataFrame, cols: Iterable[str] | None = None,
     todo = [c for c in numeric if c not in means]
     gaps = set()
     if todo:
-        aggs = []
-        for i, c in enumerate(todo):
-            value = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
-            aggs += [F.avg(value).alias(f"mean{i}"), F.count_if(value.isNull()).alias(f"gaps{i}")]
-        stats = df.agg(*aggs).first()
-        means |= {c: stats[f"mean{i}"] for i, c in enumerate(todo) if stats[f"mean{i}"] is not None}
+        values = {i: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for i, c in enumerate(todo)}
+        stats = exact_sums(df, [], {f"sum{i}": v for i, v in values.items()},
+                           {f"gaps{i}": v.isNull() for i, v in values.items()}).first()
+        means |= {c: stats[f"sum{i}"] / stats[f"sum{i}_n"] for i, c in enumerate(todo) if stats[f"sum{i}_n"]}
         gaps = {c for i, c in enumerate(todo) if stats[f"gaps{i}"]}
     fractional = ("double", "float", "decimal")
     widened = [c for c in means if c in gaps and numeric[c] not in fractional]

@@ -145,3 +145,13 @@ def test_equal_rows_are_numbered_without_gaps(spark):
     out = numbered(df, [F.col("v").desc()]).collect()
     assert sorted(r.row_number for r in out) == list(range(1, 101))
     assert all(r.v == 2 for r in out if r.row_number <= 10)
+
+
+def test_one_plan_for_all_equals_the_plan_row_by_row(spark):
+    c = C.cleaned(spark, SF_SMALL)
+    model = C.hand_model(c)
+    for plan in ("HIGH", "no such plan", None):
+        got = {r.CustomerID: r.probability for r in ml.what_if(c, model, {"plan": plan}).collect()}
+        rows = ml.as_scenarios(C.filters.active_filter(c)).withColumn("plan", F.lit(plan).cast("string"))
+        want = {r.CustomerID: r.probability for r in ml.score_scenarios(rows, model, keep=("CustomerID",)).collect()}
+        assert got == want and len(set(got.values())) > 3

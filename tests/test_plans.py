@@ -13,7 +13,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 QUERIES = sorted(E.queries())
-MODEL_QUERIES = {"train_churn", "importances", "risk_ledger", "what_if", "score_scenarios"}
+MODEL_QUERIES = {"train_churn", "importances"}
 
 
 def plan_text(spark, name):

@@ -32,8 +32,8 @@ def test_csv_roundtrip_with_na_tokens_and_inference(spark, tmp_dir):
     fused = files.impute_mean(typed2, means=means)
     assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, filled.collect()))
     # The cleaned upload gives the same KPI row as the parquet-derived table.
-    a = C.rounded(kpis.kpis(preprocess.preprocess(back)), C.KPI_MONEY, C.KPI_MICRO).first()
-    b = C.rounded(kpis.kpis(C.cleaned(spark, SF_SMALL)), C.KPI_MONEY, C.KPI_MICRO).first()
+    a = kpis.kpis(preprocess.preprocess(back)).first()
+    b = kpis.kpis(C.cleaned(spark, SF_SMALL)).first()
     assert a == b
 
 
@@ -159,8 +159,8 @@ def test_registry_status_partitions_prune_and_agree(spark):
     assert "PartitionFilters: [isnotnull(churnscope_status_class" in plan and "active" in plan
     assert act.count() == filters.active_filter(clean).count()
     assert filters.churned_filter(reg).count() == filters.churned_filter(clean).count()
-    a = C.rounded(K.kpis(reg), C.KPI_MONEY, C.KPI_MICRO).first()
-    b = C.rounded(K.kpis(clean), C.KPI_MONEY, C.KPI_MICRO).first()
+    a = K.kpis(reg).first()
+    b = K.kpis(clean).first()
     assert a == b
 
 
