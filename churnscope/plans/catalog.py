@@ -8,6 +8,8 @@ numbers that add up without error), so nothing is rounded for the comparison.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,7 +24,8 @@ from churnscope.operators import (charts, cohorts, date_formats, filters, forest
                                   profile)
 from churnscope.plans import oracle as O
 from churnscope.roles import FEATURES, ROLES
-from churnscope.sources import models
+from churnscope.session import checkpoint_dir
+from churnscope.sources import models, quarantine
 from churnscope.sources.files import impute_mean, infer_types
 from churnscope.sources.subscriptions import subscriptions
 from churnscope.sources.tables import read_table
@@ -89,6 +92,43 @@ def q_map_columns(spark, sf_dir):
     return preprocess.map_columns(upload, dict(zip(ROLES, PHYSICAL_NAMES)))
 
 
+# An upload with malformed lines, written as text files from the orders.
+RAGGED_HEADER = "CustomerID,PlanType,MonthlyRevenue"
+_PLAN = "SUBSTR(o_orderpriority, 3)"
+RAGGED_SQL = f"""
+SELECT o_orderkey AS k, {_PLAN} AS plan, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR(20)) AS price,
+       CASE WHEN o_orderkey % 83 = 0 THEN CONCAT('CUST-', CAST(o_orderkey AS VARCHAR(20)), ',', {_PLAN}, ',1,2')
+            WHEN o_orderkey % 79 = 0 THEN CONCAT('CUST-', CAST(o_orderkey AS VARCHAR(20)), ',', {_PLAN})
+            WHEN o_orderkey % 73 = 0 THEN CONCAT('CUST-', CAST(o_orderkey AS VARCHAR(20)), ',"', {_PLAN}, ',3')
+            WHEN o_orderkey % 71 = 0 THEN CONCAT('CUST-', CAST(o_orderkey AS VARCHAR(20)), ',"', {_PLAN}, ', ""big"", new",N/A')
+            ELSE CONCAT('CUST-', CAST(o_orderkey AS VARCHAR(20)), ',', {_PLAN}, ',', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR(20)))
+       END AS line
+FROM {{orders}}
+"""
+
+
+def ragged_upload(spark, sf_dir) -> quarantine.Checked:
+    path = os.path.join(checkpoint_dir(spark), "ragged", uuid.uuid4().hex)
+    lines = spark.sql(RAGGED_SQL, orders=read_table(spark, sf_dir, "orders")).select(F.col("line").alias(RAGGED_HEADER))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").option("escape", "").csv(path)
+    return quarantine.read_checked(spark, path)
+
+
+@register("ragged_upload", f"WITH r AS ({RAGGED_SQL.format(orders='orders')}) SELECT 'CUST-' || k AS CustomerID, "
+          "CASE WHEN k % 79 <> 0 AND k % 71 = 0 THEN plan || ', \"big\", new' ELSE plan END AS PlanType, "
+          "CASE WHEN k % 79 <> 0 AND k % 71 <> 0 THEN price END AS MonthlyRevenue "
+          "FROM r WHERE k % 83 <> 0 AND (k % 79 = 0 OR k % 73 <> 0)")
+def q_ragged_upload(spark, sf_dir):
+    return ragged_upload(spark, sf_dir).data
+
+
+@register("quarantine", f"WITH r AS ({RAGGED_SQL.format(orders='orders')}) SELECT line, "
+          "CASE WHEN k % 83 = 0 THEN 'too many fields' WHEN k % 79 = 0 THEN 'too few fields' ELSE 'broken quotes' END AS reason, "
+          "k % 83 <> 0 AND k % 79 = 0 AS in_data FROM r WHERE k % 83 = 0 OR k % 79 = 0 OR k % 73 = 0")
+def q_quarantine(spark, sf_dir):
+    return ragged_upload(spark, sf_dir).quarantine.select("line", "reason", "in_data")
+
+
 @register("clean_money", O.with_base(
     "SELECT CustomerID, MonthlyRevenue, LTV, CAC FROM clean"))
 def q_clean_money(spark, sf_dir):
