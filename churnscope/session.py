@@ -1,8 +1,10 @@
-"""Session construction and cluster-shared storage locations."""
+"""Session construction, cluster-shared storage locations and the package on the workers."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -49,6 +51,30 @@ def apply_defaults(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python workers import it by name wherever they run; they don't share the
+    driver's working folder or path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    # Spark itself takes the file from here to every executor.
+    archive = os.path.join(tempfile.mkdtemp(prefix="churnscope-"), "churnscope.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join("churnscope", os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, saved models and materialised tables.
 

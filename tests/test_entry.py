@@ -25,3 +25,34 @@ def test_no_query_caps_rows():
     src = inspect.getsource(catalog)
     # Only the feature limits (preview head, last cohorts, top-5 friction) exist.
     assert "LIMIT 5" in src and src.count(".limit(") == 0
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A query whose functions run in Python workers, from another working folder."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.abspath(E.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as E
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate())
+E.queries()["kpis"](spark, "/root/testdata/sf0.001").collect()
+
+
+def run(batches):
+    import churnscope.roles
+    for batch in batches:
+        yield batch
+
+
+assert spark.range(3).mapInArrow(run, "id long").count() == 3
+print("found")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found" in done.stdout, done.stderr[-2000:]
