@@ -21,14 +21,14 @@ from churnscope.functions import (month_bucket, percent_text, retention_action,
 from churnscope.functions.cleaning import NA_TOKENS, na_to_null
 from churnscope.functions.labels import PROTOCOLS
 from churnscope.operators import (charts, cohorts, date_formats, filters, forest, insights, kpis, ml, preprocess,
-                                  profile)
+                                  profile, rejects, responses)
 from churnscope.plans import oracle as O
 from churnscope.roles import FEATURES, ROLES
 from churnscope.session import checkpoint_dir
-from churnscope.sources import models, quarantine
+from churnscope.sources import models, quarantine, search_index
 from churnscope.sources.files import impute_mean, infer_types
 from churnscope.sources.subscriptions import subscriptions
-from churnscope.sources.tables import read_table
+from churnscope.sources.tables import read_table, table_path
 
 
 @dataclass(frozen=True)
@@ -79,6 +79,13 @@ def q_preview(spark, sf_dir):
     return profile.preview(raw(spark, sf_dir), 5, "CustomerID")
 
 
+@register("preview_files", "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority "
+          "FROM orders LIMIT 5")
+def q_preview_files(spark, sf_dir):
+    return profile.preview_files(spark, table_path(sf_dir, "orders"), 5).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
+
+
 # Physical names of a differently-named upload, mapped back onto the roles.
 PHYSICAL_NAMES = ("cust_id", "signup", "plan", "mrr", "status", "tenure", "tickets", "usage",
                   "last_login", "lifetime_value", "acq_cost")
@@ -205,6 +212,32 @@ def q_quality_report(spark, sf_dir):
     return preprocess.quality_report(raw(spark, sf_dir))
 
 
+# More kinds of bad texts than the table has by itself.
+_APPROX = "CASE WHEN CAST(LastLoginDaysAgo AS INT) < 20 THEN CONCAT('approx ', UsageFrequency, ' k') ELSE MonthlyRevenue END"
+_MONTHS = "CASE WHEN CAST(LastLoginDaysAgo AS INT) % 7 = 0 THEN CONCAT(LastLoginDaysAgo, ' months') ELSE TenureMonths END"
+
+
+def _rejected_sql() -> str:
+    parts = []
+    for r in _QUALITY_ROLES:
+        money = r in ("MonthlyRevenue", "LTV", "CAC")
+        parsed = O.sql_parse(O.sql_money_text(r) if money else O.sql_int_text(r))
+        if not money:
+            parsed = f"(CASE WHEN {parsed} >= -9223372036854775808e0 AND {parsed} < 9223372036854775808e0 THEN {parsed} END)"
+        parts.append(f"SELECT '{r}' AS role, {r} AS text FROM worse WHERE {r} IS NOT NULL AND {parsed} IS NULL")
+    parts.append("SELECT 'SignupDate', SignupDate FROM worse WHERE SignupDate IS NOT NULL AND TRY_CAST(SignupDate AS TIMESTAMP) IS NULL")
+    return O.with_base(
+        "SELECT role, text, n AS count, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY role ORDER BY n DESC, text) AS rank "
+        f"FROM (SELECT role, text, COUNT(*) AS n FROM ({' UNION ALL '.join(parts)}) t GROUP BY ALL) c) r WHERE rank <= 10",
+        f"worse AS (SELECT * REPLACE ({_APPROX} AS MonthlyRevenue, {_MONTHS} AS TenureMonths) FROM subscriptions)")
+
+
+@register("rejected_texts", _rejected_sql())
+def q_rejected_texts(spark, sf_dir):
+    worse = raw(spark, sf_dir).withColumns({"MonthlyRevenue": F.expr(_APPROX), "TenureMonths": F.expr(_MONTHS)})
+    return rejects.rejected_texts(worse, k=10)
+
+
 @register("status_flags", O.with_base(
     "SELECT CustomerID, Status, is_active, is_churned, target FROM flagged"))
 def q_status_flags(spark, sf_dir):
@@ -318,6 +351,28 @@ def q_churned_filter(spark, sf_dir):
 SEARCH_TERM = "cust-42"
 
 
+def indexed(spark, sf_dir) -> str:
+    """The cleaned customers, written with their search index (small blocks, as the tables are)."""
+    path = os.path.join(checkpoint_dir(spark), "indexed", uuid.uuid4().hex)
+    search_index.write_indexed(cleaned(spark, sf_dir), path, block_rows=500)
+    return path
+
+
+LITERAL_TERM = "T-123"
+
+
+@register("id_search_indexed", O.with_base(
+    f"SELECT * FROM clean WHERE regexp_matches(CustomerID, '(?i)cust-42[0-9]+$')"))
+def q_id_search_indexed(spark, sf_dir):
+    return search_index.search(spark, indexed(spark, sf_dir), "cust-42[0-9]+$").rows
+
+
+@register("id_search_literal", O.with_base(
+    f"SELECT * FROM clean WHERE contains(lower(CustomerID), lower('{LITERAL_TERM}'))"))
+def q_id_search_literal(spark, sf_dir):
+    return search_index.search(spark, indexed(spark, sf_dir), LITERAL_TERM, literal=True).rows
+
+
 @register("id_search", O.with_base(
     f"SELECT * FROM clean WHERE regexp_matches(CustomerID, '(?i){SEARCH_TERM}')"))
 def q_id_search(spark, sf_dir):
@@ -803,6 +858,37 @@ RANK_SQL = ("RANK() OVER w AS rank, DENSE_RANK() OVER w AS dense_rank, PERCENT_R
             "ROW_NUMBER() OVER t AS row_number, NTILE(100) OVER t AS tile")
 
 
+# Every slider's exact steps; the derived table's revenues are beyond the simulator's range.
+CURVE_RANGES = {"revenue": (0.0, 600000.0)}
+
+
+def _curves_sql() -> str:
+    parts = []
+    for field, bounds in {**responses.SLIDERS, **CURVE_RANGES}.items():
+        for low, high in responses.intervals(HAND_FOREST, field, *bounds):
+            parts.append(f"SELECT CustomerID, p, '{field}' AS field, {low}e0 AS low, {high}e0 AS high, "
+                         f"{hand_sql(**{RECORD_SQL[field]: f'{high}e0'})} AS probability FROM own")
+    return O.with_base(
+        f"SELECT CustomerID, field, low, high, probability, probability - p AS change, "
+        f"{_band_sql('probability', 'HIGH RISK', 'MEDIUM RISK', 'SAFE')} AS risk_text FROM ({' UNION ALL '.join(parts)}) c",
+        CODED_CTE + f",\nown AS (SELECT *, {hand_sql()} AS p FROM coded WHERE is_active)")
+
+
+@register("response_curves", _curves_sql())
+def q_response_curves(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return responses.response_curves(c, hand_model(c), ranges=CURVE_RANGES)
+
+
+@register("best_move", _curves_sql().replace("SELECT CustomerID, field, low, high, probability, probability - p AS change",
+          "SELECT CustomerID, field, low, high, probability, change FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY CustomerID "
+          "ORDER BY probability, field, low) AS nth FROM (SELECT CustomerID, field, low, high, probability, probability - p AS change", 1)
+          + ") m) n WHERE nth = 1")
+def q_best_move(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return responses.best_move(responses.response_curves(c, hand_model(c), ranges=CURVE_RANGES))
+
+
 @register("ledger_ranks", O.with_base(
     f"SELECT CustomerID, p AS ChurnRiskProbability, {RANK_SQL} FROM (SELECT *, {hand_sql()} AS p FROM coded) s "
     "WHERE is_active WINDOW w AS (ORDER BY p DESC), t AS (ORDER BY p DESC, CustomerID)", CODED_CTE))
