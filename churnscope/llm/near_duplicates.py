@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 5
 FILTER_BITS = 24
 #: Rare shingles kept with each one, to give a pair once.
 BEFORE = 64
+#: A node with more pairs than this is compared in so many places.
+HOT_PAIRS, SALTS = 5000, 64
 LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 DOC = {"doc_id": "long", "text": "string"}
@@ -217,12 +219,27 @@ def overlaps(pairs: DataFrame, bags: DataFrame) -> DataFrame:
                 like.append(inter / (int(xc.sum()) + int(yc.sum()) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float64())], ["a", "b", "like"])
 
-    left = bags.select(F.col("node").alias("a"), F.col("items").alias("xi"), F.col("counts").alias("xc"))
-    right = bags.select(F.col("node").alias("b"), F.col("items").alias("yi"), F.col("counts").alias("yc"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "xi", "xc", "yi", "yc")
+    rows = pairs
+    for side, other, items, counts in (("a", "b", "xi", "xc"), ("b", "a", "yi", "yc")):
+        rows = _with_bags(rows, bags, side, other, items, counts)
+    rows = rows.select("a", "b", "xi", "xc", "yi", "yc")
     return written(rows.mapInArrow(run, "a binary, b binary, like double"), "overlaps")
 
 
+def _with_bags(pairs: DataFrame, bags: DataFrame, side: str, other: str, items: str, counts: str) -> DataFrame:
+    """The bag of one side of each pair.  A node with many pairs, such as the
+    centre of a large group, has its bag sent to SALTS places, and its pairs
+    go to the place that the other node's hash says."""
+    often = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select(F.col(side).alias("node"), F.lit(True).alias("hot"))
+    often = F.broadcast(written(often, "hot-nodes"))  # at most one in HOT_PAIRS of the pairs, names only
+    dealt = pairs.join(often.withColumnRenamed("node", side), side, "left").withColumn(
+        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0))).drop("hot")
+    spread = bags.join(often, "node", "left").withColumn(
+        "salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).select(
+        F.col("node").alias(side), F.col("salt").cast("long").alias("salt"), F.col("items").alias(items), F.col("counts").alias(counts))
+    return dealt.join(spread, [side, "salt"]).drop("salt")
+
+
 def ordered(a: str, b: str) -> list:
     """A pair's nodes, smaller first."""
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -279,10 +296,30 @@ def rare_pairs(bags: DataFrame, members: DataFrame) -> DataFrame:
         "before": F.collect_list("token").over(rarest.rowsBetween(-BEFORE, -1)),
         "most": F.col("several") - F.col("at") + 1})
     head = written(head.select("node", "comp", "n", "most", "token", "before"), "rare")
-    x, y = (head.select("token", *[F.col(k).alias(f"{c}_{k}") for k in ("node", "comp", "n", "most", "before")]) for c in "xy")
-    return x.join(y, "token").where(f"""x_node < y_node and x_comp <> y_comp and least(x_n, y_n) >= {LIKE} * greatest(x_n, y_n) - 1e-9
-        and least(x_most, y_most) >= {LIKE / (1 + LIKE)} * (x_n + y_n) - 1e-9
-        and not arrays_overlap(x_before, y_before)""").select(*ordered("x_node", "y_node"))
+    return _holders_pairs(head)
+
+
+def _holders_pairs(head: DataFrame) -> DataFrame:
+    """Pairs of different classes at a token, from rows (node, comp, n, most,
+    token, before).
+
+    Whether two holders of a token can be alike depends on their numbers of
+    shingles and what follows the token in them.  These combinations are
+    joined first, so the holders of a token that many texts have meet only
+    where a combination allows it.  At each token the class with most holders
+    needs no pairs within itself: the others meet it and each other."""
+    per_class = head.groupBy("token", "comp").agg(F.count("*").alias("holders"))
+    big = per_class.groupBy("token").agg(F.max(F.struct("holders", "comp"))["comp"].alias("big"), F.count("*").alias("classes"))
+    big = big.where("classes > 1").select("token", "big")
+    head = written(head.join(big, "token").withColumn("is_big", F.col("comp") == F.col("big")).drop("big"), "holders")
+    kinds = head.groupBy("token", "n", "most").agg(F.min("is_big").alias("all_big"))
+    x, y = (kinds.select("token", *[F.col(k).alias(f"{c}_{k}") for k in ("n", "most", "all_big")]) for c in "xy")
+    able = x.where("not x_all_big").join(y, "token").where(f"""least(x_n, y_n) >= {LIKE} * greatest(x_n, y_n) - 1e-9
+        and least(x_most, y_most) >= {LIKE / (1 + LIKE)} * (x_n + y_n) - 1e-9""").select("token", "x_n", "x_most", "y_n", "y_most")
+    x, y = (head.select("token", *[F.col(k).alias(f"{c}_{k}") for k in ("n", "most", "node", "comp", "before", "is_big")]) for c in "xy")
+    rows = x.where("not x_is_big").join(able, ["token", "x_n", "x_most"]).join(y, ["token", "y_n", "y_most"])
+    return rows.where("x_comp <> y_comp and (y_is_big or x_node < y_node) and not arrays_overlap(x_before, y_before)").select(
+        *ordered("x_node", "y_node"))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
