@@ -3,8 +3,9 @@
 Two views of a document: its text content (hashed words, runs of other
 characters, and words said twice in a row) and its page metadata (source,
 language, size and layout figures).  A logistic classifier is fitted on each
-view of a bounded sample of labelled rows.  In every round each classifier
-labels the unlabelled rows it is sure of for the other one.  At the end both
+view of a bounded sample of labelled rows.  In every round both classifiers
+score all unlabelled documents in Spark, and each gives the texts that it is
+surest of to the other one, which is fitted again with them.  At the end both
 views' margins are calibrated together on labelled rows kept aside, and every
 document is scored.  A document is good if its quality is 1 and it isn't toxic.
 """
@@ -15,19 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnscope.llm.shared import pick, read, unit_hash
+from churnscope.llm.shared import pick, read, unit_hash, written
 from churnscope.llm.tokens import WORD, blocks, mix64, word_hashes, word_spans
 
-#: Bounds of the fit: labelled rows, unlabelled rows.
-LABELLED, UNLABELLED = 20_000, 6_000
+#: Bound of the fit: labelled rows.
+LABELLED = 20_000
 TEXT_BITS, META_BITS = 18, 12
+#: Rounds of the exchange, the probability from which a view is sure, and the
+#: texts of each class that a view gives in the first round (twice as many in
+#: the second): the surest of the whole corpus, which bounds the rows fitted.
 ROUNDS, SURE, EACH = 2, 0.97, 500
 #: Feature ids handled at once in the fit.
 PIECE = 1 << 19
 DOC = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
 
+#: Both views and their numbers of features.
+VIEWS = {"text": 1 << TEXT_BITS, "meta": 3 << META_BITS}
+
 _SHARES = np.array([1e-9, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 0.8])
 _UPPER, _DIGIT, _SYMBOL = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91], _DIGIT[48:58] = True, True
@@ -62,8 +70,7 @@ def features(data: np.ndarray, offsets: np.ndarray, langs: list, sources: list)
                 np.searchsorted(np.arange(2, 14), size / np.maximum(words, 1))]
     meta = np.stack([k * 64 + np.asarray(v) for k, v in enumerate(figures)], 1)
     mask = np.uint64((1 << META_BITS) - 1)
-    named = {v: int(mix64(np.array([int.from_bytes(repr(v).encode()[-8:], "little")], np.uint64))[0] & mask)
-             for v in {(0, x) for x in langs} | {(1, x) for x in sources}}
+    named = {v: xxhash.xxh3_64_intdigest(repr(v).encode()) & int(mask) for v in {(0, x) for x in langs} | {(1, x) for x in sources}}
     for i in range(n):
         own = [(1 << META_BITS) + named[0, langs[i]], (2 << META_BITS) + named[1, sources[i]]]
         yield (flat[cut[i]:cut[i + 1]] & ((1 << TEXT_BITS) - 1)).astype(np.int32), np.r_[meta[i], own].astype(np.int32)
@@ -148,66 +155,92 @@ def calibrate(z: np.ndarray, y: np.ndarray, even: bool) -> np.ndarray:
     return w
 
 
-def co_train(text: list, meta: list, y: np.ndarray, aside: np.ndarray) -> dict:
-    """``y`` is 0, 1 or -1 (unlabelled); rows ``aside`` only calibrate.  A view
-    is sure by its calibrated probability at the classes' natural rates, so
-    that metadata never vouches for words it can't see."""
-    views = [(text, 1 << TEXT_BITS), (meta, 3 << META_BITS)]
-    free = np.flatnonzero(y < 0)
-    fixed = np.flatnonzero((y >= 0) & ~aside)
-    given: list[dict[int, int]] = [{}, {}]
-    everyone = [Sparse(rows) for rows, _ in views]
-    weights = []
-    for r in range(ROUNDS + 1):
-        weights = []
-        for (rows, dim), extra in zip(views, given):
-            at = np.r_[fixed, np.array(list(extra), int)]
-            label = np.r_[y[fixed], np.array(list(extra.values()), int)]
-            weights.append(logistic(Sparse([rows[i] for i in at]), label, dim))
-        if r == ROUNDS:
-            break
-        for mine, other in ((0, 1), (1, 0)):
-            z = np.c_[np.clip(everyone[mine].margins(weights[mine]), -20, 20), np.ones(len(y))]
-            p = 1 / (1 + np.exp(-np.clip(z[free] @ calibrate(z[aside], y[aside], False), -30, 30)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:EACH * (r + 1)]
-                given[other].update((int(free[i]), label) for i in best if sure[i] >= SURE)
-    z = combined(*(s.margins(w) for s, w in zip(everyone, weights)))
-    return {"text": weights[0].astype(np.float32), "meta": weights[1].astype(np.float32),
-            "mix": calibrate(z[aside], y[aside], True)}
+def fitted(rows: dict[str, list], y: np.ndarray, given: dict[str, tuple[list, list]]) -> dict[str, np.ndarray]:
+    """Each view's weights from its labelled rows and the rows given to it."""
+    return {v: logistic(Sparse(rows[v] + given[v][0]), np.r_[y, np.array(given[v][1], int)], dim) for v, dim in VIEWS.items()}
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash`` and both views' feature ids of every row (written)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, m = zip(*((t.tobytes(), m.tobytes()) for _, t, m in _views(batch))) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(t, pa.binary()), pa.array(m, pa.binary())],
+                                             ["doc_id", "text_hash", "text", "meta"])
+
+    rows = pick(docs, DOC).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return written(rows.mapInArrow(run, "doc_id long, text_hash long, text binary, meta binary"), "views")
+
+
+def surest(views: DataFrame, labelled: DataFrame, weights: dict, scales: dict, many: int) -> dict[str, list[tuple[int, int]]]:
+    """For each view, the texts (by hash) that it gives away with their labels:
+    of all unlabelled documents, the ``many`` surest of each class.  A text
+    that stands in several rows counts once."""
+    sent = views.sparkSession.sparkContext.broadcast((weights, scales))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, scale = sent.value
+        for batch in batches:
+            sure = []
+            for v, col in zip(VIEWS, (2, 3)):
+                z = Sparse([np.frombuffer(x, np.int32) for x in batch.column(col).to_pylist()]).margins(w[v])
+                sure.append(1 / (1 + np.exp(-np.clip(np.c_[np.clip(z, -20, 20), np.ones(len(z))] @ scale[v], -30, 30))))
+            sure = np.array(sure)
+            any_sure = pa.array((np.maximum(sure, 1 - sure) >= SURE).any(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(any_sure), batch.column(1).filter(any_sure),
+                                              *(pa.array(p).filter(any_sure) for p in sure)], ["doc_id", "text_hash", "text", "meta"])
+
+    scored = views.mapInArrow(run, "doc_id long, text_hash long, text double, meta double").join(labelled, "doc_id", "left_anti")
+    # Rows of one text differ in metadata at most; the least sure one speaks for it.
+    texts = written(scored.groupBy("text_hash").agg(*[F.min(v).alias(f"{v}_lo") for v in VIEWS], *[F.max(v).alias(f"{v}_hi") for v in VIEWS]), "sure")
+    out = {}
+    for v in VIEWS:
+        best = []
+        for label, p in ((1, F.col(f"{v}_lo")), (0, 1 - F.col(f"{v}_hi"))):
+            top = texts.where(p >= SURE).orderBy(p.desc(), unit_hash(6, F.col("text_hash")), "text_hash").limit(many)
+            best += [(r.text_hash, label) for r in top.select("text_hash").collect()]
+        out[v] = best
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Fit on a bounded sample; None if the labels hold fewer than two classes.
+    """Fit on a bounded sample of labelled rows and the texts exchanged; None
+    if the labels hold fewer than two classes.
 
-    The sampled ids (a documented bound) are broadcast to pick the texts, so
-    no text is shuffled; only feature ids come to the driver."""
+    An id's rows count as one labelled row, its first by text hash.  Feature
+    ids of at most ``LABELLED`` labelled rows and of the texts exchanged reach
+    the driver, no texts; the choice of those is made from all documents."""
     spark = docs.sparkSession
     rows = pick(labels, {"doc_id": "long", "quality": "int", "toxic": "int"}).where("doc_id is not null and quality is not null")
     good = F.min(F.expr("if(quality = 1 and coalesce(toxic, 0) = 0, 1, 0)")).alias("good")
+    labelled = rows.select("doc_id").distinct()
     chosen = rows.groupBy("doc_id").agg(good).orderBy(unit_hash(5, F.col("doc_id")), "doc_id").limit(LABELLED)
-    ids = pick(docs, {"doc_id": "long"}).where("doc_id is not null")
-    pool = (ids.join(rows.select("doc_id"), "doc_id", "left_anti").distinct()
-            .orderBy(unit_hash(6, F.col("doc_id")), "doc_id").limit(UNLABELLED).withColumn("good", F.lit(-1)))
-    sample = spark.createDataFrame([tuple(r) for r in chosen.unionByName(pool).collect()], "doc_id long, good int")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(i, t.tobytes(), m.tobytes()) for i, t, m in _views(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(4), *(pa.array([g[k] for g in got], pa.binary()) for k in (1, 2))],
-                ["doc_id", "good", "t", "m"])
-
-    got = (pick(docs, DOC).join(F.broadcast(sample), "doc_id").select(*DOC, "good")
-           .mapInArrow(run, "doc_id long, good int, t binary, m binary").toPandas())
-    got = got.sort_values(["doc_id", "t", "m"]).drop_duplicates("doc_id").reset_index(drop=True)
-    y = got.good.to_numpy().astype(int)
-    if len({*y[y >= 0]}) < 2:
-        return None
-    aside = (y >= 0) & (mix64(got.doc_id.to_numpy().astype(np.uint64)) % np.uint64(4) == 0)
-    if min(len({*y[(y >= 0) & ~aside]}), len({*y[aside]})) < 2:
+    chosen = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, good int")
+    views = featured(docs)
+    one = F.min(F.struct("text_hash", "text", "meta")).alias("v")
+    got = views.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(one).orderBy("doc_id").collect()
+    y = np.array([r.good for r in got], int)
+    aside = mix64(np.array([r.doc_id for r in got], np.int64).astype(np.uint64)) % np.uint64(4) == 0
+    if min(len({*y[~aside]}), len({*y[aside]})) < 2:
         return None
-    return co_train(*([np.frombuffer(v, np.int32) for v in got[c]] for c in "tm"), y, aside)
+    sample = {v: [np.frombuffer(r.v[v], np.int32) for r in got] for v in VIEWS}
+    fixed = {v: [x for x, a in zip(sample[v], aside) if not a] for v in VIEWS}
+    kept = {v: Sparse([x for x, a in zip(sample[v], aside) if a]) for v in VIEWS}
+    given: dict[str, tuple[list, list]] = {v: ([], []) for v in VIEWS}
+    weights = fitted(fixed, y[~aside], given)
+    for r in range(ROUNDS):
+        # Sure by the calibrated probability at the classes' natural rates, so
+        # that metadata never vouches for words it can't see.
+        scales = {v: calibrate(np.c_[np.clip(kept[v].margins(weights[v]), -20, 20), np.ones(kept[v].lens.size)], y[aside], False) for v in VIEWS}
+        told = surest(views, labelled, weights, scales, EACH * (r + 1))
+        names = spark.createDataFrame(sorted({t for best in told.values() for t, _ in best}) or [0], "long").toDF("text_hash")
+        found = {x.text_hash: x.v for x in views.join(F.broadcast(names), "text_hash").groupBy("text_hash").agg(
+            F.min(F.struct("text", "meta")).alias("v")).collect()}
+        for mine, other in (("text", "meta"), ("meta", "text")):
+            given[other] = ([np.frombuffer(found[t][other], np.int32) for t, _ in told[mine]], [label for _, label in told[mine]])
+        weights = fitted(fixed, y[~aside], given)
+    z = combined(kept["text"].margins(weights["text"]), kept["meta"].margins(weights["meta"]))
+    return {**{v: w.astype(np.float32) for v, w in weights.items()}, "mix": calibrate(z, y[aside], True)}
 
 
 def classify(docs: DataFrame, model: dict | None, extra: dict[str, str] | None = None) -> DataFrame:
@@ -215,7 +248,9 @@ def classify(docs: DataFrame, model: dict | None, extra: dict[str, str] | None =
     every whole document; ``accepted`` if it is at least one half.  Without a
     model (fewer than two classes of labels) every probability is 0.5 and every
     document is accepted.  A null text is an empty one; null source and
-    language are values of their own; rows with equal ids are separate rows.
+    language are values of their own; rows with equal ids are separate rows,
+    equal rows get equal results; a text counts whole, however long; an empty
+    table gives none.  Columns are found by their exact names.
     ``extra`` columns (name to type) are passed through, texts included."""
     extra = extra or {}
     sent = docs.sparkSession.sparkContext.broadcast(model)
