@@ -1,7 +1,9 @@
 """Sharding by histogram sort (operator 9), in DataFrame functions only.
 
-Rows get a 64-bit key: 32 bits of the text's hash, then 32 bits of the id's
-hash.  Equal texts are therefore neighbours.  Rounds of exact histograms count
+Rows get a 64-bit key: 32 bits of the text's hash, 16 bits of the id's hash,
+and 16 bits of the hash of the row's place in the written table of sizes.
+Equal texts are therefore neighbours, and rows equal in all columns can still
+be told apart.  Rounds of exact histograms count
 rows and bytes below candidate key boundaries (the edges of key prefixes);
 a prefix in which a splitter falls is probed with longer prefixes until its
 bytes meet the tolerance.  Then the rows are exchanged once, by prefix.
@@ -52,7 +54,8 @@ def splitters(slim: DataFrame, shards: int, tolerance: float) -> tuple[list[Leaf
 
     A leaf is probed again while a splitter falls inside it and its bytes
     exceed the tolerance, or while it holds over four times the mean rows
-    (a large group of copies), unless it is one row or one whole key."""
+    (a large group of copies or of equal rows), unless it is one row or one
+    whole key."""
     leaves = _histogram(slim, DEPTHS[0])
     total, rows = sum(x.bytes for x in leaves), sum(x.rows for x in leaves)
     most_rows = max(256, 4 * rows // (1 << DEPTHS[0]))
@@ -86,18 +89,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -
 
     Size is the text's UTF-8 bytes plus 1; a null text has size 1 and the
     checksum of an empty one.  A group of equal texts stays in one shard unless
-    its bytes exceed the tolerance where a splitter falls.  Rows equal in id and
-    text take neighbouring slots, a null id sorts as any other value, an empty
-    table gives no rows, further columns are ignored.  The driver sees counts
-    of bounded number only.
+    its bytes exceed the tolerance where a splitter falls; so do rows equal in
+    id and text, which are split by their place where they exceed it, else take
+    neighbouring slots.  A null id sorts as any other value, an empty table
+    gives no rows, further columns are ignored.  The driver sees counts of
+    bounded number only.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     high = F.shiftleft(F.shiftright(F.xxhash64(text), 32), 32)
-    slim = pick(docs, {"doc_id": "long", "text": "string"}).select(
-        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
-        high.bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(TOPMOST))), 32)).alias("k"))
-    slim = written(slim, "sizes")
+    of_id = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(TOPMOST))), 48), 16)
+    slim = written(pick(docs, {"doc_id": "long", "text": "string"}).select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), high.bitwiseOR(of_id).alias("k")), "sizes")
+    # The place in the written files is the same however often they are read.
+    place = F.shiftrightunsigned(F.xxhash64("_metadata.file_name", "_metadata.row_index"), 48)
+    slim = slim.select("doc_id", "size", "text_crc32", F.col("k").bitwiseOR(place).alias("k"))
     leaves, where, probed = splitters(slim, shards, tolerance)
 
     at, table = {}, []
@@ -113,7 +119,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -
             break
         hit = (depth == d) & _prefix(d).isin([p for p in sorted(probed[d])])
         depth, prefix = F.when(hit, F.lit(deeper)).otherwise(depth), F.when(hit, _prefix(deeper)).otherwise(prefix)
-    order = Window.partitionBy("leaf").orderBy(F.col("k").bitwiseXOR(F.lit(TOPMOST)), "doc_id", "text_crc32")
+    order = Window.partitionBy("leaf").orderBy(F.shiftright("k", 16).bitwiseXOR(F.lit(TOPMOST)), "doc_id", "text_crc32", "k")
     return (slim.withColumns({"depth": depth, "prefix": prefix}).join(F.broadcast(leaf), ["depth", "prefix"])
             .withColumn("slot", F.col("base") + F.row_number().over(order) - 1)
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
