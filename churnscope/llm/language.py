@@ -18,9 +18,11 @@ from churnscope.llm.shared import pick, read, unit_hash
 from churnscope.llm.tokens import blocks
 
 BITS = 14
-#: Labelled rows used for the fit: about so many for each language, and in all.
+#: Labelled texts used for the fit: about so many for each language, and in all.
 PER_LANGUAGE, IN_ALL = 600, 12_000
-LANDMARKS = 64
+#: Landmark texts: for each language, at least in all, and beyond which there
+#: are only two for each language.
+PER_MARK, LANDMARKS, MOST_MARKS = 16, 64, 1024
 RIDGE, SHARPNESS = 1e-3, 5.0
 DOC = {"doc_id": "long", "text": "string", "lang": "string"}
 
@@ -66,7 +68,8 @@ def fit(x: np.ndarray, langs: list[str]) -> dict:
     ranks = np.zeros(len(y), int)
     for c in range(len(names)):
         ranks[y == c] = np.arange((y == c).sum())
-    chosen = np.lexsort((y, ranks))[:LANDMARKS]
+    wanted = max(LANDMARKS, min(PER_MARK * len(names), max(MOST_MARKS, 2 * len(names))))
+    chosen = np.lexsort((y, ranks))[:wanted]
     marks = x[chosen].astype(np.float32)
     norms = np.sqrt(np.maximum(marks.sum(1), 1))
     value, vector = np.linalg.eigh(kernel(x[chosen], marks, norms).astype(np.float64))
@@ -86,25 +89,30 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> dict | None:
-    """Fit on a bounded sample of the labelled rows that aren't held out; only
-    their bit rows (2 KB each) come to the driver.  None without such rows."""
+    """Fit on a bounded sample of the labelled texts that aren't held out;
+    only their bit rows (2 KB each) come to the driver.  None without such
+    rows.  A text that stands in many rows of a language counts once."""
     rows = pick(docs, DOC).where("lang is not null and text is not null and doc_id is not null")
-    rows = rows.where(~is_held_out(F.col("doc_id")))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(IN_ALL).collect()
+    rows = rows.where(~is_held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("text").alias("text_hash"))
+    texts = rows.select("lang", "text_hash").distinct()
+    top = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(IN_ALL).collect()
     if not top:
         return None
     quota = min(PER_LANGUAGE, max(1, IN_ALL // len(top)))
     rate = rows.sparkSession.createDataFrame([(r.lang, min(1.0, quota / r["count"])) for r in top], "lang string, rate double")
-    taken = rows.join(F.broadcast(rate), "lang").where(
-        unit_hash(8, F.col("doc_id")) < F.col("rate")).select("doc_id", "text", "lang")
+    draw = unit_hash(8, F.col("text_hash"), F.col("lang"))
+    chosen = (texts.join(F.broadcast(rate), "lang").where(draw < F.col("rate"))
+              .orderBy(draw / F.col("rate"), "lang", "text_hash").limit(IN_ALL).select("lang", "text_hash"))
+    taken = (rows.join(F.broadcast(chosen), ["lang", "text_hash"]).groupBy("lang", "text_hash")
+             .agg(F.min("text").alias("text")).select("text_hash", "text", "lang"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, x in _small(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(
-                    [r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["doc_id", "lang", "bits"])
+                    [r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["text_hash", "lang", "bits"])
 
-    sample = taken.mapInArrow(bits, "doc_id long, lang string, bits binary").toPandas().sort_values(["lang", "doc_id"])
+    sample = taken.mapInArrow(bits, "text_hash long, lang string, bits binary").toPandas().sort_values(["lang", "text_hash"])
     if not len(sample):
         return None
     x = np.unpackbits(np.frombuffer(b"".join(sample.bits), np.uint8).reshape(len(sample), -1), axis=1)
@@ -115,7 +123,9 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """Language of every whole text: ``und`` with score 0 where the text is
     null or has no letter (or nothing could be learnt).  ``score`` is the
     softmax of the margins.  A null id isn't held out; rows with equal ids
-    are separate rows."""
+    are separate rows, equal rows get equal results; a text counts whole,
+    however long; an empty table gives none.  Columns are found by their
+    exact names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
 
