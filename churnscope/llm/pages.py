@@ -2,10 +2,12 @@
 
 Every page is parsed into elements; each subtree has a hash of its tags, class
 names and text.  Spark counts, for every host, in how many different articles'
-pages a subtree occurs; subtrees recurring across many of them are the site's
-template and are deleted, as are elements whose tag, role or class says that
-they are no part of the article.  Headings, paragraphs and the like inside an
-article are its own words and are never deleted for recurring.
+pages a subtree occurs; subtrees recurring across PAGES of them or more are the
+site's template and are deleted, however large the host is.  Where a page has
+no element that is its article, single blocks of text count as well, so menus,
+notices and copyright lines go without telling names; inside an article,
+headings, paragraphs and the like are its own words and stay.  Elements whose
+tag, role or class says that they are no part of the article go, too.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnscope.llm.shared import pick, read, small, written
+from churnscope.llm.shared import pick, read, written
 
-#: A subtree is template if it is on at least so many different articles'
-#: pages of its host, and on at least this share of them.
-PAGES, PART = 5, 0.25
+#: A subtree is template if it is on so many different articles' pages of its host.
+PAGES = 5
+#: So many template hashes at most are sent to all workers; more are joined by page.
+SENT = 200_000
+#: A template on more pages than this joins its pages by broadcast.
+HOT_PAGES = 5_000
 PAGE = {"page_id": "long", "url": "string", "html": "string"}
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -45,16 +50,22 @@ BARRIER = {"table", "ul", "ol", "dl", "article", "main", "section", "div", "body
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alert|nav|navbar|navigation|menu\w*|"
     r"breadcrumbs?|sidebars?|complementary|footer|masthead|contentinfo|header|topbar|comments?|respond|disqus|shar(?:e|ing)|social|"
-    r"related|newsletter|subscri\w+|popup|modal|overlay|paywall|skip|pagination|pager|widgets?|tags|byline|toolbar|search|login|signup)"
+    r"related|newsletter|subscri\w+|popup|modal|overlay|paywall|skip|pagination|pager|widgets?|tags|byline|toolbar|search|login|signup|"
+    r"links|repl(?:y|ies))"
     r"(?=$|[\s_-])", re.I)
 #: Names of an element's state ("has-sidebar"), which don't say what it is.
 STATES = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|is|not)[_-]\S*")
 #: Marks that an article's own parts may have, too; there only lists of links go by them.
-VAGUE = re.compile(r"alert|notices?|search|tags|related", re.I)
+VAGUE = re.compile(r"alert|notices?|search|tags|related|links", re.I)
 #: What is under these names is never the page's article.
-OTHERS = re.compile(r"\b(?:comments?|respond|disqus|related)\b", re.I)
+OTHERS = re.compile(r"\b(?:comments?|respond|disqus|related|repl(?:y|ies))\b|:hidden", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story)(?=$|[\s_-])")
-NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Names of a container that is the article and nothing else.
+ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)(?=$|[\s_-])")
+#: What an element that isn't shown gets among its names.
+HIDDEN = ":hidden"
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</[^a-zA-Z][^>]*>"""
                  r"""|</?[a-zA-Z][^>]*>|</?[a-zA-Z][^<>]*\Z""", re.S)
 SPACE = re.compile(r"\s+")
@@ -67,7 +78,7 @@ class Node:
         self.tag, self.names, self.kids, self.hash, self.words = tag, names, [], 0, 0
         own = tag not in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6")
         self.marked = tag not in DROPPED and (
-            tag in FORMS or own and bool(names and MARKS.search(STATES.sub("", names)))
+            HIDDEN in names or tag in FORMS or own and bool(names and MARKS.search(STATES.sub("", names)))
             or tag == "article" and bool(re.search(r"\bcomments?\b", STATES.sub("", names))))
         self.dropped = self.marked or tag in DROPPED
 
@@ -85,6 +96,19 @@ def _close(node: Node) -> None:
     node.hash = xxhash.xxh64_intdigest("\x00".join(p for p in parts if p)) - (1 << 63)
 
 
+def _names(attributes: str) -> str:
+    """Class, id and role of a start tag; ``HIDDEN`` if the element isn't shown."""
+    out = []
+    for name, *values in NAMES.findall(attributes):
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name in ("hidden", "style"):
+            if name == "hidden" and value.lower() != "until-found" or UNSEEN.search(value):
+                out.append(HIDDEN)
+        else:
+            out.append(value or name)
+    return " ".join(out)
+
+
 def parse(page: str) -> Node:
     """The page's element tree, subtree hashes set; tolerant of unclosed,
     misplaced and cut-off tags.  Character references are decoded."""
@@ -124,8 +148,7 @@ def parse(page: str) -> Node:
                 break
             if stack[k].tag in BARRIER:
                 break
-        names = " ".join((v or w or x or n) if n.lower() not in ("hidden", "aria-hidden") else "hidden" if n.lower() == "hidden" else ""
-                         for n, v, w, x in NAMES.findall(m[3])) if m[3] and m[3].strip("/ ") else ""
+        names = _names(m[3]) if m[3] and m[3].strip("/ ") else ""
         node = Node(tag, names.strip())
         stack[-1].kids.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
@@ -204,7 +227,7 @@ def _keep_article(root: Node) -> None:
     for node, article in marked:
         if article:
             names = STATES.sub("", node.names)
-            if node.tag not in FORMS and node.tag != "article" and not MARKS.search(VAGUE.sub("", names)) and 2 * _links(node) < node.words:
+            if HIDDEN not in node.names and node.tag not in FORMS and node.tag != "article" and not MARKS.search(VAGUE.sub("", names)) and 2 * _links(node) < node.words:
                 node.dropped = False
         elif 2 * (node.words - lost.get(id(node), 0)) > total and not OTHERS.search(node.names):
             if node.tag in FORMS or not clean or first and node in first:
@@ -231,9 +254,20 @@ def main_part(root: Node) -> Node:
     return best[min(best)] if best else root
 
 
+def is_article(main: Node) -> bool:
+    """Is the main part an element that holds an article, by tag or name?"""
+    return _rank(main) < 2 or bool(ARTICLE.search(main.names.lower()))
+
+
+def block_hash(text: str) -> int:
+    """Hash of a block of text, unlike any subtree's."""
+    return xxhash.xxh64_intdigest("\x01" + text) - (1 << 63)
+
+
 def candidates(root: Node, main: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: all with text outside the
-    main part, and containers inside it."""
+    """Hashes of what may be template: the subtrees with text outside of the
+    main part, the containers inside it, and, where the main part is no
+    article element, its blocks of text."""
     inside = {id(n) for n in _inside(main)}
     found = set()
     for node in _inside(root):
@@ -241,12 +275,13 @@ def candidates(root: Node, main: Node) -> set[int]:
             continue
         if id(node) not in inside or node.tag not in FLOW and node.tag not in ("article", "main"):
             found.add(node.hash)
+    if not is_article(main):
+        found.update(map(block_hash, texts_of(main, set())))
     return found
 
 
-def blocks_of(root: Node, template: set[int]) -> str:
+def texts_of(main: Node, template: set[int]) -> list[str]:
     """The main part's blocks of text, without dropped and template subtrees."""
-    main = main_part(root)
     inside_free = {id(n) for n in _inside(main) if n.tag in FLOW or n.tag in ("article", "main", "html", "body")}
     out, run = [], []
 
@@ -274,7 +309,16 @@ def blocks_of(root: Node, template: set[int]) -> str:
                 todo.append(None)
             todo.extend(reversed(node.kids))
     flush()
-    return "\n".join(out)
+    return out
+
+
+def blocks_of(root: Node, template: set[int]) -> str:
+    """The page's text: its main part's blocks, without the template's."""
+    main = main_part(root)
+    texts = texts_of(main, template)
+    if not is_article(main):
+        texts = [t for t in texts if block_hash(t) not in template]
+    return "\n".join(texts)
 
 
 def host_of(url):
@@ -282,31 +326,41 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """For every host with any, the hashes of its template subtrees.  Pages
-    with the same main part count once, so copies of an article don't make
-    its parts a template.  Counts combine before they are shuffled."""
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pick(pages, PAGE).select("page_id", "url", "html", host_of(F.col("url")).alias("host"),
+                                    F.xxhash64(F.coalesce("html", F.lit(""))).alias("html_hash"))
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """``host, html_hash, subtree, body`` of everything that may be template:
+    its hash and that of its page's main part (written)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, bodies = [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hosts, names, hashes, bodies = [], [], [], []
+            for host, name, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if not page:
                     continue
                 root = parse(page)
                 main = main_part(root)
-                found = candidates(root, main) | {0}  # 0 counts the host's articles
+                found = candidates(root, main)
                 hosts += [host] * len(found)
+                names += [name] * len(found)
                 hashes += found
                 bodies += [main.hash] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())],
-                                             ["host", "subtree", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (names, hashes, bodies))],
+                                             ["host", "html_hash", "subtree", "body"])
+
+    return written(_keyed(pages).select("host", "html_hash", "html").mapInArrow(
+        run, "host string, html_hash long, subtree long, body long"), "subtrees")
 
-    seen = (pick(pages, PAGE).select(host_of(F.col("url")).alias("host"), "html")
-            .mapInArrow(run, "host string, subtree long, body long").distinct())
-    counts = written(seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"n >= {PAGES}"), "subtrees")
-    total = counts.where("subtree = 0").select("host", F.col("n").alias("articles"))
-    return (counts.where("subtree <> 0").join(total, "host").where(F.col("n") >= F.col("articles") * PART)
-            .groupBy("host").agg(F.collect_set("subtree").alias("template")))  # at most 1 / PART of a page's elements
+
+def templates(seen: DataFrame) -> DataFrame:
+    """``host, subtree, articles`` of every template: in how many different
+    articles' pages of its host it occurs, PAGES or more (written).  Pages with
+    the same main part count once, so copies of an article don't make its parts
+    a template."""
+    return written(seen.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count("*").alias("articles"))
+                   .where(F.col("articles") >= PAGES), "templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -314,20 +368,43 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page, or one without an article's text, has text ''.
     Blocks are in page order, joined by one line feed; white space in a block
-    is one space.  Rows with equal ids are separate rows; a null url is a host
-    of its own."""
-    found = written(templates(pages), "templates")
+    is one space.  A page counts whole, however long or deeply nested.  Rows
+    with equal ids are separate rows, equal rows get equal texts; a null url is
+    a host of its own; an empty table gives none.  Columns are found by their
+    exact names."""
+    seen = subtrees(pages)
+    found = templates(seen)
+    n = found.count()
+    out = "page_id long, url string, text string, n_chars long"
+
+    def answer(batch: pa.RecordBatch, template: list[set[int]]) -> pa.RecordBatch:
+        texts = [blocks_of(parse(page), t) if page else "" for page, t in zip(batch.column(2).to_pylist(), template)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                                           pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    if n <= SENT:  # hashes only, so their number bounds their size
+        by_host: dict[int, set[int]] = {}
+        for r in found.select(F.xxhash64("host").alias("host"), "subtree").collect():
+            by_host.setdefault(r.host, set()).add(r.subtree)
+        sent = pages.sparkSession.sparkContext.broadcast(by_host)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield answer(batch, [sent.value.get(h, set()) for h in batch.column(3).to_pylist()])
+
+        return _keyed(pages).select("page_id", "url", "html", F.xxhash64("host").alias("host")).mapInArrow(run, out)
+
+    # Each page gets the templates on it, no others.
+    hot = F.broadcast(found.where(F.col("articles") > HOT_PAGES).select("host", "subtree"))
+    rare = found.where(F.col("articles") <= HOT_PAGES).select("host", "subtree")
+    own = seen.join(hot, ["host", "subtree"]).unionByName(seen.join(hot, ["host", "subtree"], "left_anti").join(rare, ["host", "subtree"]))
+    own = own.groupBy("host", "html_hash").agg(F.collect_set("subtree").alias("template"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [blocks_of(parse(page), set(t or ())) if page else ""
-                     for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                                              pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    rows = pick(pages, PAGE).withColumn("host", host_of(F.col("url")))
-    rows = rows.join(small(found, found.count(), 20_000), "host", "left").select("page_id", "url", "html", "template")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            yield answer(batch, [set(t or ()) for t in batch.column(3).to_pylist()])
+
+    return (_keyed(pages).join(own, ["host", "html_hash"], "left").select("page_id", "url", "html", "template").mapInArrow(run, out))
 
 
 def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
