@@ -247,14 +247,68 @@ def test_pages_give_the_article_only(spark):
 
 
 def test_site_template_goes_and_article_lines_stay(spark):
-    page = "<html><body><div><b>{0}</b></div><div><p>Story {1} of the day.</p><p>Same line everywhere.</p></div><div>Our shop sells hats</div></body></html>"
-    rows = [(i, f"http://h.x/{i}", page.format("Welcome to h", i)) for i in range(12)]
+    page = "<html><body><div><b>{0}</b></div><div>{2}<p>Story {1} of the day.</p><p>Same line everywhere.</p>{3}</div><div>Our shop sells hats</div></body></html>"
+    schema = "page_id long, url string, html string"
+    rows = [(i, f"http://h.x/{i}", page.format("Welcome to h", i, "<article>", "</article>")) for i in range(12)]
+    # Without an article element, a recurring line is the site's.
+    rows += [(i, f"http://g.x/{i}", page.format("Welcome to g", i, "", "")) for i in range(20, 32)]
     rows += [(50, None, None), (51, "http://h.x/e", ""), (52, "http://z.y/", "<main><p>a<br>b &amp; c<p class='ad'>x</p><ul><li>1<li>2</ul>"),
              (53, "bad url", "plain < text"), (53, "bad url", "<article>A<article class='comment'>B</article></article><script>'</p>'</script")]
-    out = {(r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    out = {(r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, schema)).collect()}
     assert {(i, f"Story {i} of the day.\nSame line everywhere.") for i in range(12)} <= out
+    assert {(i, f"Story {i} of the day.") for i in range(20, 32)} <= out
     assert {(50, ""), (51, ""), (52, "a b & c\n1\n2"), (53, "plain < text"), (53, "A")} <= out
-    assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert pages.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def generated_sites():
+    """Sites without telling names, several designs each, and their articles."""
+    rows, want = [], {}
+    for site, (open_, close) in enumerate((("<div class='x1'>", "</div>"), ("<table><tr><td>", "</td></tr></table>"), ("<article>", "</article>"), ("", ""))):
+        for i in range(60):
+            design = i % 6  # each design is on ten pages of the host, a sixth of them
+            menu = "".join(f"<td><a href='/{k}'>Topic {k} of design {design}</a></td>" for k in range(4))
+            body = [f"Article {i} of site {site} tells this.", f"It goes on with part {i * i}.", f"And ends at {i + 7}."]
+            phrase = "<p>As every week.</p>" if open_ == "<article>" else ""
+            html = (f"<body><table><tr>{menu}</tr></table><p>Notice {design}: we moved.</p>{open_}<h1>{body[0]}</h1><p>{body[1]}</p>{phrase}"
+                    f"<p>{body[2]}</p>{close}<div><p>Copyright {site} by the firm.</p><span>Call us now.</span></div></body>")
+            rows.append((1000 * site + i, f"https://s{site}.example/{i}", html))
+            want[1000 * site + i] = "\n".join([*body[:2], *(["As every week."] if phrase else []), body[2]])
+    return rows, want
+
+
+@pytest.mark.parametrize("sent", [10 ** 6, 0])
+def test_menus_notices_and_copyright_go_without_names(spark, monkeypatch, sent):
+    monkeypatch.setattr(pages, "SENT", sent)
+    monkeypatch.setattr(pages, "HOT_PAGES", 20)
+    rows, want = generated_sites()
+    out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r.page_id: r.text for r in out} == want
+
+
+def test_template_counts_against_brute_force(spark):
+    rows, _ = generated_sites()
+    rows += [(9000 + k, "https://s0.example/copy", rows[3][2]) for k in range(9)]  # copies of one article count once
+    count = defaultdict(set)
+    for _, url, html in rows:
+        root = pages.parse(html)
+        main = pages.main_part(root)
+        for h in pages.candidates(root, main):
+            count[(url.split("/")[2], h)].add(main.hash)
+    want = {k: len(v) for k, v in count.items() if len(v) >= pages.PAGES}
+    found = pages.templates(pages.subtrees(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert {(r.host, r.subtree): r.articles for r in found} == want and len(want) > 30
+
+
+def test_what_is_not_shown_and_replies_go_long_and_deep_pages_stay_whole(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    cases = ["<article><p>a</p><div hidden>x</div><p style='color:red; display: none'>y</p><div class='links'><a>m</a> <a>n</a></div></article>",
+             "<body><p>a</p><section class='reader-replies'><p>I think so too, at great length, much longer.</p></section></body>",
+             f"<article>{deep}</article>", "<article>" + "<p>long text</p>" * 20000 + "</article>"]
+    schema = "page_id long, url string, html string, Html string, HTML string, text int"
+    rows = [(i, f"http://q{i}.x/", c, "clash", "clash", 1) for i, c in enumerate(cases)]
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {0: "a", 1: "a", 2: "deep", 3: "\n".join(["long text"] * 20000)}
 
 
 def test_names_of_wrappers_and_article_parts_drop_no_article(spark):
