@@ -5,13 +5,16 @@ index lists, for every term, the positions at which it stands; the segments
 are a written table.  A search takes each test phrase's terms from the rarest
 in the segment on, and intersects their position lists, each moved back by the
 term's offset in the phrase.  The test phrases are sent in blocks of bounded
-size; every segment meets every block, so no rows are shuffled.
+size, a bounded number of blocks at a time; every segment meets every block,
+so no texts are shuffled.  Phrases are matched exactly, or by proximity: every
+term within a few words of its place.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,10 @@ WINDOW = 13
 SHARE = 20
 #: Words of test phrases in one block.
 BLOCK_WORDS = 200_000
+#: Blocks searched together; further ones wait until these are released.
+PASS_BLOCKS = 16
+#: Words that a term may stand off its place in a proximity match.
+NEAR = 2
 
 INDEX = "doc_ids array<bigint>, text_hashes array<bigint>, lengths binary, terms binary, counts binary, gaps binary"
 HITS = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
@@ -99,7 +106,8 @@ def matches(terms: np.ndarray, counts: np.ndarray, at: np.ndarray, size: int, bl
             slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Start position and phrase number of every occurrence in a segment.
 
-    With ``slop`` a term may stand up to so many positions from its place."""
+    With ``slop`` every term may stand up to so many positions from its place;
+    each start at which all of them do counts once."""
     lens = np.array([len(p) for p in block["phrases"]], np.int64)
     flat = np.concatenate(block["phrases"])
     head = np.cumsum(lens) - lens
@@ -123,9 +131,20 @@ def matches(terms: np.ndarray, counts: np.ndarray, at: np.ndarray, size: int, bl
         n = count[pick_]
         phrase = np.repeat(np.arange(len(mine)), n)
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        begin = at[np.repeat(post[own[pick_]], n) + within] - np.repeat(rarest[:, 0], n)
-        ok = (begin >= 0) & (begin + length <= size)
+        stand = at[np.repeat(post[own[pick_]], n) + within]
+        begin = stand - np.repeat(rarest[:, 0], n)
+        if slop:  # the rarest term may be off its place, too; a start found twice is one
+            moves = np.arange(-slop, slop + 1)
+            stand, phrase = np.repeat(stand, len(moves)), np.repeat(phrase, len(moves))
+            begin = np.repeat(begin, len(moves)) + np.tile(moves, len(begin))
+        # A window starts in its document; by proximity its end may lie past the document's.
+        ok = (begin >= 0) & (begin + (1 if slop else length) <= size)
+        begin, phrase, stand = begin[ok], phrase[ok], stand[ok]
+        ok = (doc_at[begin] == doc_at[stand]) & (term_at[begin] >= 0)
         begin, phrase = begin[ok], phrase[ok]
+        if slop and len(begin):
+            pair = np.unique(np.stack([phrase, begin], 1), axis=0)
+            phrase, begin = pair[:, 0], pair[:, 1]
         for k in range(1, length):
             off = rarest[phrase, k]
             want = own[grid[phrase, off]]
@@ -142,6 +161,67 @@ def matches(terms: np.ndarray, counts: np.ndarray, at: np.ndarray, size: int, bl
     return np.concatenate(starts), np.concatenate(whose)
 
 
+def _found(seg: dict, sent: list, slop: int) -> tuple[np.ndarray, np.ndarray, dict[int, set]]:
+    """What a segment's documents hold of the phrases in some blocks: their
+    lengths, their hit spans (document, first word, words) and their items."""
+    lens = np.frombuffer(seg["lengths"], np.int32).astype(np.int64)
+    terms, counts = np.frombuffer(seg["terms"], np.uint64), np.frombuffer(seg["counts"], np.int32)
+    gaps = np.frombuffer(seg["gaps"], np.int32).astype(np.int64)
+    first = np.cumsum(counts.astype(np.int64)) - counts
+    run = np.cumsum(gaps)
+    at = run - np.repeat((run[first] - gaps[first]) if len(first) else run[:0], counts)
+    size = int(lens.sum()) + len(lens)
+    head = np.cumsum(lens + 1) - (lens + 1)
+    edge, items_of = np.zeros(size + 1, np.int64), {}
+    for block in sent:
+        begin, phrase = matches(terms, counts, at, size, block, slop)
+        length = np.array([len(block["phrases"][p]) for p in phrase], np.int64)
+        doc = np.searchsorted(head, begin, "right") - 1
+        stop = np.minimum(begin + length, head[doc] + lens[doc]) if len(doc) else begin
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, stop, -1)
+        for d, p in set(zip(doc.tolist(), phrase.tolist())):
+            items_of.setdefault(d, set()).update(block["items"][p])
+    hit = (np.cumsum(edge)[:size] > 0).astype(np.int64)
+    turn = np.diff(np.r_[0, hit, 0])
+    span_first, span_end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    span_doc = np.searchsorted(head, span_first, "right") - 1
+    spans = np.stack([span_doc, span_first - head[span_doc], span_end - span_first], 1) if len(span_doc) else np.zeros((0, 3), np.int64)
+    return lens, spans, items_of
+
+
+def _rows(seg: dict, lens: np.ndarray, spans: np.ndarray, items_of: dict[int, set]) -> list[dict]:
+    """The result rows of a segment's documents."""
+    out = []
+    cut = np.searchsorted(spans[:, 0], np.arange(len(lens) + 1))
+    for d, (doc_id, text_hash) in enumerate(zip(seg["doc_ids"], seg["text_hashes"])):
+        mine = spans[cut[d]:cut[d + 1]]
+        n, n_hit = int(lens[d]), int(mine[:, 2].sum())
+        own = sorted(items_of.get(d, ()))
+        out.append({"doc_id": doc_id, "n_words": n, "n_hit": n_hit, "n_items": len(own),
+                    "items_sha256": hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest(),
+                    "contaminated": n_hit > 0 and SHARE * n_hit >= n, "items": own,
+                    "spans": [{"first": f, "words": w} for f, w in mine[:, 1:].tolist()], "text_hash": text_hash})
+    return out
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The union of spans (document, first word, words), by document and place."""
+    spans = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+    out: list[list[int]] = []
+    for d, first, words_ in spans[np.lexsort((spans[:, 1], spans[:, 0]))].tolist():
+        if out and out[-1][0] == d and first <= out[-1][1] + out[-1][2]:
+            out[-1][2] = max(out[-1][2], first + words_ - out[-1][1])
+        else:
+            out.append([d, first, words_])
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
+                    ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.int64())),
+                    ("spans", pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), ("text_hash", pa.int64())])
+
+
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0,
            block_words: int = BLOCK_WORDS, keyed: bool = False) -> DataFrame:
     """Per document: its words, the words inside any occurrence of a window,
@@ -151,58 +231,63 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     An item of fewer words than ``window`` is one window; an item without
     words or with null text has none; an item with a null id hits but is not
     listed.  Equal ids count once.  Rows with equal ``doc_id`` are separate
-    rows.  With ``slop`` > 0 the matches are by proximity: each term within so
-    many words of its place.  With ``keyed`` there is the text's hash, too."""
-    sent = [index.sparkSession.sparkContext.broadcast(b) for b in phrase_blocks(items, window, block_words)]
-
-    def one(seg: dict) -> list[dict]:
-        lens = np.frombuffer(seg["lengths"], np.int32).astype(np.int64)
-        terms, counts = np.frombuffer(seg["terms"], np.uint64), np.frombuffer(seg["counts"], np.int32)
-        gaps = np.frombuffer(seg["gaps"], np.int32).astype(np.int64)
-        first = np.cumsum(counts.astype(np.int64)) - counts
-        run = np.cumsum(gaps)
-        at = run - np.repeat((run[first] - gaps[first]) if len(first) else run[:0], counts)
-        size = int(lens.sum()) + len(lens)
-        head = np.cumsum(lens + 1) - (lens + 1)
-        edge, items_of = np.zeros(size + 1, np.int64), {}
-        for b in sent:
-            block = b.value
-            begin, phrase = matches(terms, counts, at, size, block, slop)
-            length = np.array([len(block["phrases"][p]) for p in phrase], np.int64)
-            doc = np.searchsorted(head, begin, "right") - 1
-            stop = np.minimum(begin + length, head[doc] + lens[doc]) if len(doc) else begin
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, stop, -1)
-            for d, p in set(zip(doc.tolist(), phrase.tolist())):
-                items_of.setdefault(d, set()).update(block["items"][p])
-        hit = (np.cumsum(edge)[:size] > 0).astype(np.int64)
-        total = np.r_[0, np.cumsum(hit)]
-        turn = np.diff(np.r_[0, hit, 0])
-        span_first, span_end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        span_doc = np.searchsorted(head, span_first, "right") - 1
-        out = []
-        for d, (doc_id, text_hash) in enumerate(zip(seg["doc_ids"], seg["text_hashes"])):
-            n, n_hit = int(lens[d]), int(total[head[d] + lens[d]] - total[head[d]])
-            own = sorted(items_of.get(d, ()))
-            text = ",".join(sorted(map(str, own)))
-            spans = [{"first": int(span_first[s] - head[d]), "words": int(span_end[s] - span_first[s])}
-                     for s in range(*np.searchsorted(span_doc, [d, d + 1]))] if n_hit else []
-            out.append({"doc_id": doc_id, "n_words": n, "n_hit": n_hit, "n_items": len(own),
-                        "items_sha256": hashlib.sha256(text.encode()).hexdigest(),
-                        "contaminated": n_hit > 0 and SHARE * n_hit >= n, "items": own, "spans": spans,
-                        "text_hash": text_hash})
-        return out
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
-                        ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.int64())),
-                        ("spans", pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), ("text_hash", pa.int64())])
+    rows, equal rows get equal results; null and empty texts have no words.
+    An empty table gives no rows, no items give no hits.  With ``slop`` > 0
+    the matches are by proximity: each term within so many words of its place
+    (a window then reaches from its first place over as many words as it has).
+    With ``keyed`` there is the text's hash, too.
+
+    Up to ``PASS_BLOCKS`` blocks of items are on the driver and the workers at
+    a time.  Where there are more, each pass writes what it found, a row for
+    every segment with hits, and the passes' spans are united per segment."""
+    sc = index.sparkSession.sparkContext
+    stream = phrase_blocks(items, window, block_words)
+    found, sent = None, list(islice(stream, PASS_BLOCKS))
+    following = list(islice(stream, PASS_BLOCKS))
+    if following:
+        seg_key = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")]
+        while sent:
+            shared = sc.broadcast(sent)
+
+            def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for k in range(batch.num_rows):
+                        seg = batch.slice(k, 1).to_pylist()[0]
+                        _, spans, items_of = _found(seg, shared.value, slop)
+                        if len(spans):
+                            own = np.array([(d, i) for d, s in items_of.items() for i in s], np.int64)
+                            yield pa.RecordBatch.from_pylist([{"file": seg["file"], "place": seg["place"], "spans": spans.tobytes(),
+                                                               "own": own.tobytes()}], pa.schema(
+                                [("file", pa.string()), ("place", pa.int64()), ("spans", pa.binary()), ("own", pa.binary())]))
+
+            hits = written(index.select("*", *seg_key).mapInArrow(part, "file string, place long, spans binary, own binary"), "hits")
+            found = found.unionByName(hits) if found else hits
+            shared.destroy()
+            sent, following = following, list(islice(stream, PASS_BLOCKS))
+        per_segment = found.groupBy("file", "place").agg(F.collect_list("spans").alias("parts"), F.collect_list("own").alias("owns"))
+        whole = index.select("*", *seg_key).join(per_segment, ["file", "place"], "left").drop("file", "place")
+
+        def unite(seg: dict) -> list[dict]:
+            spans = _joined([np.frombuffer(p, np.int64).reshape(-1, 3) for p in seg["parts"] or ()])
+            items_of: dict[int, set] = {}
+            for own in seg["owns"] or ():
+                for d, i in np.frombuffer(own, np.int64).reshape(-1, 2).tolist():
+                    items_of.setdefault(d, set()).add(i)
+            return _rows(seg, np.frombuffer(seg["lengths"], np.int32).astype(np.int64), spans, items_of)
+
+        rows = unite
+    else:
+        whole, shared = index, sc.broadcast(sent)
+
+        def rows(seg: dict) -> list[dict]:
+            return _rows(seg, *_found(seg, shared.value, slop))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist(one(batch.slice(k, 1).to_pylist()[0]), schema)
+                yield pa.RecordBatch.from_pylist(rows(batch.slice(k, 1).to_pylist()[0]), SCHEMA)
 
-    hits = index.mapInArrow(run, HITS)
+    hits = whole.mapInArrow(run, HITS)
     return hits if keyed else hits.drop("text_hash")
 
 
@@ -218,6 +303,14 @@ def clean(docs: DataFrame, items: DataFrame, columns: dict[str, str]) -> DataFra
     return rows.join(known, same, "left_anti").select(*columns)
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in the documents with every word within ``NEAR`` words
+    of its place: what small insertions, swaps and losses hide from phrases."""
+    near = search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), slop=NEAR)
+    return near.select("doc_id", "n_words", F.col("n_hit").alias("n_near"), F.col("n_items").alias("n_near_items"),
+                       F.col("items").alias("near_items"), F.col("spans").alias("near_spans"))
+
+
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
     return hits.drop("items", "spans")
