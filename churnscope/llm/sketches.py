@@ -21,6 +21,8 @@ PARAGRAPH = r"[^\n]{120,}?[.!?](?=\s)|[^\n]+"
 PEEL_ROUNDS = 12
 #: Digests of both sides for which one larger sketch is meant.
 LOAD = 10
+#: More differences than this are too many for the 24 cells of a fingerprint.
+HOPELESS = 22
 
 
 def paragraphs(text: Column) -> Column:
@@ -40,11 +42,15 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs(text), one))
 
 
+#: Where the three cell numbers of a digest stand in it.
+THIRDS = "array(16, 19, 22)"
+
+
 def sketch(keys: str) -> str:
     """SQL for the 24 cells of the digests in ``keys``; side bit 1 counts -1."""
-    return f"""transform(sequence(0, 23), i -> aggregate({keys}, named_struct('c', 0L, 'x', 0L), (a, k) ->
-        if((shiftrightunsigned(k, 16 + 3 * (i div 8)) & 7) = i % 8,
-           named_struct('c', a.c + 1 - 2 * (k & 1), 'x', a.x ^ (k & -2L)), a)))"""
+    return f"""flatten(transform({THIRDS}, s -> transform(sequence(0, 7), n -> transform(
+        array(filter({keys}, k -> (shiftrightunsigned(k, s) & 7) = n)), m -> named_struct(
+        'c', aggregate(m, 0L, (a, k) -> a + 1 - 2 * (k & 1)), 'x', aggregate(m, 0L, (a, k) -> a ^ (k & -2L))))[0])))"""
 
 
 def peeled(cells: str) -> str:
@@ -53,9 +59,9 @@ def peeled(cells: str) -> str:
         if((z.c = 1 or z.c = -1) and (z.x & 65535) = (shiftrightunsigned(xxhash64(z.x & -65536L), 48) & 65534)
            and (shiftrightunsigned(z.x, cast(16 + 3 * (i div 8) as int)) & 7) = i % 8,
            z.x | if(z.c = -1, 1L, 0L), null)), y -> y is not null)"""
-    step = """named_struct('cells', transform(s.cells, (z, i) -> aggregate(f, z, (a, k) ->
-        if((shiftrightunsigned(k, cast(16 + 3 * (i div 8) as int)) & 7) = i % 8,
-           named_struct('c', a.c - 1 + 2 * (k & 1), 'x', a.x ^ (k & -2L)), a))),
+    step = """named_struct('cells', if(size(f) = 0, s.cells, transform(s.cells, (z, i) -> aggregate(
+        filter(f, k -> (shiftrightunsigned(k, cast(16 + 3 * (i div 8) as int)) & 7) = i % 8), z, (a, k) ->
+           named_struct('c', a.c - 1 + 2 * (k & 1), 'x', a.x ^ (k & -2L))))),
         'found', concat(s.found, f), 'go', size(f) > 0)"""
     return f"""aggregate(sequence(1, {PEEL_ROUNDS}),
         named_struct('cells', {cells}, 'found', cast(array() as array<bigint>), 'go', true),
@@ -81,13 +87,17 @@ def differences(pairs: DataFrame) -> DataFrame:
 
     ``pairs`` has ``id``, ``a`` and ``b`` (digest sets).  Returns ``id``,
     ``only_a`` and ``only_b`` counts.  The first try subtracts the 24-cell
-    fingerprints; a pair whose peeling fails is tried again with as many
-    sketches as its digests need, a sketch that fails with four in its place,
-    until none is left.  Each try is a written table of what failed before."""
+    fingerprints; a pair whose peeling fails (or must fail, as its sets' sizes
+    alone differ by nearly as much as there are cells) is tried again with as
+    many sketches as its digests need, a sketch that fails with four in its
+    place, until none is left.  Each try is a written table of what failed
+    before."""
     merged = "array_sort(concat(a, transform(b, k -> k | 1L)))"
+    hopeless = f"abs(size(a) - size(b)) > {HOPELESS}"
+    # Cells that can't be peeled stand for a failure without being made.
     first = pairs.select("id", F.expr(merged).alias("keys"),
-                         F.expr(f"zip_with({sketch('a')}, {sketch('b')}, (p, q) -> "
-                                "named_struct('c', p.c - q.c, 'x', p.x ^ q.x))").alias("cells"))
+                         F.expr(f"if({hopeless}, array(named_struct('c', 2L, 'x', 0L)), zip_with({sketch('a')}, {sketch('b')}, (p, q) -> "
+                                "named_struct('c', p.c - q.c, 'x', p.x ^ q.x)))").alias("cells"))
     tried = written(_tried(first, "cells").select("id", "found", "ok", F.when(~F.col("ok"), F.col("keys")).alias("keys")),
                     "peel")
     count = [F.expr("sum(size(filter(found, k -> k & 1 = 0)))").alias("only_a"),
@@ -120,27 +130,39 @@ def printed(cells: Column) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row with the text that follows in descending id (after the last:
-    the first), without a global window.  Ids are dealt to ranges by their
-    quantiles; the first row of a range is also sent to the end of the range
-    before it, so that one shuffle gives every row its successor.  Equal ids
-    follow each other by text hash; a null id comes last."""
+    the first), without a global window.
+
+    Ids are dealt to ranges by their quantiles; an id with many rows has a
+    range of its own, parted by text hash into as many as it needs.  A copy of
+    the first row of each range goes to the end of the range before it, so
+    that one shuffle gives every row its successor.  Equal ids follow each
+    other by text hash; a null id comes last.  Rows equal in id and text stay
+    in one range."""
     df = pick(docs, {"doc_id": "long", "text": "string"}).select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("doc_id", F.lit(TOPMOST)).alias("ord"))
+        F.coalesce("doc_id", F.lit(TOPMOST)).alias("ord")).withColumn("hash", F.xxhash64("text"))
     n = min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx("ord", [i / n for i in range(1, n)], 10 * n)).first()[0]
-    part = below(sorted(set(cuts or [])), F.col("ord"))
-    heads = {r.part: r.top for r in df.groupBy(part.alias("part")).agg(F.max("ord").alias("top")).collect()}
-    order = sorted(heads)
-    before = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}  # the range above; of the last, the lowest
-    above = F.create_map(*[F.lit(v) for kv in before.items() for v in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    here = F.struct(F.col("part"), F.lit(0).alias("ghost"))
-    there = F.struct(above[F.col("part")].alias("part"), F.lit(1).alias("ghost"))
-    placed = (df.withColumn("part", part)
-              .withColumn("at", F.explode(F.when(F.col("ord").isin(list(heads.values())), F.array(here, there))
-                                          .otherwise(F.array(here))))
-              .select("doc_id", "text", "ord", "at.part", "at.ghost"))
-    win = Window.partitionBy("part").orderBy("ghost", F.desc("ord"), F.xxhash64("text"))
+    cuts, total = df.agg(F.percentile_approx("ord", [i / n for i in range(1, n)], 10 * n), F.count("*")).first()
+    # Fewer than n ids have this many rows.
+    many = {r.ord: r["count"] for r in df.groupBy("ord").count().where(F.col("count") > F.lit(max(2, 2 * total // n))).collect()}
+    bounds = sorted({*(cuts or []), *many, *(h - 1 for h in many if h > TOPMOST)})
+    pieces = {h: -(-c * n // total) for h, c in many.items()}
+    share = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(TOPMOST)), 32) / F.lit(float(1 << 32))
+    by_id = F.create_map(*[F.lit(v).cast("long") for kv in pieces.items() for v in kv]) if pieces else None
+    piece = F.coalesce(F.floor(share * F.try_element_at(by_id, F.col("ord"))), F.lit(0)) if pieces else F.lit(0)
+    ranged = df.withColumns({"part": below(bounds, F.col("ord")).cast("int"), "piece": piece.cast("int")})
+    # The first row of each range, in descending id and ascending text hash.
+    heads = ranged.groupBy("part", "piece").agg(F.min_by(F.struct("ord", "hash"), F.struct(F.bitwise_not("ord"), "hash")).alias("head")).collect()
+    order = sorted((-r.part, r.piece) for r in heads)
+    before = {b: order[i - 1] for i, b in enumerate(order)}  # of the first range: the last
+    sent = df.sparkSession.createDataFrame(
+        [(-before[-r.part, r.piece][0], before[-r.part, r.piece][1], r.head.ord, r.head.hash) for r in heads],
+        "part int, piece int, ord long, hash long")
+    ghosts = (df.join(F.broadcast(sent), ["ord", "hash"]).groupBy("part", "piece").agg(F.any_value("text").alias("text"))
+              .select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("ord"), F.lit(0).cast("long").alias("hash"),
+                      "part", "piece", F.lit(1).alias("ghost")))
+    placed = ranged.select("doc_id", "text", "ord", "hash", "part", "piece", F.lit(0).alias("ghost")).unionByName(ghosts)
+    win = Window.partitionBy("part", "piece").orderBy("ghost", F.desc("ord"), "hash")
     return placed.withColumn("next", F.lead("text").over(win)).where("ghost = 0").select("doc_id", "text", "next")
 
 
