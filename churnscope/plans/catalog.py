@@ -25,7 +25,7 @@ from churnscope.operators import (charts, cohorts, date_formats, filters, forest
 from churnscope.plans import oracle as O
 from churnscope.roles import FEATURES, ROLES
 from churnscope.session import checkpoint_dir
-from churnscope.sources import models, quarantine, search_index
+from churnscope.sources import export, models, quarantine, registry, search_index
 from churnscope.sources.files import impute_mean, infer_types
 from churnscope.sources.subscriptions import subscriptions
 from churnscope.sources.tables import read_table, table_path
@@ -420,6 +420,26 @@ def q_kpis(spark, sf_dir):
     return kpi_row(spark, sf_dir)
 
 
+@register("registered_kpis", O.with_base(KPI_SQL_BODY, KPI_CTE))
+def q_registered_kpis(spark, sf_dir):
+    """The KPIs of a dataset that was uploaded twice: the second upload, derived
+    from the first one, is the owner's current dataset."""
+    owner = f"kpis-{uuid.uuid4().hex}"
+    first = registry.register_dataset(spark, cleaned(spark, sf_dir).withColumn("MonthlyRevenue", F.col("MonthlyRevenue") * 2), owner=owner)
+    registry.register_dataset(spark, first.withColumn("MonthlyRevenue", F.col("MonthlyRevenue") / 2), owner=owner, by_status=True)
+    return kpis.kpis(registry.get_dataset(spark, owner=owner))
+
+
+@register("exported_plans", O.with_base(
+    f"SELECT PlanType AS label, {O.exact_sum('MonthlyRevenue')} AS revenue, CAST(COUNT(*) AS BIGINT) AS users "
+    "FROM clean WHERE PlanType IS NOT NULL GROUP BY PlanType"))
+def q_exported_plans(spark, sf_dir):
+    """The plan chart's records as a client reads them from the exported JSON."""
+    path = export.export(charts.plan_distribution(cleaned(spark, sf_dir)),
+                         os.path.join(checkpoint_dir(spark), "exports", uuid.uuid4().hex), single_file=True)
+    return spark.read.schema("label string, revenue double, users bigint").json(path)
+
+
 @register("plan_distribution", O.with_base(
     f"SELECT PlanType AS label, {O.exact_sum('MonthlyRevenue')} AS revenue, "
     "CAST(COUNT(*) AS BIGINT) AS users FROM clean WHERE PlanType IS NOT NULL "

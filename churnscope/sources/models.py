@@ -30,7 +30,7 @@ def model_path(spark: SparkSession, name: str) -> str:
 
 def save_model(model: ChurnModel, path: str) -> str:
     spark = model.plans.sparkSession
-    version = new_version(path)
+    version = new_version(spark, path)
     model.plans.write.parquet(os.path.join(version, "plans"))
     native = isinstance(model.forest, Forest)
     if native:

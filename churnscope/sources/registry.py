@@ -35,7 +35,7 @@ def register_dataset(spark: SparkSession, df: DataFrame, name: str = "current",
     then read only their class's files.
     """
     path = dataset_path(spark, name, owner)
-    version = new_version(path)
+    version = new_version(spark, path)
     if by_status:
         df.withColumn(STATUS_CLASS, status_class("Status")).write.partitionBy(STATUS_CLASS).parquet(version)
     else:

@@ -87,7 +87,7 @@ def required_text(term: str, literal: bool) -> list[str]:
 def write_indexed(df: DataFrame, path: str, column: str = "CustomerID", block_rows: int = BLOCK_ROWS) -> None:
     """Write a dataset in the order of its IDs with the postings of its blocks."""
     spark = df.sparkSession
-    version = new_version(path)
+    version = new_version(spark, path)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     rows = numbered(df, [F.col(f"`{column}`").asc_nulls_first(), spread], "_nth")
     rows = rows.withColumn(_BLOCK, F.floor((F.col("_nth") - 1) / F.lit(block_rows)))

@@ -224,3 +224,22 @@ def test_reserved_status_class_column_is_refused(spark):
     assert filters.active_filter(preprocess.preprocess(df)).count() == 1
     with pytest.raises(preprocess.MappingError, match="reserved"):
         preprocess.preprocess(df.withColumnRenamed("status_class", STATUS_CLASS))
+
+
+def test_versions_are_numbered_and_vacuumed(spark, tmp_dir):
+    from churnscope.sources import versions
+
+    path = tmp_dir + "/store"
+    assert versions.vacuum(spark, path) == [] and versions.current(spark, path) is None
+    for i in range(4):
+        v = versions.new_version(spark, path)
+        spark.range(i + 1).write.parquet(v)
+        if i != 1:  # one write was never announced
+            versions.announce(spark, path, v)
+    names = versions.versions(spark, path)
+    assert [int(n[1:21]) for n in names] == [1, 2, 3] and spark.read.parquet(versions.current(spark, path)).count() == 4
+    running = versions.new_version(spark, path)
+    spark.range(9).write.parquet(running)
+    gone = versions.vacuum(spark, path, keep=1)
+    assert len(gone) == 3 and set(names[:2]) <= set(gone)
+    assert spark.read.parquet(versions.current(spark, path)).count() == 4 and spark.read.parquet(running).count() == 9
