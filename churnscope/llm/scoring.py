@@ -1,12 +1,15 @@
 """Masked pseudo-likelihood scores (operator 4).
 
-A window network predicts every word from the two words on either side.  Words
-fall into classes: the frequent ones are classes of their own, the others share
-64 classes by length and last byte; a word's probability is its class's, from
-the network, times its share of the class in the whole corpus.  The corpus
-counts and the training tokens (a fixed share of all positions, masked) come
-from every document; partitions train in numpy from the same start and Spark
-averages their parameters, weighted by tokens.
+A window network predicts every word from the two words on either side.  The
+960 most frequent words are classes of their own, the others share 64 classes
+by length and last byte; classes stand in groups, and the network gives the
+probability of the group and of the class in its group.  A word's probability
+is its class's times its share of the class in the whole corpus.  The corpus
+counts come from every document; in training every position is masked and
+predicted once, spread over the rounds by a hash of the word and its place in
+its text.  Partitions train in numpy from the same start and Spark averages
+their parameters, weighted by tokens, so the parameters (not the counts, the
+classes or the masks) depend on how the table is partitioned.
 """
 
 from __future__ import annotations
@@ -17,67 +20,96 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnscope.llm.shared import pick, read
+from churnscope.llm.shared import pick, read, written
 from churnscope.llm.tokens import LOWER, blocks, mix64, word_hashes, word_spans
 
-BUCKETS = 1 << 18
-FREQUENT, RARE, SIDE, HIDDEN = 192, 64, 2, 24
-CLASSES = FREQUENT + RARE
-#: One position in so many is masked and predicted in a training round.
-MASKED = 16
+GROUPS, EACH, RARE = 32, 32, 64
+CLASSES = GROUPS * EACH
+FREQUENT = CLASSES - RARE
+SIDE, HIDDEN = 2, 24
+#: Buckets of rare words' shares: twice the different words, between these powers of two.
+LEAST_BITS, MOST_BITS = 18, 22
+#: Every position is masked and predicted in one of the rounds.
 ROUNDS, BATCH, RATE = 2, 512, 0.3
-SHAPES = ((2 * SIDE * (CLASSES + 1), HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+SHAPES = ((2 * SIDE * (CLASSES + 1), HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, EACH), (GROUPS, EACH))
 DOC = {"doc_id": "long", "text": "string"}
+#: Different words of a task that are counted before they are passed on.
+FLUSH = 1 << 20
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, count bucket, rare class and row of every word."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, rare class and row of every word."""
     starts, ends, rows = word_spans(data, offsets)
     h = word_hashes(data, starts, ends)
     shape = np.minimum(ends - starts, 8) * 256 + (LOWER[data[ends - 1]] if len(ends) else 0)
-    rare = FREQUENT + (mix64(np.asarray(shape, np.uint64)) % np.uint64(RARE)).astype(np.int64)
-    return h, ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), rare, rows
+    return h, FREQUENT + (mix64(np.asarray(shape, np.uint64)) % np.uint64(RARE)).astype(np.int64), rows
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """Corpus-wide count of each (bucket, rare class), summed before and after the shuffle."""
+    """Corpus-wide count of each word (its hash, and its rare class), summed
+    before and after the shuffle (written)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, rares, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rares), pa.array(sums)], ["word", "rare", "n"])
+
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0), 4 << 20):
-                _, bucket, rare, _ = _tokens(data, offsets)
-                k, n = np.unique(bucket * RARE + rare - FREQUENT, return_counts=True)
-                keys, back = np.unique(np.r_[keys, k], return_inverse=True)
+                h, rare, _ = _tokens(data, offsets)
+                k, first, n = np.unique(h, return_index=True, return_counts=True)
+                keys, at, back = np.unique(np.r_[keys, k], return_index=True, return_inverse=True)
+                rares = np.r_[rares, rare[first]][at]
                 sums = np.bincount(back, np.r_[sums, n], len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["word", "n"])
+                if len(keys) > FLUSH:
+                    yield told()
+                    keys, rares, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield told()
 
-    return pick(docs, {"text": "string"}).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return written(pick(docs, {"text": "string"}).mapInArrow(run, "word long, rare long, n long")
+                   .groupBy("word", "rare").agg(F.sum("n").alias("n")), "words")
 
 
 def vocabulary(docs: DataFrame) -> dict:
-    """The class of each bucket (-1: by the word's form) and the log share of
-    a bucket in its class.  At most 2**18 buckets come to the driver."""
-    counts = count_words(docs).withColumn("bucket", F.shiftright("word", 6)).groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.max_by(F.col("word") % RARE, F.struct("n", "word")).alias("rare")).toPandas()
-    n = np.zeros(BUCKETS)
-    n[counts.bucket] = counts.n
-    rare = np.zeros(BUCKETS, np.int64)
-    rare[counts.bucket] = FREQUENT + counts.rare
-    top = np.lexsort((np.arange(BUCKETS), -n))[:FREQUENT]
-    cls = np.full(BUCKETS, -1)
-    cls[top] = np.arange(FREQUENT)
-    of = np.where(cls >= 0, cls, rare)
-    mass = np.bincount(of, n + 0.5, CLASSES)
-    share = np.log((n + 0.5) / mass[of])
-    share[top] = 0.0
-    first = np.bincount(of, n, CLASSES) + 1.0
-    return {"cls": cls.astype(np.int16), "share": share.astype(np.float32), "prior": np.log(first / first.sum())}
+    """The most frequent words in groups by frequency, and the log share of
+    every bucket of the other words in its class.  Buckets grow with the
+    different words counted; at most 2**22 of them come to the driver."""
+    counts = count_words(docs)
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    words = np.array([r.word for r in top], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(2 * max(1, counts.count()))))))
+    others = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(r.word,) for r in top], "word long")), "word", "left_anti")
+    bucket = F.pmod(F.shiftrightunsigned("word", 20), F.lit(1 << bits)).cast("int")
+    got = others.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.max_by("rare", F.struct("n", "word")).alias("rare")).toPandas()
+    mass = np.zeros(CLASSES)
+    mass[:len(top)] = [r.n for r in top]
+    mass += np.bincount(got.rare.to_numpy(np.int64), got.n.to_numpy(float) + 0.5, CLASSES)
+    n = np.zeros(1 << bits, np.float32)
+    n[got.bucket] = got.n
+    prior = mass + 1.0
+    group = prior.reshape(GROUPS, EACH).sum(1)
+    return {"words": words[order], "classes": order, "bits": bits, "n": n, "mass": np.log(np.maximum(mass, 0.5)),
+            "group": np.log(group / group.sum()), "class": np.log(prior.reshape(GROUPS, EACH) / group[:, None])}
+
+
+def classes_of(vocab: dict, h: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every word, and the log share of the word in its class."""
+    words = vocab["words"]
+    if not len(words):
+        return rare, np.zeros(len(h), np.float32)
+    at = np.searchsorted(words, h)
+    at[at == len(words)] = 0
+    known = words[at] == h
+    cls = np.where(known, vocab["classes"][at], rare)
+    n = vocab["n"][((h >> np.uint64(20)) & np.uint64((1 << vocab["bits"]) - 1)).astype(np.int64)]
+    return cls, np.where(known, 0.0, np.log(n + 0.5) - vocab["mass"][cls]).astype(np.float32)
 
 
 def start(vocab: dict) -> np.ndarray:
     rng = np.random.default_rng(4)
     parts = [rng.normal(0, 0.1, s) for s in SHAPES]
-    parts[1][:], parts[3][:] = 0, vocab["prior"]
+    parts[1][:], parts[3][:], parts[5][:] = 0, vocab["group"], vocab["class"]
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
@@ -106,21 +138,66 @@ def hidden(ctx: np.ndarray, emb: np.ndarray, b1: np.ndarray) -> np.ndarray:
     return np.tanh(h + b1)
 
 
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def by_group(want: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the words that puts groups together, and each group's slice."""
+    group = want // EACH
+    order = np.argsort(group, kind="stable")
+    names, first = np.unique(group[order], return_index=True)
+    return order, [(int(g), slice(a, b)) for g, a, b in zip(names, first, np.r_[first[1:], len(want)])]
+
+
+def log_chances(params: list[np.ndarray], ctx: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Log-probability of each wanted class given its neighbours."""
+    emb, b1, out_g, b_g, out_c, b_c = params
+    order, groups = by_group(want)
+    h, want = hidden(ctx[order], emb, b1), want[order]
+    ll = _log_softmax(h @ out_g + b_g)[np.arange(len(want)), want // EACH]
+    for g, part in groups:
+        z = _log_softmax(h[part] @ out_c[g] + b_c[g])
+        ll[part] += z[np.arange(len(z)), want[part] % EACH]
+    back = np.empty_like(ll)
+    back[order] = ll
+    return back
+
+
 def descend(params: list[np.ndarray], ctx: np.ndarray, want: np.ndarray, rate: float) -> None:
     """One step of gradient descent on a batch, in place."""
-    emb, b1, out, b2 = params
+    emb, b1, out_g, b_g, out_c, b_c = params
+    order, groups = by_group(want)
+    ctx, want = ctx[order], want[order]
     h = hidden(ctx, emb, b1)
-    z = h @ out + b2
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(want)), want] -= 1
+    p = np.exp(_log_softmax(h @ out_g + b_g))
+    p[np.arange(len(want)), want // EACH] -= 1
     p *= rate / len(want)
-    back = (p @ out.T) * (1 - h * h)
-    out -= h.T @ p
-    b2 -= p.sum(0)
+    back = p @ out_g.T
+    out_g -= h.T @ p
+    b_g -= p.sum(0)
+    for g, part in groups:
+        q = np.exp(_log_softmax(h[part] @ out_c[g] + b_c[g]))
+        q[np.arange(len(q)), want[part] % EACH] -= 1
+        q *= rate / len(want)
+        back[part] += q @ out_c[g].T
+        out_c[g] -= h[part].T @ q
+        b_c[g] -= q.sum(0)
+    back *= 1 - h * h
     b1 -= back.sum(0)
-    for k in range(ctx.shape[1]):
-        np.subtract.at(emb, ctx[:, k], back * 4)  # embeddings are rarely touched: larger steps
+    # Embeddings are rarely touched: larger steps.  Rows that occur again add up.
+    rows, at = np.unique(ctx, return_inverse=True)
+    spot = at.reshape(ctx.shape)[:, :, None] * HIDDEN + np.arange(HIDDEN)
+    moved = np.bincount(spot.ravel(), np.broadcast_to(back[:, None, :], spot.shape).ravel(), len(rows) * HIDDEN)
+    emb[rows] -= 4 * moved.reshape(len(rows), HIDDEN).astype(emb.dtype)
+
+
+def masked_in(h: np.ndarray, rows: np.ndarray, n_rows: int, rounds: int) -> np.ndarray:
+    """The round in which each word is masked, by its hash and its place in its text."""
+    count = np.bincount(rows, minlength=n_rows)
+    nth = (np.arange(len(h)) - (np.cumsum(count) - count)[rows]).astype(np.uint64)
+    return ((mix64(h + nth) >> np.uint64(8)) % np.uint64(rounds)).astype(np.int64)
 
 
 def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> np.ndarray:
@@ -135,12 +212,11 @@ def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> np.ndarray:
             params, v, seen = unpack(sent.value), sent_vocab.value, 0
             for batch in batches:
                 for _, _, data, offsets in blocks(batch.column(0)):
-                    h, bucket, rare, rows = _tokens(data, offsets)
-                    cls = np.where(v["cls"][bucket] >= 0, v["cls"][bucket], rare)
-                    nth = np.arange(len(h), dtype=np.uint64)
-                    chosen = np.flatnonzero((mix64(h + nth) >> np.uint64(8)) % np.uint64(MASKED) == r)
+                    h, rare, rows = _tokens(data, offsets)
+                    chosen = np.flatnonzero(masked_in(h, rows, len(offsets) - 1, rounds) == r)
                     if not len(chosen):
                         continue
+                    cls, _ = classes_of(v, h, rare)
                     ctx = windows(cls, rows, len(offsets) - 1)[chosen]
                     want = cls[chosen]
                     mixed = np.random.default_rng(seen).permutation(len(chosen))
@@ -163,27 +239,27 @@ def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> np.ndarray:
 
 def score(docs: DataFrame, vocab: dict, flat: np.ndarray) -> DataFrame:
     """Pseudo-log-likelihood of every whole text: the sum over its words of
-    the log-probability given both sides.  A null, empty or wordless text has
-    no words, sum 0 and a null mean."""
+    the log-probability given both sides.
+
+    A null, empty or wordless text has no words, sum 0 and a null mean.  Equal
+    texts have equal scores but for the last digits of float sums; repeated
+    rows and equal ids are rows of their own; a text counts whole, however
+    long, in bounded pieces.  An empty table gives no rows.  Only ``doc_id``
+    and ``text``, by their exact names, are read."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = sent.value
-        emb, b1, out, b2 = unpack(w)
+        params = unpack(w)
         for batch in batches:
             total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, j, data, offsets in blocks(batch.column(1)):
-                _, bucket, rare, rows = _tokens(data, offsets)
-                cls = np.where(v["cls"][bucket] >= 0, v["cls"][bucket], rare)
+                h, rare, rows = _tokens(data, offsets)
+                cls, share = classes_of(v, h, rare)
                 ctx, ll = windows(cls, rows, j - i), np.zeros(len(cls), np.float32)
-                for s in range(0, len(cls), 4096):
-                    e = slice(s, s + 4096)
-                    z = hidden(ctx[e], emb, b1) @ out + b2
-                    own = z[np.arange(len(z)), cls[e]]
-                    top = z.max(1)
-                    z -= top[:, None]
-                    np.exp(z, out=z)
-                    ll[e] = own - top - np.log(z.sum(1)) + np.where(v["cls"][bucket[e]] >= 0, 0, v["share"][bucket[e]])
+                for s in range(0, len(cls), 8192):
+                    e = slice(s, s + 8192)
+                    ll[e] = log_chances(params, ctx[e], cls[e]) + share[e]
                 total[i:j] = np.bincount(rows, ll, j - i)
                 count[i:j] = np.bincount(rows, minlength=j - i)
             mean = np.where(count > 0, total / np.maximum(count, 1), np.nan)
