@@ -188,20 +188,63 @@ def test_scores_beat_unigrams_and_cover_all_rows(docs):
 
 def test_step_lowers_the_loss():
     rng = np.random.default_rng(0)
-    vocab = {"prior": np.log(np.full(scoring.CLASSES, 1 / scoring.CLASSES))}
-    params = scoring.unpack(scoring.start(vocab))
-    cls = np.tile(np.arange(8), 200)
+    even = {"group": np.zeros(scoring.GROUPS), "class": np.zeros((scoring.GROUPS, scoring.EACH))}
+    params = scoring.unpack(scoring.start(even))
+    cls = np.tile(np.arange(8) * 37, 200)
     ctx = scoring.windows(cls, np.zeros(len(cls), int), 1)
-
-    def loss():
-        z = scoring.hidden(ctx, params[0], params[1]) @ params[2] + params[3]
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(cls)), cls]))
-
-    first = loss()
+    first = -scoring.log_chances(params, ctx, cls).mean()
     for _ in range(200):
         b = rng.integers(0, len(cls), 256)
         scoring.descend(params, ctx[b], cls[b], 0.3)
-    assert loss() < 0.5 * first
+    assert -scoring.log_chances(params, ctx, cls).mean() < 0.3 * first
+
+
+def test_steps_follow_the_gradient():
+    """A step's change of every parameter against differences of the loss."""
+    rng = np.random.default_rng(2)
+    even = {"group": np.zeros(scoring.GROUPS), "class": np.zeros((scoring.GROUPS, scoring.EACH))}
+    params = [p.astype(np.float64) for p in scoring.unpack(scoring.start(even))]
+    want = rng.integers(0, scoring.CLASSES, 40)
+    ctx = scoring.windows(want, np.zeros(40, int), 1)
+    moved = [p.copy() for p in params]
+    scoring.descend(moved, ctx, want, 1e-3)
+    g = int(want[0]) // scoring.EACH
+    for k, at in ((0, (ctx[3, 1], 5)), (1, (7,)), (2, (4, g)), (3, (g,)), (4, (g, 3, int(want[0]) % scoring.EACH)), (5, (g, int(want[0]) % scoring.EACH))):
+        loss = []
+        for d in (1e-5, -1e-5):
+            other = [p.copy() for p in params]
+            other[k][at] += d
+            loss.append(-scoring.log_chances(other, ctx, want).mean())
+        slope = (loss[0] - loss[1]) / 2e-5
+        assert (params[k][at] - moved[k][at]) / 1e-3 == pytest.approx((4 if k == 0 else 1) * slope, rel=1e-3, abs=1e-7)
+
+
+def test_chances_of_all_classes_sum_to_one():
+    rng = np.random.default_rng(1)
+    params = [rng.normal(0, 0.5, s) for s in scoring.SHAPES]
+    ctx = np.tile(scoring.windows(rng.integers(0, scoring.CLASSES, 9), np.zeros(9, int), 1)[4], (scoring.CLASSES, 1))
+    assert np.exp(scoring.log_chances(params, ctx, np.arange(scoring.CLASSES))).sum() == pytest.approx(1.0)
+
+
+def test_word_counts_are_exact_and_every_position_is_masked_once(docs, monkeypatch):
+    monkeypatch.setattr(scoring, "FLUSH", 500)
+    want = Counter(w for r in docs.collect() for w in tokens(r.text))
+    counts = scoring.count_words(docs.repartition(5)).collect()
+    assert sorted(r.n for r in counts) == sorted(want.values())
+    vocab = scoring.vocabulary(docs)
+    assert vocab["n"].sum() == sum(want.values()) - sum(n for _, n in want.most_common(scoring.FREQUENT))
+    texts = [r.text or "" for r in docs.collect()][:50]
+
+    def rounds(some):
+        data = np.frombuffer("".join(some).encode(), np.uint8)
+        offsets = np.cumsum([0] + [len(t.encode()) for t in some])
+        h, _, rows = scoring._tokens(data, offsets)
+        masked = scoring.masked_in(h, rows, len(some), 2)
+        return [masked[rows == i].tolist() for i in range(len(some))]
+
+    whole = rounds(texts)
+    assert whole == [rounds([t])[0] for t in texts]  # the neighbours in a block don't matter
+    assert {r for m in whole for r in m} == {0, 1}
 
 
 def test_scores_odd_rows(spark, odd):
@@ -209,8 +252,11 @@ def test_scores_odd_rows(spark, odd):
     out = scoring.score(odd, vocab, scoring.train(odd, vocab)).collect()
     assert len(out) == odd.count()
     assert all(r.per_word is None and r.pseudo_log_likelihood == 0 for r in out if r.n_words == 0)
+    same = [r.pseudo_log_likelihood for r in out if r.doc_id in (6, 7)]
+    assert max(same) - min(same) < 1e-3
     assert scoring.score(empty(spark), vocab, scoring.start(vocab)).count() == 0
-    assert scoring.vocabulary(empty(spark))["share"].shape == (scoring.BUCKETS,)
+    nothing = scoring.vocabulary(empty(spark))
+    assert scoring.score(odd, nothing, scoring.train(empty(spark), nothing)).count() == odd.count()
 
 
 # 5: co-training
