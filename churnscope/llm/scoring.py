@@ -1,13 +1,13 @@
 """Masked pseudo-likelihood scores (operator 4).
 
 A window network predicts every word from the two words on either side.  The
-960 most frequent words are classes of their own, the others share 64 classes
+448 most frequent words are classes of their own, the others share 64 classes
 by length and last byte; classes stand in groups, and the network gives the
 probability of the group and of the class in its group.  A word's probability
 is its class's times its share of the class in the whole corpus.  The corpus
 counts come from every document; in training every position is masked and
-predicted once, spread over the rounds by a hash of the word and its place in
-its text.  Partitions train in numpy from the same start and Spark averages
+predicted once.  With several rounds, a hash of the word and its place in its
+text says in which.  Partitions train in numpy from the same start and Spark averages
 their parameters, weighted by tokens, so the parameters (not the counts, the
 classes or the masks) depend on how the table is partitioned.
 """
@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from churnscope.llm.shared import pick, read, written
 from churnscope.llm.tokens import LOWER, blocks, mix64, word_hashes, word_spans
 
-GROUPS, EACH, RARE = 32, 32, 64
+GROUPS, EACH, RARE = 16, 32, 64
 CLASSES = GROUPS * EACH
 FREQUENT = CLASSES - RARE
-SIDE, HIDDEN = 2, 24
+SIDE, HIDDEN = 2, 16
 #: Buckets of rare words' shares: twice the different words, between these powers of two.
 LEAST_BITS, MOST_BITS = 18, 22
 #: Every position is masked and predicted in one of the rounds.
-ROUNDS, BATCH, RATE = 2, 512, 0.3
+ROUNDS, BATCH, RATE = 1, 1024, 4.0
 SHAPES = ((2 * SIDE * (CLASSES + 1), HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, EACH), (GROUPS, EACH))
 DOC = {"doc_id": "long", "text": "string"}
 #: Different words of a task that are counted before they are passed on.
@@ -143,6 +143,14 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
 def by_group(want: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order of the words that puts groups together, and each group's slice."""
     group = want // EACH
@@ -156,10 +164,12 @@ def log_chances(params: list[np.ndarray], ctx: np.ndarray, want: np.ndarray) ->
     emb, b1, out_g, b_g, out_c, b_c = params
     order, groups = by_group(want)
     h, want = hidden(ctx[order], emb, b1), want[order]
-    ll = _log_softmax(h @ out_g + b_g)[np.arange(len(want)), want // EACH]
+    every = np.arange(len(want))
+    z = np.empty((len(want), EACH), h.dtype)
     for g, part in groups:
-        z = _log_softmax(h[part] @ out_c[g] + b_c[g])
-        ll[part] += z[np.arange(len(z)), want[part] % EACH]
+        np.matmul(h[part], out_c[g], out=z[part])
+        z[part] += b_c[g]
+    ll = _log_softmax(h @ out_g + b_g)[every, want // EACH] + _log_softmax(z)[every, want % EACH]
     back = np.empty_like(ll)
     back[order] = ll
     return back
@@ -171,26 +181,31 @@ def descend(params: list[np.ndarray], ctx: np.ndarray, want: np.ndarray, rate: f
     order, groups = by_group(want)
     ctx, want = ctx[order], want[order]
     h = hidden(ctx, emb, b1)
-    p = np.exp(_log_softmax(h @ out_g + b_g))
-    p[np.arange(len(want)), want // EACH] -= 1
-    p *= rate / len(want)
+    pace, every = rate / len(want), np.arange(len(want))
+    p = _softmax(h @ out_g + b_g)
+    p[every, want // EACH] -= 1
     back = p @ out_g.T
-    out_g -= h.T @ p
-    b_g -= p.sum(0)
+    out_g -= pace * (h.T @ p)
+    b_g -= pace * p.sum(0)
+    own = want % EACH
+    q = np.empty((len(want), EACH), h.dtype)
+    for g, part in groups:
+        np.matmul(h[part], out_c[g], out=q[part])
+        q[part] += b_c[g]
+    _softmax(q)
+    q[every, own] -= 1
     for g, part in groups:
-        q = np.exp(_log_softmax(h[part] @ out_c[g] + b_c[g]))
-        q[np.arange(len(q)), want[part] % EACH] -= 1
-        q *= rate / len(want)
-        back[part] += q @ out_c[g].T
-        out_c[g] -= h[part].T @ q
-        b_c[g] -= q.sum(0)
+        back[part] += q[part] @ out_c[g].T
+        out_c[g] -= pace * (h[part].T @ q[part])
+        b_c[g] -= pace * q[part].sum(0)
     back *= 1 - h * h
-    b1 -= back.sum(0)
+    b1 -= pace * back.sum(0)
     # Embeddings are rarely touched: larger steps.  Rows that occur again add up.
-    rows, at = np.unique(ctx, return_inverse=True)
-    spot = at.reshape(ctx.shape)[:, :, None] * HIDDEN + np.arange(HIDDEN)
-    moved = np.bincount(spot.ravel(), np.broadcast_to(back[:, None, :], spot.shape).ravel(), len(rows) * HIDDEN)
-    emb[rows] -= 4 * moved.reshape(len(rows), HIDDEN).astype(emb.dtype)
+    flat = ctx.ravel()
+    turn = np.argsort(flat, kind="stable")
+    flat = flat[turn]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    emb[flat[first]] -= 4 * pace * np.add.reduceat(back[turn // ctx.shape[1]], first)
 
 
 def masked_in(h: np.ndarray, rows: np.ndarray, n_rows: int, rounds: int) -> np.ndarray:
