@@ -155,9 +155,47 @@ def calibrate(z: np.ndarray, y: np.ndarray, even: bool) -> np.ndarray:
     return w
 
 
-def fitted(rows: dict[str, list], y: np.ndarray, given: dict[str, tuple[list, list]]) -> dict[str, np.ndarray]:
-    """Each view's weights from its labelled rows and the rows given to it."""
-    return {v: logistic(Sparse(rows[v] + given[v][0]), np.r_[y, np.array(given[v][1], int)], dim) for v, dim in VIEWS.items()}
+def fitted(sample: DataFrame, given: DataFrame | None) -> dict | None:
+    """Both views' weights, the calibration of each (``scales``) and of both
+    together (``mix``), fitted in one task; only they come to the driver.
+
+    ``sample`` has ``doc_id, good, text, meta`` of the labelled rows, a fourth
+    of which is kept aside for the calibrations; ``given`` has ``view, label,
+    ids, text_hash`` of the texts exchanged.  None if a part of the labels
+    holds fewer than two classes."""
+    rows = sample.select("doc_id", F.col("good").alias("label"), "text", "meta", F.lit("").alias("view"))
+    if given is not None:
+        rows = rows.unionByName(given.select(F.col("text_hash").alias("doc_id"), "label", F.col("ids").alias("text"),
+                                             F.lit(b"").alias("meta"), "view"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[4], r[0], r[1], r[2]))
+        own = [r for r in all_rows if not r[4]]
+        y = np.array([r[1] for r in own], int)
+        aside = mix64(np.array([r[0] for r in own], np.int64).astype(np.uint64)) % np.uint64(4) == 0
+        out = {k: None for k in (*VIEWS, *(f"{v}_scale" for v in VIEWS), "mix")}
+        if len(own) and min(len({*y[~aside]}), len({*y[aside]})) == 2:
+            margins = []
+            for v, dim in VIEWS.items():
+                ids = [np.frombuffer(r[2 if v == "text" else 3], np.int32) for r in own]
+                more = [r for r in all_rows if r[4] == v]
+                fixed = [x for x, a in zip(ids, aside) if not a] + [np.frombuffer(r[2], np.int32) for r in more]
+                w = logistic(Sparse(fixed), np.r_[y[~aside], np.array([r[1] for r in more], int)], dim).astype(np.float32)
+                margins.append(Sparse([x for x, a in zip(ids, aside) if a]).margins(w))
+                # Sure by the calibrated probability at the classes' natural rates, so
+                # that metadata never vouches for words it can't see.
+                scale = calibrate(np.c_[np.clip(margins[-1], -20, 20), np.ones(len(margins[-1]))], y[aside], False)
+                out |= {v: w.tobytes(), f"{v}_scale": scale.tobytes()}
+            out["mix"] = calibrate(combined(*margins), y[aside], True).tobytes()
+        yield pa.RecordBatch.from_pylist([out], pa.schema([(k, pa.binary()) for k in out]))
+
+    names = [*VIEWS, *(f"{v}_scale" for v in VIEWS), "mix"]
+    # A bounded number of rows: the labelled sample and the texts exchanged.
+    row = rows.coalesce(1).mapInArrow(run, ", ".join(f"{k} binary" for k in names)).first()
+    if row is None or row["mix"] is None:
+        return None
+    return {v: np.frombuffer(row[v], np.float32) for v in VIEWS} | {
+        "scales": {v: np.frombuffer(row[f"{v}_scale"]) for v in VIEWS}, "mix": np.frombuffer(row["mix"])}
 
 
 def featured(docs: DataFrame) -> DataFrame:
@@ -207,40 +245,27 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Fit on a bounded sample of labelled rows and the texts exchanged; None
     if the labels hold fewer than two classes.
 
-    An id's rows count as one labelled row, its first by text hash.  Feature
-    ids of at most ``LABELLED`` labelled rows and of the texts exchanged reach
-    the driver, no texts; the choice of those is made from all documents."""
+    An id's rows count as one labelled row, its first by text hash.  The fit
+    is one task over the features of at most ``LABELLED`` labelled rows and of
+    the texts exchanged; the choice of those is made from all documents."""
     spark = docs.sparkSession
     rows = pick(labels, {"doc_id": "long", "quality": "int", "toxic": "int"}).where("doc_id is not null and quality is not null")
     good = F.min(F.expr("if(quality = 1 and coalesce(toxic, 0) = 0, 1, 0)")).alias("good")
     labelled = rows.select("doc_id").distinct()
     chosen = rows.groupBy("doc_id").agg(good).orderBy(unit_hash(5, F.col("doc_id")), "doc_id").limit(LABELLED)
-    chosen = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, good int")
     views = featured(docs)
     one = F.min(F.struct("text_hash", "text", "meta")).alias("v")
-    got = views.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(one).orderBy("doc_id").collect()
-    y = np.array([r.good for r in got], int)
-    aside = mix64(np.array([r.doc_id for r in got], np.int64).astype(np.uint64)) % np.uint64(4) == 0
-    if min(len({*y[~aside]}), len({*y[aside]})) < 2:
-        return None
-    sample = {v: [np.frombuffer(r.v[v], np.int32) for r in got] for v in VIEWS}
-    fixed = {v: [x for x, a in zip(sample[v], aside) if not a] for v in VIEWS}
-    kept = {v: Sparse([x for x, a in zip(sample[v], aside) if a]) for v in VIEWS}
-    given: dict[str, tuple[list, list]] = {v: ([], []) for v in VIEWS}
-    weights = fitted(fixed, y[~aside], given)
-    for r in range(ROUNDS):
-        # Sure by the calibrated probability at the classes' natural rates, so
-        # that metadata never vouches for words it can't see.
-        scales = {v: calibrate(np.c_[np.clip(kept[v].margins(weights[v]), -20, 20), np.ones(kept[v].lens.size)], y[aside], False) for v in VIEWS}
-        told = surest(views, labelled, weights, scales, EACH * (r + 1))
-        names = spark.createDataFrame(sorted({t for best in told.values() for t, _ in best}) or [0], "long").toDF("text_hash")
-        found = {x.text_hash: x.v for x in views.join(F.broadcast(names), "text_hash").groupBy("text_hash").agg(
-            F.min(F.struct("text", "meta")).alias("v")).collect()}
-        for mine, other in (("text", "meta"), ("meta", "text")):
-            given[other] = ([np.frombuffer(found[t][other], np.int32) for t, _ in told[mine]], [label for _, label in told[mine]])
-        weights = fitted(fixed, y[~aside], given)
-    z = combined(kept["text"].margins(weights["text"]), kept["meta"].margins(weights["meta"]))
-    return {**{v: w.astype(np.float32) for v, w in weights.items()}, "mix": calibrate(z, y[aside], True)}
+    sample = written(views.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(one).select(
+        "doc_id", "good", "v.text", "v.meta"), "labelled")
+    model = fitted(sample, None)
+    for r in range(ROUNDS if model else 0):
+        told = surest(views, labelled, model, model["scales"], EACH * (r + 1))
+        pairs = [(t, other, label) for mine, other in (("text", "meta"), ("meta", "text")) for t, label in told[mine]]
+        names = F.broadcast(spark.createDataFrame(pairs, "text_hash long, view string, label int"))
+        found = views.join(names, "text_hash").groupBy("text_hash", "view", "label").agg(F.min(F.struct("text", "meta")).alias("v"))
+        model = fitted(sample, found.select("text_hash", "view", "label", F.when(F.col("view") == "text", F.col("v.text")).otherwise(
+            F.col("v.meta")).alias("ids")))
+    return model and {k: model[k] for k in (*VIEWS, "mix")}
 
 
 def classify(docs: DataFrame, model: dict | None, extra: dict[str, str] | None = None) -> DataFrame:
