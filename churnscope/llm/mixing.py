@@ -112,8 +112,9 @@ def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMP
     A document is kept if a hash of its id and text, as a number in [0, 1), is
     below its cell's probability, so equal rows share a decision and a rerun
     repeats it.  A document without tokens weighs nothing and is kept (it costs
-    no budget); a null source, language or text counts as ''.  An empty table
-    gives no rows."""
+    no budget); a null source, language or text counts as ''.  A text counts
+    whole, however long.  An empty table gives no rows.  Columns are found by
+    their exact names; one called ``topic`` takes the place of the text's form."""
     slim = written(features(docs), "mix")
     return decided(slim, plan(slim, budget, temper), seed)
 

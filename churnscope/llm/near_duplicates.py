@@ -377,7 +377,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal shingle multisets are in one class, as are those linked
     by similarity 0.8 or more, directly or through others.  Texts without
     words (null or empty among them) are alike only if equal.  A null id ranks
-    last; rows equal in id and text share a class and are all the first."""
+    last; rows equal in id and text share a class and are all the first.  A
+    text counts whole, however long; an empty table gives none.  Only
+    ``doc_id`` and ``text``, by their exact names, are read."""
     rows = signed(docs)
     nodes = written(rows.groupBy("node").agg(F.min(F.struct("ord", "text_hash", "doc_id")).alias("first"),
                                              F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "nodes")
